@@ -373,7 +373,7 @@ def event_root_nested(t: Derived) -> DataFrame:
 @query
 def attribute_conversions(t: Derived) -> DataFrame:
     mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)))
-    return mapping.drop("impression_primary_key", "conversion_primary_key", "is_household")
+    return mapping.drop("impression_primary_key", "conversion_primary_key")
 
 
 @query
