@@ -18,6 +18,7 @@ from adlytics.operators.joins import join_null_safe
 from adlytics.operators.timeline import HOUR_MICROS, count_before, first_at_or_after
 
 DAY_MICROS = 24 * HOUR_MICROS
+SPAN_DAYS = 5
 _PERSON = tuple(k for k in ROOT_KEYS if k != "date")
 _MATCH = ("user_pwid_raw", "advertiser_domain")
 _DELIVERY = (
@@ -57,7 +58,8 @@ def keep_active(events: DataFrame) -> DataFrame:
     """Keep events of a device with an impression or of a person with a conversion.
 
     An impression or conversion keeps itself, so only other events need a look at their
-    group; no window over whole groups is needed.
+    group; no window over whole groups is needed. A root built by ``event_root`` holds no
+    other events, so the reports do without this step; it is for roots from elsewhere.
     """
     itself = F.col("impression").isNotNull() | F.col("conversion").isNotNull()
     active, rest = events.filter(itself), events.filter(~itself)
@@ -91,6 +93,11 @@ def _conversions(events: DataFrame) -> DataFrame:
     )
 
 
+def _matchable(rows: DataFrame, conversions: DataFrame) -> DataFrame:
+    """Rows of persons and advertisers that have a conversion at all; most have none."""
+    return rows.join(conversions.select(*_MATCH).distinct(), list(_MATCH), "left_semi")
+
+
 def attribute_conversions(events: DataFrame, days: int = 30) -> DataFrame:
     """Impressions with the conversions within ``days`` after them, one row per match.
 
@@ -100,23 +107,25 @@ def attribute_conversions(events: DataFrame, days: int = 30) -> DataFrame:
     rows and conversions a row stands for (``expand_copies`` spells them out).
     ``is_first_row`` marks one row per day, ad and creative, its earliest.
     """
-    active = keep_active(events)
-    impressions = _impressions(active).withColumn("impression_primary_key", impression_key())
-    conversions = _conversions(active)
-
-    # A conversion visits the days its window covers, an impression only its own, so a hot
-    # person is spread over days.
-    by_day = F.floor(F.unix_micros("conversion_ts") / F.lit(DAY_MICROS))
-    reaching = conversions.withColumn("day", F.explode(F.sequence(by_day - days, by_day)))
+    impressions = _impressions(events).withColumn("impression_primary_key", impression_key())
+    conversions = _conversions(events)
+
+    # A conversion visits every span of days its window touches, an impression only its
+    # own, so a hot person is spread over spans.
+    def span(micros: Column) -> Column:
+        return F.floor(micros / F.lit(SPAN_DAYS * DAY_MICROS))
+
+    at = F.unix_micros("conversion_ts")
+    reaching = conversions.withColumn("span", F.explode(F.sequence(span(at - F.lit(days * DAY_MICROS)), span(at))))
     shown = (
-        impressions.filter(F.col("user_pwid_raw").isNotNull() & F.col("advertiser_domain").isNotNull())
+        _matchable(impressions, conversions)
         .groupBy(*_MATCH, "ts", "impression_primary_key")
         .agg(F.sum("impression_copies").alias("match_copies"))
-        .withColumn("day", F.floor(F.unix_micros("ts") / F.lit(DAY_MICROS)))
+        .withColumn("span", span(F.unix_micros("ts")))
     )
     in_window = F.col("conversion_ts").between(F.col("ts"), plus_days(F.col("ts"), days))
     matches = (
-        shown.join(reaching, [*_MATCH, "day"])
+        shown.join(reaching, [*_MATCH, "span"])
         .filter(in_window)
         .select(
             "impression_primary_key",
@@ -300,8 +309,8 @@ def campaign_report(events: DataFrame) -> DataFrame:
     impression's window, because all of them fall on one day. So each such group asks for
     conversion counts in time ranges, read off running counts.
     """
-    active = keep_active(events)
-    impressions = _impressions(active).withColumn("date", F.to_date("ts"))
+    impressions = events.filter(F.col("ad_id").isNotNull()).withColumn("date", F.to_date("ts"))
+    conversions = _conversions(events)
     key = ("ts", "ad_id", "creative_id")
     per_key = impressions.groupBy(*CAMPAIGN, *key).agg(
         F.max(F.coalesce(F.col("beeswax_clicks") > 0, F.lit(False))).alias("b"),
@@ -322,11 +331,7 @@ def campaign_report(events: DataFrame) -> DataFrame:
     )
 
     # Impression rows of one instant, ad and creative share their matches.
-    people = (
-        impressions.filter(F.col("user_pwid_raw").isNotNull() & F.col("advertiser_domain").isNotNull())
-        .select(*_MATCH, *key)
-        .distinct()
-    )
+    people = _matchable(impressions.select(*_MATCH, *key), conversions).distinct()
     at = F.unix_micros("ts")
     spans = (
         join_null_safe(people, per_key, key, "inner")
@@ -364,13 +369,10 @@ def campaign_report(events: DataFrame) -> DataFrame:
         spans.select(*CAMPAIGN, *_MATCH, F.inline(F.array(*ends)))
         .filter(F.col("at").isNotNull())
     )
-    points = (
-        _conversions(active)
-        .filter(F.col("user_pwid_raw").isNotNull() & F.col("advertiser_domain").isNotNull())
-        .select(*_MATCH, F.unix_micros("conversion_ts").alias("at"), F.col("conversion_copies").alias("n"))
+    points = conversions.filter(F.col("user_pwid_raw").isNotNull() & F.col("advertiser_domain").isNotNull()).select(
+        *_MATCH, F.unix_micros("conversion_ts").alias("at"), F.col("conversion_copies").alias("n")
     )
-    before = count_before(keep_matchable(asked, points), points, _MATCH)
-    answered = asked.join(before, [*_MATCH, "at"])
+    answered = count_before(asked, points, _MATCH)
     measured = {
         name: F.sum(F.when(F.col("measure") == name, F.col("sign") * F.col("n_before"))) for name in ranges
     }
@@ -387,11 +389,6 @@ def campaign_report(events: DataFrame) -> DataFrame:
     return _finish_rollup([shown, first, converted])
 
 
-def keep_matchable(rows: DataFrame, conversions: DataFrame) -> DataFrame:
-    """Rows of persons and advertisers that have a conversion at all."""
-    return rows.join(conversions.select(*_MATCH).distinct(), list(_MATCH), "left_semi")
-
-
 def first_touch_report(events: DataFrame) -> DataFrame:
     """Impressions and conversions per campaign; the earliest impression takes each.
 
@@ -410,12 +407,12 @@ def first_touch_report(events: DataFrame) -> DataFrame:
     )
     with_person = F.col("user_pwid_raw").isNotNull()
     payload = ("browser_name", "device_type", "campaign_id", "opportunity_name")
-    touches = impressions.filter(with_person).select(*_MATCH, F.unix_micros("ts").alias("at"), *payload)
     conversions = (
         named.filter((F.col("conversion") > 0) & with_person)
         .select(*_MATCH, F.unix_micros("ts").alias("conversion_at"))
         .distinct()
     )
+    touches = _matchable(impressions, conversions).select(*_MATCH, F.unix_micros("ts").alias("at"), *payload)
     windows = {"conversions_attributed_day": 1, "conversions_attributed_week": 7}
     tries = conversions.select(
         *_MATCH,
@@ -431,9 +428,8 @@ def first_touch_report(events: DataFrame) -> DataFrame:
             )
         ),
     )
-    hits = first_at_or_after(tries, touches, _MATCH, payload)
     attributed = (
-        tries.join(hits, [*_MATCH, "at"])
+        first_at_or_after(tries, touches, _MATCH, payload)
         .filter(F.col("hit.at") <= F.col("conversion_at"))
         .select(
             "advertiser_domain",

@@ -69,16 +69,18 @@ def seat_level(
         return test
 
     filtered = seat_patterns is not None or impressions_only or creative_id is not None
-    unnest = F.explode if filtered else F.explode_outer
-    request = _request_columns(bids)
-    ads = bids.select(*request, unnest("ad").alias("ad"))
-    kept = [F.col(c) for c in ads.columns if c != "ad"]
+    ads = bids.select(*_request_columns(bids), F.explode_outer("ad").alias("ad"))
     seats = F.filter("ad.seat", wanted) if filtered else F.col("ad.seat")
-    rows = ads.select(*kept, F.col("ad.ad_id").alias("ad_id"), unnest(seats).alias("seat"))
-    kept = [F.col(c) for c in rows.columns if c != "seat"]
+    # The outer form, with the empty rows dropped after it: before an inner explode Spark
+    # would evaluate the whole array filter a second time just to test its size.
+    rows = ads.select(
+        *[c for c in ads.columns if c != "ad"], F.col("ad.ad_id").alias("ad_id"), F.explode_outer(seats).alias("seat")
+    )
+    if filtered:
+        rows = rows.filter(F.col("seat").isNotNull())
+    kept = [c for c in rows.columns if c != "seat"]
     if household_ip:
-        kept = [household_address(F.col("ip_address")).alias("ip_address") if c == "ip_address" else F.col(c)
-                for c in rows.columns if c != "seat"]
+        rows = rows.withColumn("ip_address", household_address(F.col("ip_address")))
     made = F.col("seat.bid_request")
     return rows.select(
         *kept,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from adlytics import params
 from adlytics.functions.arrays import first_field
-from adlytics.operators.delivery import label_seats, rates, seat_totals
+from adlytics.operators.delivery import label_seats, rates, seat_level, seat_totals
 from adlytics.operators.household import flag_household
 from adlytics.operators.joins import left_join
 from adlytics.params import Period
@@ -89,13 +89,21 @@ def match_any_key(rows: DataFrame, keys: str, lookup: DataFrame, lookup_key: str
     return left_join(keyed, found, "keys_text", "set_text").drop("keys_text")
 
 
+def person_seats(bids: DataFrame, impressions_only: bool = False) -> DataFrame:
+    """Platform seats with household-form addresses and the keys to look them up by."""
+    seats = seat_level(bids, impressions_only=impressions_only, household_ip=True)
+    return seats.withColumn("lookup_set", lookup_keys()).select(
+        *SEAT_OUTPUT, "site_user_id", "ip_address", "device_name", "os_name", "browser_name", "lookup_set"
+    )
+
+
 def _person(first: str, *rest: str) -> Column:
     return F.concat(F.col(first), *[F.col(c) for c in rest])
 
 
 def _with_cached(seats: DataFrame, cached: DataFrame) -> DataFrame:
     """Seats with their cached household, one row per match; summed over equal matches."""
-    return match_any_key(seats.withColumn("lookup_set", lookup_keys()), "lookup_set", cached, "mapping_key")
+    return match_any_key(seats, "lookup_set", cached, "mapping_key")
 
 
 def resolve_person(
@@ -103,7 +111,8 @@ def resolve_person(
 ) -> DataFrame:
     """Person id per seat with its source and ``match_rows``, the equal rows it stands for.
 
-    ``seats`` is seat-level with household-form addresses. Modes:
+    ``seats`` comes from ``person_seats``; save it first, as it is read more than once.
+    Modes:
 
     ``exclusive``
         A request found in the cache is not tried by address, and one found by either is
@@ -131,26 +140,33 @@ def resolve_person(
     cached_person = _person("household_id", "device_name", "os_name", "browser_name")
     address_person = _person("ip_address", "os_name", "device_name", "browser_name")
 
-    def output(chosen: DataFrame, source: str, person: Column, weight: Column) -> DataFrame:
-        return chosen.select(
-            F.lit(source).alias("ip_source"), person.alias("premium_web_id"), *SEAT_OUTPUT, weight.alias("match_rows")
+    # A missing request id passes no NOT IN, but has no match in an outer join either.
+    free = ~in_cache & F.coalesce(~F.col("request_cached"), F.lit(mode == "distinct_fallback"))
+    by_address = free & F.col("is_household")
+    by_user = free & ~F.col("request_listed") if mode == "exclusive" else F.lit(False)
+    source = F.when(in_cache, CACHED).when(by_address, REQUEST).when(by_user, NONE_FOUND)
+    person = F.when(in_cache, cached_person).when(by_address, address_person).otherwise(F.col("site_user_id"))
+    found = (
+        rows.select(
+            source.alias("ip_source"),
+            person.alias("premium_web_id"),
+            *SEAT_OUTPUT,
+            F.coalesce("cached_rows", F.lit(1)).alias("match_rows"),
         )
-
-    from_cache = output(rows.filter(in_cache), CACHED, cached_person, F.col("cached_rows"))
-    outside = rows.filter(~in_cache)
-    uncached = F.col("request_id").isNotNull() & ~F.col("request_cached")
-    one = F.lit(1).cast("bigint")
+        .filter(F.col("ip_source").isNotNull())
+    )
+    output = [c for c in found.columns if c != "match_rows"]
     if mode == "exclusive":
-        by_address = output(
-            outside.filter(uncached & F.col("is_household")), REQUEST, address_person, one
-        ).distinct()
-        by_user = output(outside.filter(uncached & ~F.col("request_listed")), NONE_FOUND, F.col("site_user_id"), one)
-    else:
-        # A missing request id matches no cached request, so the row stays.
-        free = F.coalesce(~F.col("request_cached"), F.lit(True))
-        by_address = output(outside.filter(free & F.col("is_household")), REQUEST, address_person, one)
-        by_user = output(seats, NONE_FOUND, F.col("site_user_id"), one).distinct()
-    return from_cache.unionByName(by_address).unionByName(by_user)
+        once = F.col("ip_source") == REQUEST
+        total = F.sum("match_rows")
+        return found.groupBy(*output).agg(F.when(once, F.lit(1)).otherwise(total).cast("bigint").alias("match_rows"))
+    fallback = seats.select(
+        F.lit(NONE_FOUND).alias("ip_source"),
+        F.col("site_user_id").alias("premium_web_id"),
+        *SEAT_OUTPUT,
+        F.lit(1).cast("bigint").alias("match_rows"),
+    ).distinct()
+    return found.unionByName(fallback)
 
 
 def _cascade(seats: DataFrame, cached: DataFrame, prefix_rows: DataFrame) -> DataFrame:

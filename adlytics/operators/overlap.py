@@ -21,8 +21,17 @@ def _pixel_sums(pixels: ConversionPixels) -> list[Column]:
     return [F.count_if(F.col("pixel_id") == pixel).alias(name) for name, pixel in ids.items()]
 
 
+def delivery_sums(ads: DataFrame) -> DataFrame:
+    """Ad-level delivery with ``is_household`` summed per day, user and address."""
+    return ads.groupBy("date_ts", "site_user_id", "ip_address", "is_household").agg(
+        F.count("request_id").alias("requests"),
+        F.count_if("is_impression").alias("impressions"),
+        F.sum(F.try_divide("max_bid_net_usd", F.lit(1000))).alias("revenue"),
+    )
+
+
 def delivery_overlap(
-    ads: DataFrame,
+    delivered: DataFrame,
     prefixes: DataFrame,
     conversions: DataFrame,
     pixels: ConversionPixels,
@@ -30,18 +39,12 @@ def delivery_overlap(
 ) -> DataFrame:
     """Requests, impressions, revenue and conversions by household, mapping source and UTM.
 
-    ``ads`` is ad-level delivery with ``is_household``. Delivery of users with a conversion
+    ``delivered`` comes from ``delivery_sums``. Delivery of users with a conversion
     is mapped by user id and repeats for each conversion day and UTM pair. The remaining
     delivery is mapped by address to the remaining household conversions; its requests are
     counted once per matching conversion group, as the reported figures are. ``strict``
     counts them once.
     """
-    # One row per day, user and address: every later step works on these sums.
-    delivered = ads.groupBy("date_ts", "site_user_id", "ip_address", "is_household").agg(
-        F.count("request_id").alias("requests"),
-        F.count_if("is_impression").alias("impressions"),
-        F.sum(F.try_divide("max_bid_net_usd", F.lit(1000))).alias("revenue"),
-    )
     converting = (
         conversions.filter(F.col("site_user_id").isNotNull())
         .groupBy("date_ts", F.col("site_user_id").alias("conv_user"), *_UTM)
@@ -111,7 +114,7 @@ def addressable_totals(conversions: DataFrame, pixels: ConversionPixels) -> Data
 
 
 def delivery_overlap_with_totals(
-    ads: DataFrame,
+    delivered: DataFrame,
     prefixes: DataFrame,
     conversions: DataFrame,
     pixels: ConversionPixels,
@@ -120,7 +123,7 @@ def delivery_overlap_with_totals(
 ) -> DataFrame:
     """``delivery_overlap`` plus rows holding the addressable conversion totals."""
     zero = F.lit(0).cast("bigint")
-    overlap = delivery_overlap(ads, prefixes, conversions, pixels, strict).withColumns(
+    overlap = delivery_overlap(delivered, prefixes, conversions, pixels, strict).withColumns(
         {f"total_{c}": zero for c in _PIXEL_COLUMNS}
     )
     totals = addressable_totals(conversions, pixels).withColumns(

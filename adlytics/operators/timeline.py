@@ -20,39 +20,40 @@ def _with_hour(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hour", F.floor(F.col("at") / F.lit(HOUR_MICROS)))
 
 
+def _both(probes: DataFrame, events: DataFrame) -> DataFrame:
+    """Probes and events on one timeline, told apart by ``is_probe``."""
+    marked = probes.withColumn("is_probe", F.lit(True)).unionByName(
+        events.withColumn("is_probe", F.lit(False)), allowMissingColumns=True
+    )
+    return _with_hour(marked)
+
+
 def first_at_or_after(
     probes: DataFrame, events: DataFrame, keys: Sequence[str], payload: Sequence[str]
 ) -> DataFrame:
-    """For each distinct probe (keys, at), the first event at that instant or later.
+    """Probes (keys, at and any further columns) with the first event at that instant or later.
 
-    Returns the probe with ``hit``, a struct of ``at`` and the payload, or NULL. Among
-    events of one instant the smallest payload is taken.
+    ``hit`` is a struct of the event's ``at`` and payload, or NULL. Among events of one
+    instant the smallest payload is taken.
     """
-    events = events.groupBy(*keys, "at").agg(F.min(F.struct("at", *payload)).alias("hit"))
-    asked = probes.select(*keys, "at").distinct().withColumn("hit", F.lit(None).cast(events.schema["hit"].dataType))
-    marks = _with_hour(
-        events.withColumn("is_probe", F.lit(False)).unionByName(asked.withColumn("is_probe", F.lit(True)))
-    )
+    found = events.groupBy(*keys, "at").agg(F.min(F.struct("at", *payload)).alias("event"))
+    marks = _both(probes, found)
     rest_of_hour = (
         W.partitionBy(*keys, "hour").orderBy(F.col("at").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
     )
-    near = marks.withColumn("near", F.min("hit").over(rest_of_hour)).filter("is_probe")
+    near = marks.withColumn("near", F.min("event").over(rest_of_hour)).filter("is_probe")
     later_hours = W.partitionBy(*keys).orderBy(F.col("hour").desc()).rowsBetween(W.unboundedPreceding, -1)
     far = (
         marks.groupBy(*keys, "hour")
-        .agg(F.min("hit").alias("first_hit"))
-        .select(*keys, "hour", F.min("first_hit").over(later_hours).alias("far"))
+        .agg(F.min("event").alias("first_event"))
+        .select(*keys, "hour", F.min("first_event").over(later_hours).alias("far"))
     )
-    return near.join(far, [*keys, "hour"]).select(*keys, "at", F.coalesce("near", "far").alias("hit"))
+    return near.join(far, [*keys, "hour"]).select(*probes.columns, F.coalesce("near", "far").alias("hit"))
 
 
 def count_before(probes: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each distinct probe (keys, at), the sum of ``n`` over points strictly before it."""
-    points = points.groupBy(*keys, "at").agg(F.sum("n").alias("n"))
-    asked = probes.select(*keys, "at").distinct().withColumn("n", F.lit(0).cast("bigint"))
-    marks = _with_hour(
-        points.withColumn("is_probe", F.lit(False)).unionByName(asked.withColumn("is_probe", F.lit(True)))
-    )
+    """Probes with ``n_before``, the sum of ``n`` over the points strictly before them."""
+    marks = _both(probes, points.groupBy(*keys, "at").agg(F.sum("n").alias("n")))
     # A probe comes before the points of its own instant.
     earlier_in_hour = (
         W.partitionBy(*keys, "hour")
@@ -66,6 +67,6 @@ def count_before(probes: DataFrame, points: DataFrame, keys: Sequence[str]) -> D
         .agg(F.sum("n").alias("in_hour"))
         .select(*keys, "hour", F.sum("in_hour").over(earlier_hours).alias("far"))
     )
-    return near.join(far, [*keys, "hour"]).select(
-        *keys, "at", (F.col("near") + F.coalesce("far", F.lit(0))).alias("n_before")
-    )
+    none = F.lit(0).cast("bigint")
+    before = F.coalesce("near", none) + F.coalesce("far", none)
+    return near.join(far, [*keys, "hour"]).select(*probes.columns, before.alias("n_before"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from adlytics.operators import attribution, conversions, delivery, event_root, household, identity, overlap
 from adlytics.params import ConversionPixels, Period, Window
-from adlytics.sources.tables import scan
+from adlytics.sources.tables import save_intermediate, scan
 
 
 class Tables(Protocol):
@@ -69,10 +69,12 @@ def overlap_report(
     """Whole delivery of one country against an advertiser's conversions."""
     homes = household.household_prefixes(tables.ip_prefix_mapping(), bid_days)
     ads = household.flag_household(delivery.ad_level(scan(tables.bidstream(), bid_days, country=country)), homes)
+    # The bid log is read once; its sums are small and read several times.
+    delivered = save_intermediate(overlap.delivery_sums(ads), "delivery-sums")
     converted = conversions.site_conversions(tables.site_events(), pixels, conversion_days)
     if with_totals:
-        return overlap.delivery_overlap_with_totals(ads, homes, converted, pixels, bid_days.start, strict)
-    return overlap.delivery_overlap(ads, homes, converted, pixels, strict)
+        return overlap.delivery_overlap_with_totals(delivered, homes, converted, pixels, bid_days.start, strict)
+    return overlap.delivery_overlap(delivered, homes, converted, pixels, strict)
 
 
 def people(
@@ -90,7 +92,8 @@ def people(
     if sample_fraction < 1.0:
         bids = bids.sample(fraction=sample_fraction, seed=seed)
     cascade = mode == "cascade"
-    seats = delivery.seat_level(bids, impressions_only=cascade, household_ip=True)
+    # The bid log is read once; the platform's seats are few and read several times.
+    seats = save_intermediate(identity.person_seats(bids, impressions_only=cascade), "seats")
     cached = identity.cached_households(tables.id_mapping(), lookup_days)
     listing = household.household_prefix_rows if cascade else household.household_prefixes
     return identity.resolve_person(seats, cached, listing(tables.ip_prefix_mapping(), prefix_days), mode)

@@ -53,7 +53,14 @@ class Derived:
     folder: str
 
     def _source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A source table, its rows spread out when fewer tasks than cores would read it.
+
+        A small file is one task's work whatever is computed from its rows. A large table
+        is split by the scan already and is not shuffled.
+        """
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
     def bidstream(self) -> DataFrame:
         """One request per order with up to two ads, three seats each, two bids each."""

@@ -382,6 +382,11 @@ _add(
     text="date is_household",
     ts="first_delivery",
 )
+_add(
+    "active_events",
+    ("delivered", "converted"),
+    "SELECT (SELECT count(*) FROM delivered) AS impressions, (SELECT count(*) FROM converted) AS conversions",
+)
 _ROW_ORDER = ", ".join(
     f"{c} ASC NULLS FIRST"
     for c in """ts pwid browser device os ip home usr domain campaign_id line_id opportunity io_number gross clicks

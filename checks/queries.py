@@ -370,6 +370,13 @@ def event_root_nested(t: Derived) -> DataFrame:
     )
 
 
+@query
+def active_events(t: Derived) -> DataFrame:
+    """Events kept per kind; a root built here holds only events that are kept."""
+    events = attribution.keep_active(attribution.attribution_events(_saved_root(t)))
+    return events.agg(F.count("impression").alias("impressions"), F.count("conversion").alias("conversions"))
+
+
 @query
 def attribute_conversions(t: Derived) -> DataFrame:
     mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)))
