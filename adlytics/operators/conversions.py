@@ -296,21 +296,27 @@ def match_user_then_device(seats: DataFrame, conversions: DataFrame, strict: boo
     )
 
 
-def device_match_report(seats: DataFrame, conversions: DataFrame, strict: bool = False) -> DataFrame:
-    """Delivery and matched ids per day, platform, arm and pixel, best bid CPM first."""
-    by = ["date_ts", "ad_platform", "exp_type"]
+def device_match_sums(seats: DataFrame) -> DataFrame:
+    """Seats summed per day, platform, arm, user and device."""
     labelled = label_seats(seats, neither="normal_workflow").withColumn("device_key", _device_key())
-    summed = labelled.groupBy(*by, "site_user_id", "device_key").agg(
+    return labelled.groupBy("date_ts", "ad_platform", "exp_type", "site_user_id", "device_key").agg(
         F.count_if("is_bid_request_sent").alias("sent"),
         F.count_if("br_is_impression").alias("won"),
         F.sum(F.try_divide("br_max_bid_net_usd", F.lit(1000))).alias("spent"),
         F.count(F.lit(1)).alias("seat_rows"),
     )
+
+
+def device_match_report(summed: DataFrame, conversions: DataFrame, strict: bool = False) -> DataFrame:
+    """Delivery and matched ids per day, platform, arm and pixel, best bid CPM first.
+
+    ``summed`` comes from ``device_match_sums``; save it first, as it is read more than once.
+    """
     device = fingerprint(*[F.col(f"conv_{c}") for c in _DEVICE_FIELDS])
     matched = match_user_then_device(summed, conversions, strict).withColumns(
         {"conv_device": device, "weighted": F.col("match_rows") * F.col("seat_rows")}
     )
-    by = [*by, "pixel_name"]
+    by = ["date_ts", "ad_platform", "exp_type", "pixel_name"]
     totals = matched.groupBy(*by).agg(
         F.sum(F.col("sent") * F.col("match_rows")).alias("bid_request_sent"),
         F.sum(F.col("won") * F.col("match_rows")).alias("imps"),

@@ -6,7 +6,6 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from adlytics.operators.conversions import HOUSEHOLD_SOURCE, USER_SOURCE
 from adlytics.operators.joins import drop_known, keep_known, left_join
@@ -103,14 +102,11 @@ def delivery_overlap(
 
 def addressable_totals(conversions: DataFrame, pixels: ConversionPixels) -> DataFrame:
     """Pixel totals per UTM pair over users with more than one conversion."""
-    per_user = (
-        conversions.filter(F.col("site_user_id").isNotNull())
-        .groupBy("site_user_id", *_UTM)
-        .agg(F.count(F.lit(1)).alias("n"), *_pixel_sums(pixels))
-    )
-    of_user = W.partitionBy("site_user_id")
-    repeated = per_user.withColumn("user_conversions", F.sum("n").over(of_user)).filter("user_conversions > 1")
-    return repeated.groupBy(*_UTM).agg(*[F.sum(c).alias(f"total_{c}") for c in _PIXEL_COLUMNS])
+    known = conversions.filter(F.col("site_user_id").isNotNull())
+    per_user = known.groupBy("site_user_id", *_UTM).agg(F.count(F.lit(1)).alias("n"), *_pixel_sums(pixels))
+    repeated = per_user.groupBy("site_user_id").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
+    addressable = keep_known(per_user, "site_user_id", repeated.withColumnRenamed("site_user_id", "listed"), "listed")
+    return addressable.groupBy(*_UTM).agg(*[F.sum(c).alias(f"total_{c}") for c in _PIXEL_COLUMNS])
 
 
 def delivery_overlap_with_totals(

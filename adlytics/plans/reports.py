@@ -52,9 +52,11 @@ def device_match(
 ) -> DataFrame:
     """Delivery against completed conversions matched by user id, then by device."""
     seats = delivery.seat_level(scan(tables.bidstream(), days))
+    # The bid log is read once; its sums are small and read several times.
+    summed = save_intermediate(conversions.device_match_sums(seats), "device-sums")
     converted = conversions.site_conversions(tables.site_events(), pixels, days)
     completed = converted.filter(F.col("pixel_id") == pixels.completed)
-    return conversions.device_match_report(seats, completed, strict)
+    return conversions.device_match_report(summed, completed, strict)
 
 
 def overlap_report(
@@ -115,6 +117,15 @@ def root_events(tables: Tables, days: Period, household_day: Period, creative_ch
     return event_root.event_rows(delivered, event_root.conversion_events(tables.site_sessions(), days))
 
 
+def nested_root(
+    tables: Tables, days: Period, household_day: Period, creative_characters: str, max_events: int = 10_000
+) -> DataFrame:
+    """Nested attribution root, from its two sides saved first: nesting reads them twice."""
+    delivered = save_intermediate(delivery_side(tables, days, household_day, creative_characters), "delivery")
+    converted = save_intermediate(event_root.conversion_events(tables.site_sessions(), days), "conversions")
+    return event_root.build_event_root(delivered, converted, max_events)
+
+
 def campaign_attribution(rows: DataFrame) -> DataFrame:
     """Campaign rollup of the 30-day attribution."""
     return attribution.campaign_report(attribution.attribution_events(rows))

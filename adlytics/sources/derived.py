@@ -45,6 +45,9 @@ def _person(n: str) -> dict[str, str]:
 _ORDER_TS = "timestamp_seconds(1704067200 + (o_orderkey * 7919) % 2592000)"
 
 
+_scan_tasks: dict[tuple[str, str, str], int] = {}
+
+
 @dataclass(frozen=True)
 class Derived:
     """The derived tables of one data folder."""
@@ -60,7 +63,10 @@ class Derived:
         """
         rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+        file = (self.spark.sparkContext.applicationId, self.folder, name)
+        if file not in _scan_tasks:
+            _scan_tasks[file] = rows.rdd.getNumPartitions()
+        return rows.repartition(cores) if _scan_tasks[file] < cores else rows
 
     def bidstream(self) -> DataFrame:
         """One request per order with up to two ads, three seats each, two bids each."""

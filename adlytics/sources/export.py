@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 PART_ROWS = 1_000_000
-_RANK_BUCKETS = 512
+RANK_BUCKETS = 4096
 _TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -91,7 +91,7 @@ def export_parts(rows: DataFrame, prefix: str, part_rows: int = PART_ROWS, ts: s
     counted = (
         rows.groupBy(F.to_date(ts).alias("export_date"), *columns)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(_RANK_BUCKETS)))
+        .withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(RANK_BUCKETS)))
     )
     before = W.partitionBy("export_date").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     whole_day = W.partitionBy("export_date")

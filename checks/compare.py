@@ -12,7 +12,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from checks import oracles
 from checks.queries import registered
@@ -39,8 +39,11 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def compare(spark: SparkSession, base: duckdb.DuckDBPyConnection, folder: str, name: str) -> str:
-    """Empty when both results hold the same rows, else what differs."""
-    result = registered()[name](spark, folder)
+    return difference(registered()[name](spark, folder), base, name)
+
+
+def difference(result: DataFrame, base: duckdb.DuckDBPyConnection, name: str) -> str:
+    """Empty when the result holds the rows its SQL gives, else what differs."""
     found = _bag(result.columns, [tuple(r) for r in result.collect()])
     answer = base.execute(oracles.all_sql()[name])
     names = [d[0] for d in answer.description]
@@ -73,13 +76,13 @@ def main(folder: str, only: list[str]) -> int:
             continue
         start = time.time()
         try:
-            difference = compare(spark, base, folder, name)
+            found = compare(spark, base, folder, name)
         except Exception as error:  # report and go on with the other queries
-            difference = f"{type(error).__name__}: {str(error)[:1500]}"
-        failed += bool(difference)
-        print(f"{name:36s} {'ok' if not difference else 'DIFFERS'} {time.time() - start:.1f}s", flush=True)
-        if difference:
-            print("  " + difference[:3000], flush=True)
+            found = f"{type(error).__name__}: {str(error)[:1500]}"
+        failed += bool(found)
+        print(f"{name:36s} {'DIFFERS' if found else 'ok'} {time.time() - start:.1f}s", flush=True)
+        if found:
+            print("  " + found[:3000], flush=True)
     print(f"{failed} differ")
     return failed
 

@@ -356,10 +356,7 @@ def root_conversions(t: Derived) -> DataFrame:
 @query
 def event_root_nested(t: Derived) -> DataFrame:
     """The nested root, its arrays shown by size and sums."""
-    root = event_root.build_event_root(
-        reports.delivery_side(t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS),
-        event_root.conversion_events(t.site_sessions(), MONTH),
-    )
+    root = reports.nested_root(t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS)
     spent = F.aggregate("delivery", F.lit(0.0), lambda total, d: total + d["bid_net_usd"])
     return root.select(
         *event_root.ROOT_KEYS,

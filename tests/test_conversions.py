@@ -124,7 +124,7 @@ def _match(spark, seats, events, strict=False):
     device = {"browser_name": "b", "device_type": "d", "os_name": "o", "os_version": "v"}
     rows = [e | device for e in events]
     report = conversions.device_match_report(
-        spark.createDataFrame(seats, SEATS), conversions.site_conversions(table(spark, "site_events", rows), PIXELS), strict
+        conversions.device_match_sums(spark.createDataFrame(seats, SEATS)), conversions.site_conversions(table(spark, "site_events", rows), PIXELS), strict
     )
     return {r["pixel_name"]: (r["bid_request_sent"], r["total_user_id_count"], r["total_pwid_count"]) for r in report.collect()}
 

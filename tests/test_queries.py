@@ -14,15 +14,15 @@ def base():
     return compare.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.all_sql()))
-def test_query_equals_sql(spark, base, name):
-    assert compare.compare(spark, base, FOLDER, name) == ""
-
-
 @pytest.mark.parametrize("name", sorted(registered()))
-def test_plan(spark, name):
-    plan = registered()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+def test_query(spark, base, name):
+    result = registered()[name](spark, FOLDER)
+    plan = result._jdf.queryExecution().executedPlan().toString()
     assert [node for node in FORBIDDEN if node in plan] == []
+    if name in oracles.all_sql():
+        assert compare.difference(result, base, name) == ""
+    else:
+        assert result.count() >= 0
 
 
 def test_every_sql_has_a_query():
