@@ -94,6 +94,8 @@ def test_elapsed(spark, start, end, crossed, hours, days):
 def _expected_address(value):
     if value.count(":") == 0:
         return value
+    if value.count(":") > 7:  # beyond the shape test, like "1:2:3:4:5:6:7::"
+        return None
     try:
         network = ipaddress.ip_network(f"{value}/64", strict=False)
     except ValueError:
