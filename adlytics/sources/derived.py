@@ -129,7 +129,8 @@ class Derived:
         return self._events().selectExpr(
             "ts",
             *[f"{e} AS {n}" for n, e in person.items() if n != "device_name"],
-            "CASE WHEN e % 11 <> 0 THEN concat('u', u) END AS site_user_id",
+            # Some conversions come under an id no request carries.
+            "CASE WHEN e % 11 <> 0 THEN concat(CASE WHEN e % 7 = 3 THEN 'v' ELSE 'u' END, u) END AS site_user_id",
             """concat('https://shop.example/p?x=', e, CASE n % 4
                 WHEN 1 THEN concat('&utm_medium=', element_at(array('email', 'cpc', 'social'), 1 + CAST(n % 3 AS INT)), '&utm_source=', element_at(array('news', 'search'), 1 + CAST(n % 2 AS INT)))
                 WHEN 2 THEN '&utm_medium=cpc&y=1'

@@ -369,7 +369,7 @@ _CONVERTED = f"SELECT * REPLACE ({_FAMILY} AS browser) FROM converted"
 _add(
     "root_conversions",
     ("converted",),
-    f"""SELECT {_KEYS}, ts, domain AS advertiser_domain, pixel_id, pixel_name, 1 AS conversion FROM ({_CONVERTED})""",
+    f"""SELECT {_KEYS}, ts, domain AS advertiser_domain, pixel_id, pixel_name, CAST(1 AS BIGINT) AS conversion FROM ({_CONVERTED})""",
     text="date is_household",
     ts="ts",
 )

@@ -360,8 +360,8 @@ def event_root_nested(t: Derived) -> DataFrame:
     spent = F.aggregate("delivery", F.lit(0.0), lambda total, d: total + d["bid_net_usd"])
     return root.select(
         *event_root.ROOT_KEYS,
-        F.array_size("conversions").alias("conversions"),
-        F.array_size("delivery").alias("delivered"),
+        F.array_size("conversions").cast("bigint").alias("conversions"),
+        F.array_size("delivery").cast("bigint").alias("delivered"),
         spent.alias("bid_net_usd"),
         F.array_min(F.transform("delivery", lambda d: d["ts"])).alias("first_delivery"),
     )

@@ -96,7 +96,7 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "pixel_events": (
         ("ev",),
         f"""SELECT e, ts, d, n, {_person('u')},
-            CASE WHEN e % 11 <> 0 THEN 'u' || CAST(u AS VARCHAR) END AS usr,
+            CASE WHEN e % 11 <> 0 THEN CASE WHEN e % 7 = 3 THEN 'v' ELSE 'u' END || CAST(u AS VARCHAR) END AS usr,
             'https://shop.example/p?x=' || CAST(e AS VARCHAR) || CASE n % 4
                 WHEN 1 THEN '&utm_medium=' || CASE n % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'cpc' ELSE 'social' END
                     || '&utm_source=' || CASE n % 2 WHEN 0 THEN 'news' ELSE 'search' END
