@@ -72,21 +72,38 @@ def lookup_keys() -> Column:
     return F.when(F.array_size(keys) > 0, keys)
 
 
-def match_any_key(rows: DataFrame, keys: str, lookup: DataFrame, lookup_key: str) -> DataFrame:
-    """Left join in which a lookup row matches when its key is any of the row's keys.
+_SEPARATOR = "\x1f"
+
+
+def _key_sets(rows: DataFrame, lookup_key: str) -> DataFrame:
+    """The distinct key sets with one row per key."""
+    sets = rows.filter(F.col("lookup_set").isNotNull()).select("lookup_set").distinct()
+    return sets.select(
+        F.array_join("lookup_set", _SEPARATOR).alias("set_text"), F.explode("lookup_set").alias(lookup_key)
+    )
+
+
+def _join_sets(rows: DataFrame, per_set: DataFrame) -> DataFrame:
+    keyed = rows.withColumn("keys_text", F.array_join("lookup_set", _SEPARATOR))
+    return left_join(keyed, per_set, "keys_text", "set_text").drop("keys_text")
+
+
+def match_any_key(rows: DataFrame, lookup: DataFrame, lookup_key: str) -> DataFrame:
+    """Left join in which a lookup row matches when its key is any of ``lookup_set``.
 
     The OR of key equalities becomes one equi-join: a lookup row has one key and a row's
     keys are distinct, so each pair is found once. Only the distinct key sets are
     unfolded, not the rows, and the rows are shuffled once.
     """
-    values = [c for c in lookup.columns if c != lookup_key]
-    sets = rows.filter(F.col(keys).isNotNull()).select(F.col(keys).alias("key_set")).distinct()
-    unfolded = sets.select("key_set", F.explode("key_set").alias(lookup_key))
-    found = unfolded.join(lookup, lookup_key).select(
-        F.array_join("key_set", "\x1f").alias("set_text"), *values
-    )
-    keyed = rows.withColumn("keys_text", F.array_join(keys, "\x1f"))
-    return left_join(keyed, found, "keys_text", "set_text").drop("keys_text")
+    found = _key_sets(rows, lookup_key).join(lookup, lookup_key).drop(lookup_key)
+    return _join_sets(rows, found)
+
+
+def count_any_key(rows: DataFrame, lookup: DataFrame, lookup_key: str, weight: str, into: str) -> DataFrame:
+    """Rows with the summed weight of the lookup rows ``match_any_key`` would give, or NULL."""
+    per_key = lookup.groupBy(lookup_key).agg(F.sum(weight).alias(into))
+    per_set = _key_sets(rows, lookup_key).join(per_key, lookup_key).groupBy("set_text").agg(F.sum(into).alias(into))
+    return _join_sets(rows, per_set)
 
 
 def person_seats(bids: DataFrame, impressions_only: bool = False) -> DataFrame:
@@ -97,80 +114,80 @@ def person_seats(bids: DataFrame, impressions_only: bool = False) -> DataFrame:
     )
 
 
+def place_seats(seats: DataFrame, cached: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Seats with what is known about them and their request, one row each.
+
+    Adds ``matches``, the cached rows found (NULL for none), ``is_household``, and the
+    same for the whole request: ``request_cached`` and ``request_listed``. ``seats`` comes
+    from ``person_seats``; save it first, as it is read more than once.
+    """
+    tried = flag_household(count_any_key(seats, cached, "mapping_key", "cached_rows", "matches"), prefixes)
+    requests = tried.filter(F.col("request_id").isNotNull()).groupBy(F.col("request_id").alias("known_request")).agg(
+        F.max(F.col("matches").isNotNull()).alias("request_cached"),
+        F.max("is_household").alias("request_listed"),
+    )
+    return left_join(tried, requests, "request_id", "known_request")
+
+
 def _person(first: str, *rest: str) -> Column:
     return F.concat(F.col(first), *[F.col(c) for c in rest])
 
 
-def _with_cached(seats: DataFrame, cached: DataFrame) -> DataFrame:
-    """Seats with their cached household, one row per match; summed over equal matches."""
-    return match_any_key(seats, "lookup_set", cached, "mapping_key")
+_CACHED_PERSON = ("household_id", "device_name", "os_name", "browser_name")
+_ADDRESS_PERSON = ("ip_address", "os_name", "device_name", "browser_name")
+
+
+def _own_people(placed: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Seats resolved without the cache: by address, and by user id."""
 
+    def output(rows: DataFrame, source: str, person: Column) -> DataFrame:
+        return rows.select(F.lit(source).alias("ip_source"), person.alias("premium_web_id"), *SEAT_OUTPUT)
 
-def resolve_person(
-    seats: DataFrame, cached: DataFrame, prefixes: DataFrame, mode: str = "exclusive"
-) -> DataFrame:
+    # A missing request id passes no NOT IN, but has no match in an outer join either.
+    missing = {"exclusive": False, "distinct_fallback": True}
+    if mode not in missing:
+        raise ValueError("mode must be 'exclusive' or 'distinct_fallback'")
+    free = placed.filter(F.col("matches").isNull() & F.coalesce(~F.col("request_cached"), F.lit(missing[mode])))
+    by_address = output(free.filter("is_household"), REQUEST, _person(*_ADDRESS_PERSON))
+    if mode == "exclusive":
+        by_user = output(free.filter(~F.col("request_listed")), NONE_FOUND, F.col("site_user_id"))
+        return by_address.distinct(), by_user
+    return by_address, output(placed, NONE_FOUND, F.col("site_user_id")).distinct()
+
+
+def resolve_person(placed: DataFrame, cached: DataFrame, mode: str = "exclusive") -> DataFrame:
     """Person id per seat with its source and ``match_rows``, the equal rows it stands for.
 
-    ``seats`` comes from ``person_seats``; save it first, as it is read more than once.
-    Modes:
+    ``placed`` comes from ``place_seats``; save it first. Modes:
 
     ``exclusive``
         A request found in the cache is not tried by address, and one found by either is
         not given its user id. Rows found by address are distinct.
     ``distinct_fallback``
         As above, but every distinct seat also gets a user-id row, found or not.
-    ``cascade``
-        Per row: cached household, else the request address whenever all its parts are
-        known, else the user id. ``prefixes`` holds ``prefix_rows``, by which the rows of
-        a listed address are repeated.
+
+    A seat is repeated for each household cached under its keys; ``reach_report`` does
+    without these rows.
     """
-    if mode == "cascade":
-        return _cascade(seats, cached, prefixes)
-    if mode not in ("exclusive", "distinct_fallback"):
-        raise ValueError("mode must be 'exclusive', 'distinct_fallback' or 'cascade'")
-
-    tried = flag_household(_with_cached(seats, cached), prefixes)
-    in_cache = F.col("cached_rows").isNotNull()
-    # What is known about a request is known for all its rows.
-    requests = tried.filter(F.col("request_id").isNotNull()).groupBy(F.col("request_id").alias("known_request")).agg(
-        F.max(in_cache).alias("request_cached"),
-        F.max(F.col("is_household")).alias("request_listed"),
+    by_address, by_user = _own_people(placed, mode)
+    found = match_any_key(placed.filter(F.col("matches").isNotNull()), cached, "mapping_key")
+    from_cache = found.select(
+        F.lit(CACHED).alias("ip_source"),
+        _person(*_CACHED_PERSON).alias("premium_web_id"),
+        *SEAT_OUTPUT,
+        F.col("cached_rows").alias("match_rows"),
     )
-    rows = left_join(tried, requests, "request_id", "known_request")
-    cached_person = _person("household_id", "device_name", "os_name", "browser_name")
-    address_person = _person("ip_address", "os_name", "device_name", "browser_name")
+    own = by_address.unionByName(by_user).withColumn("match_rows", F.lit(1).cast("bigint"))
+    return from_cache.unionByName(own)
 
-    # A missing request id passes no NOT IN, but has no match in an outer join either.
-    free = ~in_cache & F.coalesce(~F.col("request_cached"), F.lit(mode == "distinct_fallback"))
-    by_address = free & F.col("is_household")
-    by_user = free & ~F.col("request_listed") if mode == "exclusive" else F.lit(False)
-    source = F.when(in_cache, CACHED).when(by_address, REQUEST).when(by_user, NONE_FOUND)
-    person = F.when(in_cache, cached_person).when(by_address, address_person).otherwise(F.col("site_user_id"))
-    found = (
-        rows.select(
-            source.alias("ip_source"),
-            person.alias("premium_web_id"),
-            *SEAT_OUTPUT,
-            F.coalesce("cached_rows", F.lit(1)).alias("match_rows"),
-        )
-        .filter(F.col("ip_source").isNotNull())
-    )
-    output = [c for c in found.columns if c != "match_rows"]
-    if mode == "exclusive":
-        once = F.col("ip_source") == REQUEST
-        total = F.sum("match_rows")
-        return found.groupBy(*output).agg(F.when(once, F.lit(1)).otherwise(total).cast("bigint").alias("match_rows"))
-    fallback = seats.select(
-        F.lit(NONE_FOUND).alias("ip_source"),
-        F.col("site_user_id").alias("premium_web_id"),
-        *SEAT_OUTPUT,
-        F.lit(1).cast("bigint").alias("match_rows"),
-    ).distinct()
-    return found.unionByName(fallback)
 
+def resolve_person_cascade(seats: DataFrame, cached: DataFrame, prefix_rows: DataFrame) -> DataFrame:
+    """Person id row by row: cached household, else the address, else the user id.
 
-def _cascade(seats: DataFrame, cached: DataFrame, prefix_rows: DataFrame) -> DataFrame:
-    tried = _with_cached(seats, cached)
+    The address is taken whenever all its parts are known, listed or not; rows of a listed
+    address are repeated by its ``prefix_rows`` (from ``household_prefix_rows``).
+    """
+    tried = match_any_key(seats, cached, "mapping_key")
     listed = prefix_rows.select(
         F.concat(F.col("date_h").cast("string"), F.lit(" "), F.col("ip_address_prefix")).alias("prefix_key"),
         "prefix_rows",
@@ -179,8 +196,7 @@ def _cascade(seats: DataFrame, cached: DataFrame, prefix_rows: DataFrame) -> Dat
         "address_key", F.concat(F.col("date_ts").cast("string"), F.lit(" "), F.col("ip_address"))
     )
     rows = left_join(keyed, listed, "address_key", "prefix_key")
-    cached_person = _person("household_id", "device_name", "os_name", "browser_name")
-    address_person = _person("ip_address", "os_name", "device_name", "browser_name")
+    cached_person, address_person = _person(*_CACHED_PERSON), _person(*_ADDRESS_PERSON)
     found_cached = cached_person.isNotNull()
     matches = F.coalesce(F.col("cached_rows"), F.lit(1))
     return rows.select(
@@ -193,11 +209,42 @@ def _cascade(seats: DataFrame, cached: DataFrame, prefix_rows: DataFrame) -> Dat
     )
 
 
+_REACH = ("date_ts", "ad_platform", "exp_type")
+_REACH_SUMS = ("bid_request_sent", "imps", "spend")
+
+
 def reach(people: DataFrame) -> DataFrame:
     """Delivery metrics and distinct persons per day, platform and arm."""
-    by = ["date_ts", "ad_platform", "exp_type"]
-    labelled = label_seats(people, neither="no_exp_bucket")
-    totals = labelled.groupBy(*by).agg(
-        *seat_totals("non_null", F.col("match_rows")), F.count_distinct("premium_web_id").alias("unique_pwid")
+    totals = (
+        label_seats(people, neither="no_exp_bucket")
+        .groupBy(*_REACH)
+        .agg(
+            *seat_totals("non_null", F.col("match_rows")), F.count_distinct("premium_web_id").alias("unique_pwid")
+        )
+    )
+    return totals.select(*_REACH, "bid_request_sent", "imps", *rates(), "unique_pwid")
+
+
+def reach_report(placed: DataFrame, cached: DataFrame, mode: str = "exclusive") -> DataFrame:
+    """``reach`` of the resolved persons without a row per seat and cached household.
+
+    Metrics of cached seats are multiplied by their number of matches. Households are
+    looked up for distinct groups, devices and keys only, which an identifier shared by
+    many seats does not multiply.
+    """
+    by_address, by_user = _own_people(placed, mode)
+    in_cache = label_seats(placed.filter(F.col("matches").isNotNull()), neither="no_exp_bucket")
+    own = [label_seats(rows, neither="no_exp_bucket") for rows in (by_address, by_user)]
+    sums = [in_cache.groupBy(*_REACH).agg(*seat_totals("non_null", F.col("matches")))]
+    sums += [rows.groupBy(*_REACH).agg(*seat_totals("non_null")) for rows in own]
+
+    devices = in_cache.select(*_REACH, *_CACHED_PERSON[1:], F.explode("lookup_set").alias("mapping_key")).distinct()
+    persons = [devices.join(cached, "mapping_key").select(*_REACH, _person(*_CACHED_PERSON).alias("premium_web_id"))]
+    persons += [rows.select(*_REACH, "premium_web_id") for rows in own]
+    distinct = reduce(DataFrame.unionByName, persons).groupBy(*_REACH).agg(
+        F.count_distinct("premium_web_id").alias("unique_pwid")
     )
-    return totals.select(*by, "bid_request_sent", "imps", *rates(), "unique_pwid")
+    parts = [*sums, distinct]
+    every = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
+    totals = every.groupBy(*_REACH).agg(*[F.sum(c).alias(c) for c in (*_REACH_SUMS, "unique_pwid")])
+    return totals.select(*_REACH, "bid_request_sent", "imps", *rates(), "unique_pwid")

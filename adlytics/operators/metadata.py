@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adlytics.operators.joins import left_join
 from adlytics.params import Period
+from adlytics.sources.tables import sample_rows
 
 _LINE_ITEM_FIELDS = (
     "io_number",
@@ -23,11 +24,6 @@ _LINE_ITEM_FIELDS = (
 _WIN_FIELDS = ("line_item_alt_id", "campaign_alt_id", "campaign_id")
 
 
-def sample_rows(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Seeded row sample; a fraction of 1 keeps every row."""
-    return rows if fraction >= 1.0 else rows.sample(fraction=fraction, seed=seed)
-
-
 def match_pixels_to_line_items(
     sessions: DataFrame,
     win_log: DataFrame,

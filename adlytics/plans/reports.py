@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from adlytics.operators import attribution, conversions, delivery, event_root, household, identity, overlap
 from adlytics.params import ConversionPixels, Period, Window
-from adlytics.sources.tables import save_intermediate, scan
+from adlytics.sources.tables import sample_rows, save_intermediate, scan
 
 
 class Tables(Protocol):
@@ -79,26 +79,50 @@ def overlap_report(
     return overlap.delivery_overlap(delivered, homes, converted, pixels, strict)
 
 
-def people(
+def _person_seats(
+    tables: Tables,
+    when: Period | Window,
+    country: str | None,
+    impressions_only: bool,
+    sample_fraction: float,
+    seed: int,
+) -> DataFrame:
+    bids = sample_rows(scan(tables.bidstream(), when, country=country), sample_fraction, seed)
+    # The bid log is read once; the platform's seats are few and read several times.
+    return save_intermediate(identity.person_seats(bids, impressions_only), "seats")
+
+
+def placed_seats(
     tables: Tables,
     when: Period | Window,
     prefix_days: Period,
     lookup_days: Period,
-    mode: str = "exclusive",
     country: str | None = None,
     sample_fraction: float = 1.0,
     seed: int = 0,
-) -> DataFrame:
-    """Person id for every platform seat; the cascade looks at impressions only."""
-    bids = scan(tables.bidstream(), when, country=country)
-    if sample_fraction < 1.0:
-        bids = bids.sample(fraction=sample_fraction, seed=seed)
-    cascade = mode == "cascade"
-    # The bid log is read once; the platform's seats are few and read several times.
-    seats = save_intermediate(identity.person_seats(bids, impressions_only=cascade), "seats")
+) -> tuple[DataFrame, DataFrame]:
+    """Platform seats with what the lookups know about them, and the cached households."""
+    seats = _person_seats(tables, when, country, False, sample_fraction, seed)
     cached = identity.cached_households(tables.id_mapping(), lookup_days)
-    listing = household.household_prefix_rows if cascade else household.household_prefixes
-    return identity.resolve_person(seats, cached, listing(tables.ip_prefix_mapping(), prefix_days), mode)
+    homes = household.household_prefixes(tables.ip_prefix_mapping(), prefix_days)
+    return save_intermediate(identity.place_seats(seats, cached, homes), "placed-seats"), cached
+
+
+def cascade_people(
+    tables: Tables,
+    when: Period | Window,
+    prefix_days: Period,
+    lookup_days: Period,
+    country: str | None = None,
+    sample_fraction: float = 1.0,
+    seed: int = 0,
+    lookup_cap: int | None = None,
+) -> DataFrame:
+    """Person id of every platform impression, resolved row by row."""
+    seats = _person_seats(tables, when, country, True, sample_fraction, seed)
+    cached = identity.cached_households(tables.id_mapping(), lookup_days, lookup_cap)
+    listed = household.household_prefix_rows(tables.ip_prefix_mapping(), prefix_days)
+    return identity.resolve_person_cascade(seats, cached, listed)
 
 
 def delivery_side(tables: Tables, days: Period, household_day: Period, creative_characters: str) -> DataFrame:

@@ -35,9 +35,9 @@ def scan(
     return rows if country is None else rows.filter(F.col("user_country") == country)
 
 
-def sample(table: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Seeded random row sample."""
-    return table.sample(fraction=fraction, seed=seed)
+def sample_rows(table: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """Seeded random row sample; a fraction of 1 keeps every row."""
+    return table if fraction >= 1.0 else table.sample(fraction=fraction, seed=seed)
 
 
 def partition_days(table: DataFrame, ts: str = "ts") -> DataFrame:

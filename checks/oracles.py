@@ -339,9 +339,11 @@ for _mode in ("exclusive", "distinct_fallback", "cascade"):
             FROM ({_people(_mode)}) GROUP BY ALL""",
         text="date_ts is_bid_request_sent is_test_arm is_control_arm br_is_impression",
     )
-for _mode in ("exclusive", "distinct_fallback"):
+for _name, _mode in (
+    ("reach_of_people", "exclusive"), ("reach_exclusive", "exclusive"), ("reach_distinct_fallback", "distinct_fallback")
+):
     _add(
-        f"reach_{_mode}",
+        _name,
         ("person_seats", "cached_hits"),
         f"""SELECT d AS date_ts, platform AS ad_platform, coalesce(arm, 'no_exp_bucket') AS exp_type, {_metrics(*_NON_NULL)},
             count(DISTINCT person) AS unique_pwid FROM ({_people(_mode)}) GROUP BY ALL""",

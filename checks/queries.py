@@ -291,8 +291,8 @@ def delivery_overlap_with_totals(t: Derived) -> DataFrame:
 # --- identity --------------------------------------------------------------------------
 
 
-def _people(t: Derived, mode: str) -> DataFrame:
-    return reports.people(t, MONTH, MONTH, LOOKUP_DAY, mode, COUNTRY)
+def _placed(t: Derived) -> tuple[DataFrame, DataFrame]:
+    return reports.placed_seats(t, MONTH, MONTH, LOOKUP_DAY, COUNTRY)
 
 
 def _as_bag(people: DataFrame) -> DataFrame:
@@ -307,27 +307,33 @@ def cached_households(t: Derived) -> DataFrame:
 
 @query
 def resolve_person_exclusive(t: Derived) -> DataFrame:
-    return _as_bag(_people(t, "exclusive"))
+    return _as_bag(identity.resolve_person(*_placed(t)))
 
 
 @query
 def resolve_person_distinct_fallback(t: Derived) -> DataFrame:
-    return _as_bag(_people(t, "distinct_fallback"))
+    return _as_bag(identity.resolve_person(*_placed(t), mode="distinct_fallback"))
 
 
 @query
 def resolve_person_cascade(t: Derived) -> DataFrame:
-    return _as_bag(_people(t, "cascade"))
+    return _as_bag(reports.cascade_people(t, MONTH, MONTH, LOOKUP_DAY, COUNTRY))
+
+
+@query
+def reach_of_people(t: Derived) -> DataFrame:
+    """Reach from the resolved rows."""
+    return identity.reach(identity.resolve_person(*_placed(t)))
 
 
 @query
 def reach_exclusive(t: Derived) -> DataFrame:
-    return identity.reach(_people(t, "exclusive"))
+    return identity.reach_report(*_placed(t))
 
 
 @query
 def reach_distinct_fallback(t: Derived) -> DataFrame:
-    return identity.reach(_people(t, "distinct_fallback"))
+    return identity.reach_report(*_placed(t), mode="distinct_fallback")
 
 
 # --- attribution -----------------------------------------------------------------------

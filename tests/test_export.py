@@ -8,7 +8,7 @@ import pytest
 from adlytics.operators import metadata
 from adlytics.params import Period
 from adlytics.sources import export
-from adlytics.sources.tables import partition_days, read_table, save_table, with_names
+from adlytics.sources.tables import partition_days, read_table, sample_rows, save_table, with_names
 from datetime import date
 from helpers import rows_of, table, ts
 
@@ -105,5 +105,5 @@ def test_pixels_to_line_items(spark):
     assert rows_of(found, *columns) == sorted([
         ("7", "L", "L", date(2024, 1, 1), date(2024, 2, 5), 8), ("7", "none", None, None, None, 2),
         ("7", None, None, None, None, 2), ("none", None, None, None, None, 1)], key=repr)
-    again = [metadata.sample_rows(spark.range(1000), 0.1, 3).count() for _ in range(2)]
+    again = [sample_rows(spark.range(1000), 0.1, 3).count() for _ in range(2)]
     assert again[0] == again[1] and 50 < again[0] < 200

@@ -63,6 +63,11 @@ EQUAL = [("equal", "cached_hhip", "H2dob", 2), ("equal", "cached_hhip", "H3dob",
 HASHED = ("hashed", "cached_hhip", "H1dob", 1)
 
 
+@pytest.fixture(scope="module")
+def placed(seats, cached, homes):
+    return identity.place_seats(seats, cached, homes)
+
+
 def expect(*rows):
     return sorted([*EQUAL, HASHED, *rows], key=repr)
 
@@ -77,8 +82,8 @@ def test_cached_households(cached):
     ]
 
 
-def test_exclusive(seats, cached, homes):
-    assert summed(identity.resolve_person(seats, cached, homes)) == expect(
+def test_exclusive(placed, cached):
+    assert summed(identity.resolve_person(placed, cached)) == expect(
         ("home", "request_hhip", "1.1.1.1odb", 1),
         ("away", "no_hhip_found", "u2", 2),
         ("half home", "request_hhip", "1.1.1.1odb", 1),
@@ -88,8 +93,8 @@ def test_exclusive(seats, cached, homes):
     )
 
 
-def test_distinct_fallback(seats, cached, homes):
-    found = summed(identity.resolve_person(seats, cached, homes, "distinct_fallback"))
+def test_distinct_fallback(placed, cached):
+    found = summed(identity.resolve_person(placed, cached, "distinct_fallback"))
     fallback = [r for r in found if r[1] == "no_hhip_found"]
     assert len(fallback) == 9 and all(r[3] == 1 for r in fallback)
     assert ("home", "request_hhip", "1.1.1.1odb", 2) in found
@@ -97,7 +102,7 @@ def test_distinct_fallback(seats, cached, homes):
 
 def test_cascade(spark, seats, cached):
     prefix_rows = spark.createDataFrame([(DAY, "1.1.1.1", 3)], "date_h date, ip_address_prefix string, prefix_rows bigint")
-    assert summed(identity.resolve_person(seats, cached, prefix_rows, "cascade")) == expect(
+    assert summed(identity.resolve_person_cascade(seats, cached, prefix_rows)) == expect(
         ("home", "request_hhip", "1.1.1.1odb", 6),
         ("away", "request_hhip", "2.2.2.2odb", 2),
         ("half home", "request_hhip", "1.1.1.1odb", 3),
@@ -108,19 +113,26 @@ def test_cascade(spark, seats, cached):
     )
 
 
-def test_each_request_has_one_source(seats, cached, homes):
-    people = identity.resolve_person(seats, cached, homes)
+def test_each_request_has_one_source(seats, placed, cached):
+    people = identity.resolve_person(placed, cached)
     sources = people.select("request_id", "ip_source").distinct().groupBy("request_id").count()
     assert sources.filter("count > 1").count() == 0
     assert sources.count() == seats.select("request_id").distinct().count()
 
 
-def test_reach(seats, cached, homes):
-    found = identity.reach(identity.resolve_person(seats, cached, homes))
+def test_reach(placed, cached):
     # 3 + 1 cached, 1 + 1 + 1 by address, 2 + 1 by user id, 3 cached without parts.
-    assert rows_of(found, "exp_type", "bid_request_sent", "imps", "unique_pwid") == [("no_exp_bucket", 13, 13, 6)]
+    expected = [("no_exp_bucket", 13, 13, 6)]
+    for found in (identity.reach(identity.resolve_person(placed, cached)), identity.reach_report(placed, cached)):
+        assert rows_of(found, "exp_type", "bid_request_sent", "imps", "unique_pwid") == expected
+
+
+def test_reach_report_equals_reach_of_rows(placed, cached):
+    by_rows = identity.reach(identity.resolve_person(placed, cached, "distinct_fallback"))
+    assert rows_of(identity.reach_report(placed, cached, "distinct_fallback")) == rows_of(by_rows)
 
 
-def test_unknown_mode(seats, cached, homes):
-    with pytest.raises(ValueError):
-        identity.resolve_person(seats, cached, homes, "other")
+def test_unknown_mode(placed, cached):
+    for build in (identity.resolve_person, identity.reach_report):
+        with pytest.raises(ValueError):
+            build(placed, cached, "other")

@@ -109,10 +109,14 @@ def test_shared_lookup_key(spark):
     seats = hot_seats(spark).withColumns(
         {"ad_id": F.lit("a"), "device_name": F.lit("d"), "lookup_set": F.array(F.lit("shared"))}
     )
-    cached = spark.createDataFrame([("shared", "H", 3)], "mapping_key string, household_id string, cached_rows bigint")
+    # N seats and N households under one identifier: N persons, N * N matches.
+    cached = spark.range(N).select(
+        F.lit("shared").alias("mapping_key"), F.concat(F.lit("H"), "id").alias("household_id"),
+        F.lit(3).cast("bigint").alias("cached_rows"),
+    )
     homes = spark.createDataFrame([], "date_h date, ip_address_prefix string")
-    row = identity.reach(identity.resolve_person(seats, cached, homes)).first()
-    assert (row["bid_request_sent"], row["unique_pwid"]) == (3 * N, 1)
+    row = identity.reach_report(identity.place_seats(seats, cached, homes), cached).first()
+    assert (row["bid_request_sent"], row["unique_pwid"]) == (3 * N * N, N)
 
 
 @pytest.mark.parametrize(
