@@ -15,8 +15,9 @@ from adlytics.functions.text import hashed_key, micros_text
 from adlytics.functions.times import days_rounded_up, hours_at_least_one, plus_days
 from adlytics.operators.event_root import ROOT_KEYS
 from adlytics.operators.joins import join_null_safe
-from adlytics.operators.timeline import HOUR_MICROS, count_before, first_at_or_after
+from adlytics.operators.timeline import count_before, first_at_or_after
 
+HOUR_MICROS = 3_600_000_000
 DAY_MICROS = 24 * HOUR_MICROS
 SPAN_DAYS = 5
 _PERSON = tuple(k for k in ROOT_KEYS if k != "date")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from adlytics import params
 from adlytics.functions.arrays import first_field, max_field, true_if_any
 from adlytics.functions.ip import household_address
 from adlytics.functions.text import like_any
+from adlytics.schemas import has_field
 
 _REQUEST_FIELDS = (
     "request_id",
@@ -33,6 +34,16 @@ def _request_columns(bids: DataFrame) -> list[Column]:
     return found
 
 
+def _ad_columns(ads: DataFrame) -> list[Column]:
+    """Everything but the unnested ad, with the ad's id if it was read."""
+    return [F.col(c) for c in ads.columns if c != "ad"] + _present(ads, ad_id=("ad.ad_id", lambda: F.col("ad.ad_id")))
+
+
+def _present(rows: DataFrame, **columns: tuple[str, Callable[[], Column]]) -> list[Column]:
+    """The columns whose field was read, so a pruned read needs no unused fields."""
+    return [make().alias(name) for name, (path, make) in columns.items() if has_field(rows.schema, path)]
+
+
 def in_experiment_arm(seat: Column, arm_type: str) -> Column:
     return true_if_any(
         seat["experiment"],
@@ -73,35 +84,33 @@ def seat_level(
     seats = F.filter("ad.seat", wanted) if filtered else F.col("ad.seat")
     # The outer form, with the empty rows dropped after it: before an inner explode Spark
     # would evaluate the whole array filter a second time just to test its size.
-    rows = ads.select(
-        *[c for c in ads.columns if c != "ad"], F.col("ad.ad_id").alias("ad_id"), F.explode_outer(seats).alias("seat")
-    )
+    rows = ads.select(*_ad_columns(ads), F.explode_outer(seats).alias("seat"))
     if filtered:
         rows = rows.filter(F.col("seat").isNotNull())
-    kept = [c for c in rows.columns if c != "seat"]
     if household_ip:
         rows = rows.withColumn("ip_address", household_address(F.col("ip_address")))
     made = F.col("seat.bid_request")
     return rows.select(
-        *kept,
-        F.col("seat.seat_name").alias("seat_name"),
-        F.col("seat.is_bid_request_sent").alias("is_bid_request_sent"),
-        in_experiment_arm(F.col("seat"), params.EXPERIMENT_TEST_TYPE).alias("is_test_arm"),
-        in_experiment_arm(F.col("seat"), params.EXPERIMENT_CONTROL_TYPE).alias("is_control_arm"),
-        max_field(made, "bid_creative_id").alias("creative_id"),
-        first_field(made, "user_id").alias("bid_user_id"),
-        max_field(made, "is_impression").alias("br_is_impression"),
-        _max_impression_bid(made).alias("br_max_bid_net_usd"),
+        *[c for c in rows.columns if c != "seat"],
+        *_present(
+            rows,
+            seat_name=("seat.seat_name", lambda: F.col("seat.seat_name")),
+            is_bid_request_sent=("seat.is_bid_request_sent", lambda: F.col("seat.is_bid_request_sent")),
+            is_test_arm=("seat.experiment", lambda: in_experiment_arm(F.col("seat"), params.EXPERIMENT_TEST_TYPE)),
+            is_control_arm=("seat.experiment", lambda: in_experiment_arm(F.col("seat"), params.EXPERIMENT_CONTROL_TYPE)),
+            creative_id=("seat.bid_request.bid_creative_id", lambda: max_field(made, "bid_creative_id")),
+            bid_user_id=("seat.bid_request.user_id", lambda: first_field(made, "user_id")),
+            br_is_impression=("seat.bid_request.is_impression", lambda: max_field(made, "is_impression")),
+            br_max_bid_net_usd=("seat.bid_request.bid_net_usd", lambda: _max_impression_bid(made)),
+        ),
     )
 
 
 def ad_level(bids: DataFrame) -> DataFrame:
     """One row per request and ad with its highest winning seat bid."""
     ads = bids.select(*_request_columns(bids), F.explode_outer("ad").alias("ad"))
-    kept = [F.col(c) for c in ads.columns if c != "ad"]
     return ads.select(
-        *kept,
-        F.col("ad.ad_id").alias("ad_id"),
+        *_ad_columns(ads),
         F.col("ad.is_impression").alias("is_impression"),
         max_field(F.col("ad.seat"), "max_bid_net_usd", lambda s: s["is_impression"]).alias("max_bid_net_usd"),
     )
@@ -191,9 +200,9 @@ def _bid_with_source(made: Column, source: str) -> Column:
 
 def id_source_flags(bids: DataFrame) -> DataFrame:
     """Per seat, which identifier sources its bids used; TRUE or NULL for each source."""
-    request = [F.to_date("ts").alias("date_ts"), F.col("request_id")]
-    ads = bids.select(*request, F.explode_outer("ad").alias("ad"))
-    rows = ads.select("date_ts", "request_id", F.col("ad.ad_id").alias("ad_id"), F.explode_outer("ad.seat").alias("seat"))
+    request = _present(bids, request_id=("request_id", lambda: F.col("request_id")))
+    ads = bids.select(F.to_date("ts").alias("date_ts"), *request, F.explode_outer("ad").alias("ad"))
+    rows = ads.select(*_ad_columns(ads), F.explode_outer("ad.seat").alias("seat"))
     made = F.col("seat.bid_request")
     sources = {_source_column(source): _bid_with_source(made, source) for source in params.ID_SOURCES}
     sources["id_source_cookie"] = true_if_any(
@@ -201,9 +210,7 @@ def id_source_flags(bids: DataFrame) -> DataFrame:
     )
     won = F.col("seat.max_bid_net_usd").isNotNull() & F.col("seat.is_impression").eqNullSafe(F.lit(True))
     return rows.select(
-        "date_ts",
-        "request_id",
-        "ad_id",
+        *[c for c in rows.columns if c != "seat"],
         F.col("seat.seat_name").alias("seat_name"),
         F.col("seat.is_bid_request_sent").alias("is_bid_request_sent"),
         max_field(made, "is_impression").alias("br_is_impression"),

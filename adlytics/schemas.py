@@ -66,10 +66,75 @@ DDL = {
 }
 
 
+# Nested fields of the bid log each operator reads, for ``read_table``.
+_SEAT = "ad.seat."
+_ARMS = (_SEAT + "experiment.name", _SEAT + "experiment.type")
+_METRICS = (
+    _SEAT + "seat_name",
+    _SEAT + "is_bid_request_sent",
+    _SEAT + "bid_request.is_impression",
+    _SEAT + "bid_request.bid_net_usd",
+)
+_CREATIVE = (_SEAT + "bid_request.bid_creative_id",)
+_DEVICE = ("ip_address", "browser_name", "device_type", "os_name", "os_version")
+_IDS = ("site_user.user_id", "user_ids.id_type", "user_ids.user_id")
+BID_FIELDS = {
+    "seat_delivery_report": ("ts", *_METRICS, *_ARMS),
+    "bid_creative_reach": ("ts", "user_country", *_METRICS, *_ARMS, *_CREATIVE, _SEAT + "bid_request.user_id"),
+    "id_source_report": (
+        "ts",
+        *_METRICS,
+        *_ARMS,
+        _SEAT + "is_impression",
+        _SEAT + "max_bid_net_usd",
+        _SEAT + "bid_request.id_source_graph",
+        _SEAT + "bid_request.is_user_id",
+    ),
+    "device_match": ("ts", "site_user.user_id", *_DEVICE, *_METRICS, *_ARMS),
+    "map_conversions": ("ts", "request_id", "user_country", "ip_address", "site_user.user_id", *_METRICS, *_CREATIVE),
+    "person_seats": (
+        "ts",
+        "request_id",
+        "user_country",
+        "ip_address",
+        "browser_name",
+        "device_name",
+        "os_name",
+        *_IDS,
+        "ad.ad_id",
+        *_METRICS,
+        *_ARMS,
+    ),
+    "ad_level": (
+        "ts",
+        "request_id",
+        "user_country",
+        "ip_address",
+        "site_user.user_id",
+        "ad.ad_id",
+        "ad.is_impression",
+        _SEAT + "is_impression",
+        _SEAT + "max_bid_net_usd",
+    ),
+}
+
+
 def schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(DDL[table])
 
 
+def has_field(full: T.StructType, path: str) -> bool:
+    """Whether a dotted path exists, looking through array levels."""
+    at: T.DataType = full
+    for name in path.split("."):
+        while isinstance(at, T.ArrayType):
+            at = at.elementType
+        if not isinstance(at, T.StructType) or name not in at.names:
+            return False
+        at = at[name].dataType
+    return True
+
+
 def prune(full: T.StructType, paths: Iterable[str]) -> T.StructType:
     """Keep only the dotted field paths; array levels need no mark of their own."""
     wanted: dict[str, list[str]] = {}

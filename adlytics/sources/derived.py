@@ -11,6 +11,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from adlytics.params import ConversionPixels, Period
 
@@ -45,7 +46,8 @@ def _person(n: str) -> dict[str, str]:
 _ORDER_TS = "timestamp_seconds(1704067200 + (o_orderkey * 7919) % 2592000)"
 
 
-_scan_tasks: dict[tuple[str, str, str], int] = {}
+# Schema and scan tasks per application and file, looked up once.
+_known_files: dict[tuple[str, str], tuple[StructType, int]] = {}
 
 
 @dataclass(frozen=True)
@@ -61,12 +63,15 @@ class Derived:
         A small file is one task's work whatever is computed from its rows. A large table
         is split by the scan already and is not shuffled.
         """
-        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
         cores = self.spark.sparkContext.defaultParallelism
-        file = (self.spark.sparkContext.applicationId, self.folder, name)
-        if file not in _scan_tasks:
-            _scan_tasks[file] = rows.rdd.getNumPartitions()
-        return rows.repartition(cores) if _scan_tasks[file] < cores else rows
+        file = (self.spark.sparkContext.applicationId, path)
+        if file not in _known_files:
+            rows = self.spark.read.parquet(path)
+            _known_files[file] = (rows.schema, rows.rdd.getNumPartitions())
+        schema, tasks = _known_files[file]
+        rows = self.spark.read.schema(schema).parquet(path)
+        return rows.repartition(cores) if tasks < cores else rows
 
     def bidstream(self) -> DataFrame:
         """One request per order with up to two ads, three seats each, two bids each."""

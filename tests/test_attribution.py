@@ -139,10 +139,11 @@ def test_first_touch_equals_brute_force(spark, seed):
 
 def test_timeline_lookups(spark):
     rng = random.Random(5)
-    hour = timeline.HOUR_MICROS
-    points = [("k" if rng.random() < 0.8 else "l", rng.randrange(30 * hour // 100) * 100, rng.randrange(1, 4)) for _ in range(300)]
+    hour = 60 * timeline.MINUTE_MICROS
+    points = [("k" if rng.random() < 0.8 else "l", rng.choice([rng.randrange(30 * hour), 7 * hour + rng.randrange(hour // 30)]), rng.randrange(1, 4)) for _ in range(400)]
     points += [("k", 5 * hour, 1), ("k", 5 * hour, 2)]
-    probes = [("k", rng.randrange(32 * hour)) for _ in range(100)] + [("k", 5 * hour), ("none", 3), ("l", 40 * hour), ("l", 0)]
+    probes = [("k", rng.choice([rng.randrange(32 * hour), 7 * hour + rng.randrange(hour // 30)])) for _ in range(150)]
+    probes += [("k", 5 * hour), ("none", 3), ("l", 40 * hour), ("l", 0)]
     asked = spark.createDataFrame(probes, "k string, at bigint").withColumn("tag", F.concat("k", "at"))
     events = spark.createDataFrame(points, "k string, at bigint, n bigint")
     before = {(r["k"], r["at"]): r["n_before"] for r in timeline.count_before(asked, events, ["k"]).collect()}
