@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from adlytics import params
 from adlytics.functions.arrays import first_field, max_field, true_if_any
-from adlytics.functions.ip import household_address
 from adlytics.functions.text import like_any
 from adlytics.schemas import has_field
 
@@ -21,7 +20,7 @@ _REQUEST_FIELDS = (
     "device_name",
     "os_name",
     "os_version",
-    "user_ids",
+    "lookup_set",
 )
 
 
@@ -61,14 +60,12 @@ def seat_level(
     seat_patterns: tuple[str, ...] | None = params.PLATFORM_SEAT_PATTERNS,
     impressions_only: bool = False,
     creative_id: str | None = None,
-    household_ip: bool = False,
 ) -> DataFrame:
     """One row per request, ad and matching seat.
 
     The seat tests run inside the arrays, before they are unnested, so a request without a
     matching seat never becomes a row. Without ``seat_patterns`` every seat is kept, and a
-    request without ads or seats keeps one row. ``household_ip`` rewrites the address to
-    the form the household lookups use.
+    request without ads or seats keeps one row.
     """
 
     def wanted(seat: Column) -> Column:
@@ -87,8 +84,6 @@ def seat_level(
     rows = ads.select(*_ad_columns(ads), F.explode_outer(seats).alias("seat"))
     if filtered:
         rows = rows.filter(F.col("seat").isNotNull())
-    if household_ip:
-        rows = rows.withColumn("ip_address", household_address(F.col("ip_address")))
     made = F.col("seat.bid_request")
     return rows.select(
         *[c for c in rows.columns if c != "seat"],

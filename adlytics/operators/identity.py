@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adlytics import params
 from adlytics.functions.arrays import first_field
+from adlytics.functions.ip import household_address
 from adlytics.operators.delivery import label_seats, rates, seat_level, seat_totals
 from adlytics.operators.household import flag_household
 from adlytics.operators.joins import left_join
@@ -68,7 +69,7 @@ def lookup_keys() -> Column:
 
     found = {t: of_type(t) for t in REQUEST_ID_TYPES}
     found["login-id"] = F.md5(found["login-id"])
-    keys = F.array_sort(F.array_distinct(F.array_compact(F.array(*found.values(), F.col("site_user_id")))))
+    keys = F.array_sort(F.array_distinct(F.array_compact(F.array(*found.values(), F.col("site_user.user_id")))))
     return F.when(F.array_size(keys) > 0, keys)
 
 
@@ -107,9 +108,14 @@ def count_any_key(rows: DataFrame, lookup: DataFrame, lookup_key: str, weight: s
 
 
 def person_seats(bids: DataFrame, impressions_only: bool = False) -> DataFrame:
-    """Platform seats with household-form addresses and the keys to look them up by."""
-    seats = seat_level(bids, impressions_only=impressions_only, household_ip=True)
-    return seats.withColumn("lookup_set", lookup_keys()).select(
+    """Platform seats with household-form addresses and the keys to look them up by.
+
+    Both are worked out per request, before its seats are unnested.
+    """
+    requests = bids.withColumns(
+        {"lookup_set": lookup_keys(), "ip_address": household_address(F.col("ip_address"))}
+    )
+    return seat_level(requests, impressions_only=impressions_only).select(
         *SEAT_OUTPUT, "site_user_id", "ip_address", "device_name", "os_name", "browser_name", "lookup_set"
     )
 
