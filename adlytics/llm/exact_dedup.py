@@ -34,7 +34,7 @@ def _numbered(space: Workspace, distinct: DataFrame, by: list[str], name: str) -
 
 
 def _block_names(space: Workspace, blocks: DataFrame) -> DataFrame:
-    """Rows (doc, n_blocks, pos, name) of rows (doc, n_blocks, pos, hash, block)."""
+    """Rows (doc, n_blocks, pos, name) of rows (doc, n_blocks, pos, hash, block); repeated rows stay."""
     names = _numbered(space, blocks.select("hash", "block").distinct(), ["hash", "block"], "block-names")
     shared = names.groupBy("hash").agg(F.count(F.lit(1)).alias("blocks"), F.min("name").alias("name"))
     one = shared.filter("blocks = 1").select("hash", "name")
@@ -48,9 +48,9 @@ def _block_names(space: Workspace, blocks: DataFrame) -> DataFrame:
 
 
 def _paired(space: Workspace, names: DataFrame, level: int) -> DataFrame:
-    """One level up: rows (doc, n_blocks, pos, name) with half as many positions."""
+    """One level up: rows (doc, n_blocks, rows, pos, name) with half as many positions."""
     even = F.col("pos") % 2 == 0
-    pairs = names.groupBy("doc", "n_blocks", F.floor(F.col("pos") / 2).alias("pos")).agg(
+    pairs = names.groupBy("doc", "n_blocks", "rows", F.floor(F.col("pos") / 2).alias("pos")).agg(
         F.max(F.when(even, F.col("name"))).alias("left"),
         F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"),
     )
@@ -60,11 +60,11 @@ def _paired(space: Workspace, names: DataFrame, level: int) -> DataFrame:
 
 
 def duplicates(space: Workspace, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept and text_sha256.
+    """One row per document: id, keep_id, group_size, kept, text_sha256 and rows.
 
     Null texts count as empty. Of equal texts the one with the smallest id is kept; a null id
     comes after all others. Rows that repeat an id and a text are one document, so they give one
-    row; an id with several texts gives a row for each. Other columns play no part. An empty
+    row, with their number in `rows`; an id with several texts gives a row for each. Other columns play no part. An empty
     table gives no rows.
     """
     normal = docs.select(F.col(id_column).alias("id"), normalised(text_of(text_column)).alias("text")).select(
@@ -77,15 +77,16 @@ def duplicates(space: Workspace, docs: DataFrame, id_column: str = "doc_id", tex
         .select("doc", F.size("cut").alias("n_blocks"), F.posexplode("cut").alias("pos", "block"))
         .withColumn("hash", F.xxhash64("block"))
     )
-    names = space.save(_block_names(space, blocks).distinct(), "names")
+    names = _block_names(space, blocks).groupBy("doc", "n_blocks", "pos", "name").agg(F.count(F.lit(1)).alias("rows"))
+    names = space.save(names, "names")
     most = names.agg(F.max("n_blocks")).first()[0] or 1
-    done = names.filter("n_blocks = 1").select("doc", "n_blocks", "name")
+    done = names.filter("n_blocks = 1").select("doc", "n_blocks", "name", "rows")
     open_ = names.filter("n_blocks > 1")
     length, level = 1, 0
     while length < most:
         level, length = level + 1, length * 2
         open_ = _paired(space, open_, level)
-        done = done.unionByName(open_.filter(F.col("n_blocks") <= length).select("doc", "n_blocks", "name"))
+        done = done.unionByName(open_.filter(F.col("n_blocks") <= length).select("doc", "n_blocks", "name", "rows"))
         open_ = open_.filter(F.col("n_blocks") > length)
     done = space.save(done, "identities")
     groups = done.groupBy("n_blocks", "name").agg(F.min("doc.id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -95,4 +96,5 @@ def duplicates(space: Workspace, docs: DataFrame, id_column: str = "doc_id", tex
         "group_size",
         F.col("doc.id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("doc.sha")).alias("text_sha256"),
+        "rows",
     )

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -27,6 +27,7 @@ MIN_SCORE = 0.3
 #: No single word outweighs another by more than this in any language.
 WORD_RANGE = 8.0
 CACHED_WORDS = 200_000
+SMOOTHING = 0.5
 _BOUND = "\x02"
 
 
@@ -118,32 +119,25 @@ def fit(
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = bounded_sample(rows.filter(learn & F.col("lang").isNotNull()), "key", "lang", most_docs)
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, length int, item string, n long")
-    by_item = (
-        counts.groupBy("length", "item", "lang")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("length", "item")
-        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-        .filter(F.col("n") >= least)
-    )
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
-    whole = sum(sizes.values())
-    at = {x: i for i, x in enumerate(languages)}
-    by_item = by_item.persist()
+    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, length int, item string, n long")
+    each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+    by_item = counts.groupBy("length", "item").agg(F.sum("n").alias("n"), *each).filter(F.col("n") >= least)
+    by_rank = Window.partitionBy("length").orderBy(F.desc("n"), "item")
+    kept = by_item.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= most_items).toArrow()
+    length = np.asarray(kept.column("length"))
+    seen = np.array([np.asarray(kept.column(f"n{i}")) for i in range(len(languages))], dtype=float).T.reshape(len(length), -1)
+    items = kept.column("item").to_pylist()
     tables = []
-    for length in range(LONGEST + 1):
-        kept = by_item.filter(F.col("length") == length).orderBy(F.desc("n"), "item").limit(most_items).collect()
-        seen = np.zeros((len(kept), len(languages)))
-        for i, row in enumerate(kept):
-            for x, n in row["by"].items():
-                seen[i, at[x]] = n
-        smooth = 0.5
-        logs = np.log((seen + smooth) / (seen.sum(axis=0) + smooth * max(1, len(kept)))) if len(kept) else seen
-        logs = np.maximum(logs, logs.max(axis=1, keepdims=True) - WORD_RANGE) if logs.size else logs
-        tables.append({row["item"]: logs[i] for i, row in enumerate(kept)})
-    by_item.unpersist()
-    return LanguageModel(languages, np.log(np.array([sizes[x] / whole for x in languages])), tables)
+    for wanted in range(LONGEST + 1):
+        at = np.flatnonzero(length == wanted)
+        logs = np.log((seen[at] + SMOOTHING) / (seen[at].sum(axis=0) + SMOOTHING * max(1, len(at))))
+        if logs.size:
+            logs = np.maximum(logs, logs.max(axis=1, keepdims=True) - WORD_RANGE)
+        tables.append({items[i]: row for i, row in zip(at.tolist(), logs)})
+    shares = np.array([sizes[x] for x in languages], float)
+    return LanguageModel(languages, np.log(shares / max(1.0, shares.sum())), tables)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

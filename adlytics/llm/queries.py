@@ -6,11 +6,12 @@ import atexit
 from collections.abc import Callable
 from contextlib import suppress
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlytics import configure
-from adlytics.llm import exact_dedup, language, mixing, near_dedup
+from adlytics.llm import bpe, exact_dedup, language, mixing, near_dedup
 from adlytics.llm.common import fold
 from adlytics.workspace import Workspace
 
@@ -32,7 +33,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup.duplicates(workspace(spark), table(spark, folder, "documents"))
+    return exact_dedup.duplicates(workspace(spark), table(spark, folder, "documents")).drop("rows")
 
 
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,8 +53,26 @@ def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(workspace(spark), table(spark, folder, "documents"), shingle=2, similarity=80)
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """Content of a file of the public tokenizers, read by the driver and sent along with the tasks."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    definition = tokenizer()
+    docs = table(configure(spark), folder, "documents").select("doc_id", "text")
+    rows = bpe.decode(bpe.encode(docs, definition), definition)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op3_exact_dedup, op4_language_id, op7_mixing, op8_near_dedup)
+        for f in (op3_exact_dedup, op4_language_id, op7_mixing, op8_near_dedup, op10_bpe)
     }
