@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlytics import configure
-from adlytics.llm import bpe, exact_dedup, language, mixing, near_dedup
+from adlytics.llm import bpe, exact_dedup, language, mixing, near_dedup, quality_rules
 from adlytics.llm.common import fold
 from adlytics.workspace import Workspace
 
@@ -44,6 +44,13 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(configure(spark), folder, "documents").select("doc_id", "text")
+    trusted = quality_rules.trusted_ids(table(spark, folder, "labels"))
+    ratios = quality_rules.log_ratios(docs, trusted)
+    return quality_rules.judge(docs, ratios).drop("text")
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(workspace(spark), table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -74,5 +81,5 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op3_exact_dedup, op4_language_id, op7_mixing, op8_near_dedup, op10_bpe)
+        for f in (op3_exact_dedup, op4_language_id, op6_quality_rules, op7_mixing, op8_near_dedup, op10_bpe)
     }
