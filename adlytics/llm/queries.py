@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlytics import configure
-from adlytics.llm import bpe, exact_dedup, language, mixing, near_dedup, quality_rules
+from adlytics.llm import bpe, exact_dedup, language, mixing, near_dedup, quality_model, quality_rules, toxicity
 from adlytics.llm.common import fold
 from adlytics.workspace import Workspace
 
@@ -32,6 +32,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def votes(labels: DataFrame, column: str) -> DataFrame:
+    """One label per id; the larger one where an id has several."""
+    return labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    space = workspace(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    rows = space.save(quality_model.add_statistics(docs).drop("text"), "statistics")
+    labelled = rows.filter(~held_out).join(votes(table(spark, folder, "labels"), "quality"), "doc_id")
+    found = quality_model.score(rows, quality_model.fit(labelled))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicates(workspace(spark), table(spark, folder, "documents")).drop("rows")
 
@@ -60,6 +75,14 @@ def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(workspace(spark), table(spark, folder, "documents"), shingle=2, similarity=80)
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(configure(spark), folder, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    labels = votes(table(spark, folder, "labels"), "toxic").filter(~held_out)
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
     """Content of a file of the public tokenizers, read by the driver and sent along with the tasks."""
     with open(public_tokenizers.path(name), encoding="utf-8") as file:
@@ -81,5 +104,5 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op3_exact_dedup, op4_language_id, op6_quality_rules, op7_mixing, op8_near_dedup, op10_bpe)
+        for f in (op1_quality, op3_exact_dedup, op4_language_id, op6_quality_rules, op7_mixing, op8_near_dedup, op9_toxicity, op10_bpe)
     }
