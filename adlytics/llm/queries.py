@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlytics import configure
-from adlytics.llm import bpe, exact_dedup, language, mixing, near_dedup, quality_model, quality_rules, toxicity
+from adlytics.llm import bpe, exact_dedup, language, language_model, mixing, near_dedup, quality_model, quality_rules, toxicity
 from adlytics.llm.common import fold
 from adlytics.workspace import Workspace
 
@@ -47,6 +47,12 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    part = fold(F.col("doc_id"), 7)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return language_model.score_documents(workspace(spark), docs, held_out=part == 2, tune=part == 3)
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicates(workspace(spark), table(spark, folder, "documents")).drop("rows")
 
@@ -104,5 +110,5 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality, op3_exact_dedup, op4_language_id, op6_quality_rules, op7_mixing, op8_near_dedup, op9_toxicity, op10_bpe)
+        for f in (op1_quality, op2_language_model, op3_exact_dedup, op4_language_id, op6_quality_rules, op7_mixing, op8_near_dedup, op9_toxicity, op10_bpe)
     }
