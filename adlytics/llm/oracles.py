@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-_WORD = r"[^\x20\x09-\x0D]+"
-
 SQL = {
     "op3_exact_dedup": r"""
 with texts as (
@@ -12,6 +10,20 @@ with texts as (
   select doc_id, t, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from texts
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from grouped
+""",
+    "op5_warc": r"""
+with digests as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), named as (
+  select page_id, payload_bytes, min(page_id) over (partition by hex) as first,
+         list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             cast(((cast('0x' || substr(hex, cast(5 * (k // 4) + 1 as int), 5) as int) >> cast(15 - 5 * (k % 4) as int)) & 31) + 1 as int), 1)
+           for k in range(32)], 'string_agg', '') as payload_digest
+  from digests
+)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from named
 """,
     "op7_mixing": r"""
 with sized as (

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlytics import configure
-from adlytics.llm import bpe, exact_dedup, language, language_model, mixing, near_dedup, quality_model, quality_rules, toxicity
+from adlytics.llm import bpe, exact_dedup, language, language_model, mixing, near_dedup, quality_model, quality_rules, toxicity, warc
 from adlytics.llm.common import fold
 from adlytics.workspace import Workspace
 
@@ -65,6 +65,32 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Archive the pages and tell of every record what the archives say: responses by their payload."""
+    space = workspace(spark)
+    warc.register(spark)
+    path = space.path("archives")
+    warc.records(table(spark, folder, "pages")).write.format("warc").mode("append").save(path)
+    responses = spark.read.format("warc").load(path).filter(F.col("record_type") == "response")
+    revisits = spark.read.format("warc").option("payload", "false").load(path).filter(F.col("record_type") == "revisit")
+    read = responses.select(
+        warc.page_of("record_id").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.sha1_base32(F.col("payload")).alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("long").alias("refers_to"),
+    )
+    return read.unionByName(
+        revisits.select(
+            warc.page_of("record_id").alias("page_id"),
+            F.col("payload_length").alias("payload_bytes"),
+            F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+            "record_type",
+            warc.page_of("refers_to").alias("refers_to"),
+        )
+    )
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(configure(spark), folder, "documents").select("doc_id", "text")
     trusted = quality_rules.trusted_ids(table(spark, folder, "labels"))
@@ -110,5 +136,5 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality, op2_language_model, op3_exact_dedup, op4_language_id, op6_quality_rules, op7_mixing, op8_near_dedup, op9_toxicity, op10_bpe)
+        for f in (op1_quality, op2_language_model, op3_exact_dedup, op4_language_id, op5_warc, op6_quality_rules, op7_mixing, op8_near_dedup, op9_toxicity, op10_bpe)
     }
