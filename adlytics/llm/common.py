@@ -50,7 +50,7 @@ class Words:
 
     def __init__(self, texts: pa.Array, lower: bool = True):
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+        lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten()
         filled = pc.not_equal(flat, "")
         mask = np.asarray(filled)
@@ -58,7 +58,12 @@ class Words:
         self.starts = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
         coded = flat.filter(filled).dictionary_encode()
         self.codes = np.asarray(coded.indices).astype(np.int64)
-        self.distinct: list[str] = coded.dictionary.to_pylist()
+        distinct = coded.dictionary
+        if lower:
+            lowered = pc.ascii_lower(distinct).dictionary_encode()
+            self.codes = np.asarray(lowered.indices).astype(np.int64)[self.codes]
+            distinct = lowered.dictionary
+        self.distinct: list[str] = distinct.to_pylist()
         self.counts = np.diff(self.starts)
 
     def hashes(self) -> np.ndarray:
