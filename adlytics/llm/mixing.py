@@ -80,8 +80,9 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     most_epochs: int = MOST_EPOCHS,
     seed: int = 42,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add size, source_size, target, copies and taken to every row.
+    """Add size, source_size, target, copies and taken to every row, of which `keep` names the columns that stay.
 
     size counts words (null text: 0). copies says how often the mix holds the row, taken is
     copies * size: the target's whole epochs, plus one for rows in front of the cut. The row across
@@ -91,9 +92,14 @@ def mix(
     Columns of the names added are replaced.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    # The row travels as one column, so that no name of it can clash with those used here.
     sized = docs.select(
-        *kept, words_in(text_column).alias("_size"), random_key(id_column, seed).alias("_key"), F.col(source_column).alias("_source")
+        F.struct(*kept).alias("row"),
+        F.col(id_column).alias("_id"),
+        words_in(text_column).alias("_size"),
+        random_key(id_column, seed).alias("_key"),
+        F.col(source_column).alias("_source"),
     )
     sizes = sized.groupBy(F.col("_source").alias("source")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("_size").alias("source_size")
@@ -108,7 +114,7 @@ def mix(
     at = F.floor(F.col("_key") / F.lit(float(16**_KEY_DIGITS)) * ranges)
     dealt = joined.withColumn("_range", F.least(at, ranges - 1).cast("long"))
     starts = _starts(dealt.groupBy("_sid", "_range").agg(F.sum("_size").alias("_sum")))
-    sorted_ = Window.partitionBy("_sid", "_range").orderBy("_key", F.col(id_column).asc_nulls_last(), "_size")
+    sorted_ = Window.partitionBy("_sid", "_range").orderBy("_key", F.col("_id").asc_nulls_last(), "_size")
     within = F.coalesce(F.sum("_size").over(sorted_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = dealt.withColumn("_within", within).join(starts, ["_sid", "_range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -117,7 +123,7 @@ def mix(
     extra = F.col("_size") <= 2 * (rest - front)
     copies = F.when(F.col("_size") > 0, epochs + extra.cast("long")).otherwise(F.lit(0)).cast("long")
     return placed.select(
-        *kept,
+        "row.*",
         F.col("_size").alias("size"),
         "source_size",
         "target",

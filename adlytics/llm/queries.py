@@ -99,8 +99,8 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(workspace(spark), table(spark, folder, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(workspace(spark), table(spark, folder, "documents"), keep=["doc_id"])
+    return mixed.drop("copies")
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
