@@ -22,7 +22,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from adlytics.llm.common import Words, pieces
 
 #: Words whose tokens a worker keeps.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+#: Text that is encoded at a time, in bytes.
+PIECE_BYTES = 2 << 20
 #: Ids that the decoder takes at a time.
 CHUNK = 4096
 _NO_RANK = 1 << 30
@@ -210,49 +212,58 @@ def _loaded(definition: str) -> Tokenizer:
     return _LOADED[key]
 
 
-def _with(docs: DataFrame, name: str, kind) -> tuple[DataFrame, StructType, list[str]]:
-    rows = docs.drop(name)
-    return rows, StructType([*rows.schema.fields, StructField(name, kind)]), [*rows.columns, name]
+def _encoded(tokenizer: Tokenizer, texts: pa.Array) -> pa.ListArray:
+    words = Words(texts, lower=False)
+    each = [tokenizer.word(w) for w in words.distinct]
+    sizes = np.fromiter(map(len, each), np.int32, len(each))
+    flat = np.fromiter((i for w in each for i in w), np.int32, int(sizes.sum()))
+    firsts = np.cumsum(sizes) - sizes
+    lengths = sizes[words.codes]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.repeat(firsts[words.codes] - (ends - lengths), lengths) + np.arange(total)
+    offsets = np.concatenate(([0], ends))[words.starts].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at]))
 
 
-def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the token ids of the whole text to every row.
+def _decoded(decoder: TextDecoder, ids: pa.ListArray) -> pa.Array:
+    return pa.array([decoder.decode(x.values.to_numpy()) if x.is_valid else "" for x in ids], pa.string())
+
+
+def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the token ids of the whole text to every row, and the text they decode to if it is named.
 
     definition is the content of a tokenizer file. Null and empty texts have no ids. Strings of
-    special tokens become these tokens. A column of the added name is replaced; nothing depends on
+    special tokens become these tokens. Columns of the added names are replaced; nothing depends on
     other columns or rows.
     """
-    rows, schema, names = _with(docs, ids, ArrayType(IntegerType(), False))
+    added = [StructField(ids, ArrayType(IntegerType(), False))]
+    added += [StructField(decoded, StringType())] if decoded else []
+    rows = docs.drop(*[f.name for f in added])
+    names = [*rows.columns, *[f.name for f in added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _loaded(definition)
-        for piece in pieces(batches, text):
-            words = Words(piece.column(text), lower=False)
-            each = [tokenizer.word(w) for w in words.distinct]
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.fromiter((i for w in each for i in w), np.int32, int(sizes.sum()))
-            firsts = np.cumsum(sizes) - sizes
-            lengths = sizes[words.codes]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(firsts[words.codes] - (ends - lengths), lengths) + np.arange(total)
-            offsets = np.concatenate(([0], ends))[words.starts].astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at]))
-            yield pa.RecordBatch.from_arrays([*piece.columns, found], names=names)
-
-    return rows.mapInArrow(run, schema)
+        decoder = TextDecoder(tokenizer) if decoded else None
+        for piece in pieces(batches, text, PIECE_BYTES):
+            columns = [_encoded(tokenizer, piece.column(text))]
+            if decoder:
+                columns.append(_decoded(decoder, columns[0]))
+            yield pa.RecordBatch.from_arrays([*piece.columns, *columns], names=names)
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, definition: str, ids: str = "ids", text: str = "decoded", spaced: bool = True) -> DataFrame:
     """Add the text of the ids to every row; null ids give an empty text."""
-    rows, schema, names = _with(docs, text, StringType())
+    rows = docs.drop(text)
+    names = [*rows.columns, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = TextDecoder(_loaded(definition), spaced)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 piece = batch.slice(start, 256)
-                shown = [decoder.decode(x.values.to_numpy()) if x.is_valid else "" for x in piece.column(ids)]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(shown, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([*piece.columns, _decoded(decoder, piece.column(ids))], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text, StringType())]))

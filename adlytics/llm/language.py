@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ UNDETERMINED = "und"
 MIN_SCORE = 0.3
 #: No single word outweighs another by more than this in any language.
 WORD_RANGE = 8.0
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 SMOOTHING = 0.5
 _BOUND = "\x02"
 
@@ -44,17 +44,23 @@ def grams(word: str, length: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Languages in order, their log shares, and log frequencies by length (0: whole words)."""
+    """Languages in order, their log shares, and by length (0: whole words) the items with their log frequencies."""
 
     languages: list[str]
     shares: np.ndarray
-    tables: list[dict[str, np.ndarray]]
-    _seen: dict[str, np.ndarray] = field(default_factory=dict)
+    items: list[list[str]]
+    logs: list[np.ndarray]
+
+    def __post_init__(self):
+        self._seen: dict[str, np.ndarray] = {}
+        self._places: list[dict[str, int]] = []
 
     def word(self, word: str) -> np.ndarray:
-        found = self.tables[0].get(word)
-        if found is not None:
-            return found
+        if not self._places:
+            self._places = [{x: i for i, x in enumerate(items)} for items in self.items]
+        at = self._places[0].get(word)
+        if at is not None:
+            return self.logs[0][at]
         found = self._seen.get(word)
         if found is None:
             found = self._unseen(word)
@@ -65,15 +71,12 @@ class LanguageModel:
 
     def _unseen(self, word: str) -> np.ndarray:
         for length in range(LONGEST, 0, -1):
-            table = self.tables[length]
-            known = [table[g] for g in grams(word, length) if g in table]
+            places = self._places[length]
+            known = [places[g] for g in grams(word, length) if g in places]
             if known:
-                return np.mean(known, axis=0)
+                return self.logs[length][known].mean(axis=0)
         return np.zeros(len(self.languages))
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_seen": {}}
-
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -121,6 +124,9 @@ def fit(
     rows = bounded_sample(rows.filter(learn & F.col("lang").isNotNull()), "key", "lang", most_docs)
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
+    if not languages:
+        nothing = [[] for _ in range(LONGEST + 1)]
+        return LanguageModel([], np.zeros(0), nothing, [np.zeros((0, 0))] * len(nothing))
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, length int, item string, n long")
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
     by_item = counts.groupBy("length", "item").agg(F.sum("n").alias("n"), *each).filter(F.col("n") >= least)
@@ -129,15 +135,16 @@ def fit(
     length = np.asarray(kept.column("length"))
     seen = np.array([np.asarray(kept.column(f"n{i}")) for i in range(len(languages))], dtype=float).T.reshape(len(length), -1)
     items = kept.column("item").to_pylist()
-    tables = []
+    held, tables = [], []
     for wanted in range(LONGEST + 1):
         at = np.flatnonzero(length == wanted)
         logs = np.log((seen[at] + SMOOTHING) / (seen[at].sum(axis=0) + SMOOTHING * max(1, len(at))))
         if logs.size:
             logs = np.maximum(logs, logs.max(axis=1, keepdims=True) - WORD_RANGE)
-        tables.append({items[i]: row for i, row in zip(at.tolist(), logs)})
+        held.append([items[i] for i in at.tolist()])
+        tables.append(logs)
     shares = np.array([sizes[x] for x in languages], float)
-    return LanguageModel(languages, np.log(shares / max(1.0, shares.sum())), tables)
+    return LanguageModel(languages, np.log(shares / shares.sum()), held, tables)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

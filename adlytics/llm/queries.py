@@ -94,8 +94,8 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(configure(spark), folder, "documents").select("doc_id", "text")
     trusted = quality_rules.trusted_ids(table(spark, folder, "labels"))
-    ratios = quality_rules.log_ratios(docs, trusted)
-    return quality_rules.judge(docs, ratios).drop("text")
+    ratios, threshold = quality_rules.fit(docs, trusted)
+    return quality_rules.judge(docs, ratios, threshold).drop("text")
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,7 +124,7 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     definition = tokenizer()
     docs = table(configure(spark), folder, "documents").select("doc_id", "text")
-    rows = bpe.decode(bpe.encode(docs, definition), definition)
+    rows = bpe.encode(docs, definition, decoded="decoded")
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -26,7 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id; rows repeating an id and text count once."""
-    found = workspace(spark).save(exact_dedup.duplicates(workspace(spark), docs), "decisions")
+    space = workspace(spark)
+    found = space.save(exact_dedup.duplicates(space, docs), "decisions")
     sha = F.sha2(exact_dedup.normalised(text_of()), 256)
     kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "rows")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
@@ -52,9 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether decoding gives the text of these tokens back."""
-    definition = tokenizer()
-    encoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), definition), definition)
+    """Token ids of every document, and the digest of the text they decode to."""
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer(), decoded="decoded")
     return encoded.select(
         "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -81,6 +81,8 @@ def test_rows(spark):
         assert row["ids"] == ids
         assert row["decoded"] == THEIRS.decode(ids, skip_special_tokens=False)
         assert row["n_tokens"] == "extra n_tokens"
+    both = bpe.encode(docs, tokenizer(), decoded="decoded").collect()
+    assert sorted(map(repr, both)) == sorted(map(repr, out))
 
 
 def test_empty_table(spark):
