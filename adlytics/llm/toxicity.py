@@ -41,6 +41,7 @@ TOO_SIMILAR = 0.8
 MOST_DOCS = 4_000
 MOST_UNITS = 4_000
 ROUNDS = 2
+SURPLUS = 2.0
 REGULARISE = 1e-3
 #: Cached scores of words in a worker.
 CACHED_WORDS = 400_000
@@ -74,6 +75,12 @@ def windows(word: str) -> list[str]:
     return [word[i : i + LONGEST_WORD] for i in range(0, len(word) - step, step)]
 
 
+def variants(word: str) -> list[str]:
+    """Parts of the word as it is, and of its letters alone when marks or digits stand between them."""
+    plain = "".join(c for c in word if c.isalpha())
+    return [p for w in ((word, plain) if plain != word else (word,)) if len(w) >= LENGTH for p in windows(w)]
+
+
 def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, subsequence, weight) of unit-length feature vectors; strings have at most LONGEST_WORD characters."""
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
@@ -159,8 +166,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text"):
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for text, label in zip(piece.column("text").to_pylist(), piece.column("label").to_pylist()):
-            found = {b for s in sentences(text or "") for u in units(s) if len(b := bare(u)) >= LENGTH}
-            seen[label].update(w for u in found for w in windows(u))
+            seen[label].update({v for s in sentences(text or "") for u in units(s) for v in variants(bare(u))})
         items = sorted(seen[0].keys() | seen[1].keys())
         columns = [pa.array(items, pa.string()), *(pa.array([c[w] for w in items], pa.int64()) for c in seen)]
         yield pa.RecordBatch.from_arrays(columns, names=["unit", "clean", "toxic"])
@@ -173,7 +179,7 @@ def _worst(rate: Callable[[list[str]], np.ndarray]):
         for piece in pieces(batches, "text"):
             found, best, labels = [], [], []
             for text, label in zip(piece.column("text").to_pylist(), piece.column("label").to_pylist()):
-                own = sorted({w for s in sentences(text or "") for u in units(s) for w in windows(bare(u)) if len(w) >= LENGTH})
+                own = sorted({v for s in sentences(text or "") for u in units(s) for v in variants(bare(u))})
                 if own:
                     rates = rate(own)
                     at = int(np.argmax(rates))
@@ -249,14 +255,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return ToxicityModel(np.zeros(SYMBOLS**LENGTH), -1.0, 4.0)
     counted = rows.mapInArrow(_counts, "unit string, clean long, toxic long").groupBy("unit")
     counted = counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
-    share = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
-    odds = F.log(share("toxic", sizes[1]) / share("clean", sizes[0]))
-    evidence = odds * F.sqrt(F.col("toxic"))
-    toxic = counted.filter(F.col("toxic") >= 2).withColumn("odds", odds).filter("odds > 1").orderBy(F.desc(evidence), "unit")
-    toxic = toxic.limit(MOST_UNITS).collect()
+    # Log likelihood ratio of the unit's own share of toxic documents against the share in all; it
+    # has to outweigh the number of units that are looked at.
+    usual = sizes[1] / (sizes[0] + sizes[1])
+    own = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    evidence = F.col("toxic") * F.log(own / usual)
+    evidence += F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - own) / (1 - usual))).otherwise(F.lit(0.0))
+    least = float(np.log(max(1, counted.count()))) + SURPLUS
+    toxic = counted.filter(own > usual).withColumn("evidence", evidence).filter(F.col("evidence") > least)
+    toxic = toxic.orderBy(F.desc("evidence"), "unit").limit(MOST_UNITS).collect()
     common = [r["unit"] for r in counted.orderBy(F.desc("clean"), "unit").limit(4 * LANDMARKS).collect()]
     counted.unpersist()
-    known = {r["unit"]: float(r["odds"]) for r in toxic}
+    known = {r["unit"]: float(r["evidence"]) for r in toxic}
+    certain = Counter({r["unit"]: r["toxic"] for r in toxic})
     marks = _landmarks([r["unit"] for r in toxic][: 8 * LANDMARKS], [w for w in common if w not in known])
     dense = dense_features(marks)
     values, vectors = np.linalg.eigh(dense.T @ dense)
@@ -268,7 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     for _ in range(ROUNDS + 1):
         # One row per document of the bounded sample.
         worst = rows.mapInArrow(_worst(rate), _WORST).groupBy("unit", "label").count().collect()
-        positives = Counter({r["unit"]: r["count"] for r in worst if r["label"] == 1 and (model is not None or r["unit"] in known)})
+        found = {r["unit"]: r["count"] for r in worst if r["label"] == 1 and model is not None}
+        positives = Counter(found | {w: max(n, found.get(w, 0)) for w, n in certain.items()})
         negatives.update({r["unit"]: r["count"] for r in worst if r["label"] == 0})
         items = [*positives, *(w for w in negatives if w not in positives)]
         target = np.array([1.0] * len(positives) + [-1.0] * (len(items) - len(positives)))
@@ -343,7 +355,7 @@ def _rate(model: ToxicityModel, plain: list[str]) -> np.ndarray:
     if len(_CACHE) + len(new) > CACHED_WORDS:
         _CACHE.clear()
         new = sorted(set(plain))
-    long_enough = [(w, part) for w in new if len(w) >= LENGTH for part in windows(w)]
+    long_enough = [(w, part) for w in new for part in variants(w)]
     _CACHE.update(dict.fromkeys(new, -4.0))
     for start in range(0, len(long_enough), 50_000):
         some = long_enough[start : start + 50_000]

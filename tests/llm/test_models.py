@@ -40,7 +40,7 @@ def test_statistics_of_awkward_texts():
     whole = quality_model.statistics(pa.array(texts))
     assert np.isfinite(whole).all()
     for i, t in enumerate(texts):
-        assert np.allclose(quality_model.statistics(pa.array([t])), whole[i])
+        assert np.allclose(quality_model.statistics(pa.array([t], pa.string())), whole[i])
     assert not whole[2:4].any()
 
 
