@@ -2,7 +2,8 @@
 
 The kernel counts the subsequences of three characters that two strings share, weighted by DECAY
 for each position they span, so characters in between (gaps, insertions) only lower the weight.
-Spans end at SPAN characters. Strings are the words of sentences; single letters in a row are one
+Spans end at SPAN characters. The machine uses exp(SHARPEN * (k - 1)) of the normalised kernel k,
+which is a kernel again and tells an insult from words that merely share an ending. Strings are the words of sentences; single letters in a row are one
 word, so spelled-out insults are seen whole. A sentence scores as its worst word and a text as its
 worst sentence.
 
@@ -42,9 +43,10 @@ MOST_DOCS = 4_000
 MOST_UNITS = 4_000
 ROUNDS = 2
 SURPLUS = 2.0
-REGULARISE = 1e-3
+REGULARISE = 1e-4
+SHARPEN = 6.0
 #: Cached scores of words in a worker.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _OFFSETS = [(0, *c) for c in combinations(range(1, SPAN), LENGTH - 1)]
 
 
@@ -106,37 +108,47 @@ def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, key % size, weight / np.maximum(norm[owner], 1e-12)
 
 
-def kernel(strings: list[str], dense: np.ndarray) -> np.ndarray:
-    """(strings, landmarks) normalised kernel; dense holds the landmarks' feature vectors by column."""
-    owner, key, weight = features(strings)
-    out = np.zeros((len(strings), dense.shape[1]))
-    np.add.at(out, owner, dense[key] * weight[:, None])
-    return out
+class Landmarks:
+    """Strings to compare with: their subsequences, and the weight of each in every landmark."""
 
-
-def dense_features(strings: list[str]) -> np.ndarray:
-    owner, key, weight = features(strings)
-    out = np.zeros((SYMBOLS**LENGTH, len(strings)))
-    out[key, owner] = weight
-    return out
+    def __init__(self, strings: list[str]):
+        owner, key, weight = features(strings)
+        self.keys, row = np.unique(key, return_inverse=True)
+        self.dense = np.zeros((len(self.keys) + 1, len(strings)), np.float32)  # the last row: in no landmark
+        self.dense[row, owner] = weight
+
+    def kernel(self, strings: list[str]) -> np.ndarray:
+        """(strings, landmarks) normalised kernel."""
+        out = np.zeros((len(strings), self.dense.shape[1]), np.float32)
+        for start in range(0, len(strings) if len(self.keys) else 0, 2_000):
+            owner, key, weight = features(strings[start : start + 2_000])
+            row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            shared = np.flatnonzero(self.keys[row] == key)
+            order = shared[np.argsort(owner[shared], kind="stable")]
+            if not len(order):
+                continue
+            mine = owner[order]
+            first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+            products = self.dense[row[order]] * weight[order, None].astype(np.float32)
+            out[start + mine[first]] = np.add.reduceat(products, first, axis=0)
+        return out
+
+    def sharpened(self, strings: list[str]) -> np.ndarray:
+        return np.exp(SHARPEN * (self.kernel(strings) - 1))
 
 
 @dataclass
 class ToxicityModel:
-    """Weight of every subsequence, bias, and the scale from margin to score.
-
-    The machine's weights on the landmark features are folded into one weight per subsequence:
-    the margin of a string is the sum over its features, as kernel and whitening are linear in them.
-    """
+    """Landmarks, their weights, bias, and the scale from margin to score."""
 
+    landmarks: Landmarks
     weights: np.ndarray
     bias: float
     slope: float = 1.0
     offset: float = 0.0
 
     def margins(self, strings: list[str]) -> np.ndarray:
-        owner, key, weight = features(strings)
-        return np.bincount(owner, weight * self.weights[key], minlength=len(strings)) + self.bias
+        return self.landmarks.sharpened(strings) @ self.weights + self.bias
 
     def score(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -40, 40)))
@@ -215,7 +227,7 @@ def _landmarks(toxic: list[str], common: list[str]) -> list[str]:
     """Greedily, in order, words that are not too similar to those chosen before."""
     chosen: list[str] = []
     for words, most in ((toxic, LANDMARKS - COMMON_LANDMARKS), (common, LANDMARKS)):
-        rated = kernel(words, dense_features(words)) if words else np.zeros((0, 0))
+        rated = Landmarks(words).kernel(words) if words else np.zeros((0, 0))
         kept: list[int] = []
         for i, word in enumerate(words):
             if len(chosen) >= most:
@@ -252,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         rows.unpersist()
-        return ToxicityModel(np.zeros(SYMBOLS**LENGTH), -1.0, 4.0)
+        return ToxicityModel(Landmarks([]), np.zeros(0), -1.0, 4.0)
     counted = rows.mapInArrow(_counts, "unit string, clean long, toxic long").groupBy("unit")
     counted = counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
     # Log likelihood ratio of the unit's own share of toxic documents against the share in all; it
@@ -269,8 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = {r["unit"]: float(r["evidence"]) for r in toxic}
     certain = Counter({r["unit"]: r["toxic"] for r in toxic})
     marks = _landmarks([r["unit"] for r in toxic][: 8 * LANDMARKS], [w for w in common if w not in known])
-    dense = dense_features(marks)
-    values, vectors = np.linalg.eigh(dense.T @ dense)
+    landmarks = Landmarks(marks)
+    values, vectors = np.linalg.eigh(landmarks.sharpened(marks).astype(float))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
     model = None
     by_counts = lambda own: np.array([known.get(w, 0.0) for w in own])
@@ -284,14 +296,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         negatives.update({r["unit"]: r["count"] for r in worst if r["label"] == 0})
         items = [*positives, *(w for w in negatives if w not in positives)]
         target = np.array([1.0] * len(positives) + [-1.0] * (len(items) - len(positives)))
-        weight = np.log1p([float(positives[w] if w in positives else negatives[w]) for w in items])
+        weight = np.sqrt([float(positives[w] if w in positives else negatives[w]) for w in items])
         # A word that stands for documents of both labels belongs to the one that has it more often.
         for i, w in enumerate(items[: len(positives)]):
             if negatives.get(w, 0) * sizes[1] > positives[w] * sizes[0]:
                 target[i] = -1.0
         weight /= np.where(target > 0, weight[target > 0].sum(), weight[target < 0].sum())
-        w, bias = _machine(kernel(items, dense) @ whiten, target, weight)
-        model = ToxicityModel(dense @ (whiten @ w), bias)
+        w, bias = _machine(landmarks.sharpened(items) @ whiten, target, weight)
+        model = ToxicityModel(landmarks, whiten @ w, bias)
         rate = model.margins
     judged = rows.mapInArrow(_worst(rate), _WORST).select("rate", "label").collect()
     rows.unpersist()
@@ -316,7 +328,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: s
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.weights[:4096].tobytes() + np.array([model.bias]).tobytes()
+        own = model.weights.tobytes() + model.landmarks.dense.tobytes()
         if _CACHED_FOR != [own]:  # a worker may serve another model next
             _CACHE.clear()
             _CACHED_FOR[:] = [own]
@@ -357,8 +369,8 @@ def _rate(model: ToxicityModel, plain: list[str]) -> np.ndarray:
         new = sorted(set(plain))
     long_enough = [(w, part) for w in new for part in variants(w)]
     _CACHE.update(dict.fromkeys(new, -4.0))
-    for start in range(0, len(long_enough), 50_000):
-        some = long_enough[start : start + 50_000]
+    for start in range(0, len(long_enough), 20_000):
+        some = long_enough[start : start + 20_000]
         for (w, _), m in zip(some, model.margins([part for _, part in some]).tolist()):
             _CACHE[w] = max(_CACHE[w], m)
     return np.fromiter(map(_CACHE.__getitem__, plain), float, len(plain))

@@ -82,12 +82,12 @@ def test_kernel_counts_weighted_subsequences():
         return out
 
     words = ["idiot", "i-d-i-o-t", "idxiot", "stone", "banana", "ab", "été"]
-    mine = toxicity.kernel(words, toxicity.dense_features(words))
+    mine = toxicity.Landmarks(words).kernel(words)
     for i, a in enumerate(words):
         for j, b in enumerate(words):
             f, g = features(a), features(b)
             norm = math.sqrt(sum(v * v for v in f.values()) * sum(v * v for v in g.values()))
-            assert mine[i, j] == pytest.approx(sum(v * g.get(k, 0) for k, v in f.items()) / norm if norm else 0)
+            assert mine[i, j] == pytest.approx(sum(v * g.get(k, 0) for k, v in f.items()) / norm if norm else 0, abs=1e-5)
     assert mine[0, 2] > 0.6 > mine[0, 3]
 
 
