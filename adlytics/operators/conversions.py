@@ -1,18 +1,21 @@
 """Mapping site conversions to impressions by user id, household address or device.
 
-Conversions are summed up per join key before they meet the impressions, so every join is
-many-to-one: no impression-by-conversion pairs are produced, however hot a key is.
+Conversions are summed up per join key before they meet the impressions, and reports sum both sides
+before they join them, so no impression-by-conversion pairs are produced, however hot a key is. Only
+``match_user_then_device`` gives pairs, as its result is the matches; no report reads it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlytics.functions.arrays import count_equal, distinct_values, merge_distinct
 from adlytics.functions.text import fingerprint, utm_medium, utm_source
 from adlytics.operators.delivery import ad_platform, label_seats, rates, seat_totals
-from adlytics.operators.joins import keep_known, left_join, not_in
+from adlytics.operators.joins import drop_known, join_null_safe, keep_known, left_join, not_in
 from adlytics.params import HOUSEHOLD_PLATFORM, ConversionPixels, Period, Window
 
 USER_SOURCE = "user_id"
@@ -43,19 +46,16 @@ def site_conversions(
 def conversion_id_counts(conversions: DataFrame) -> DataFrame:
     """Distinct and total user ids and device fingerprints per day and pixel."""
     device = fingerprint(*[F.col(c) for c in _DEVICE_FIELDS])
-    seen = conversions.groupBy("date_ts", "pixel_name", "site_user_id", device.alias("device")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return seen.groupBy("date_ts", "pixel_name").agg(
-        F.count_distinct("site_user_id").alias("distinct_user_id_count"),
-        _sum_where("n", F.col("site_user_id").isNotNull()).alias("total_user_id_count"),
-        F.count_distinct("device").alias("distinct_pwid_count"),
-        _sum_where("n", F.col("device").isNotNull()).alias("total_pwid_count"),
-    )
+    rows = conversions.select("date_ts", "pixel_name", "site_user_id", device.alias("device"))
+    by = ["date_ts", "pixel_name"]
 
+    def counts(what: str, name: str) -> DataFrame:
+        each = rows.groupBy(*by, what).agg(F.count(what).alias("n"))
+        return each.groupBy(*by).agg(
+            F.count(what).alias(f"distinct_{name}_count"), F.sum("n").alias(f"total_{name}_count")
+        )
 
-def _sum_where(measure: str, test: Column) -> Column:
-    return F.sum(F.when(test, F.col(measure)).otherwise(F.lit(0)))
+    return join_null_safe(counts("site_user_id", "user_id"), counts("device", "pwid"), by, "inner")
 
 
 # --- by user id, then by household address -----------------------------------------
@@ -170,49 +170,64 @@ def conversion_report(consolidated: DataFrame) -> DataFrame:
     return totals.select(*by, "bid_request_sent", "imps", *rates(("br_revenue", "cpm")), *_TOTALS)
 
 
-def _by_utm_pair(rows: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
-    """Sum measures over every pair of a row's UTM mediums and sources.
-
-    Rows with the same tag arrays are summed first, so the pairing multiplies groups, not
-    single rows.
-    """
-    summed = rows.groupBy(*by, "utm_medium", "utm_source").agg(*[F.sum(m).alias(m) for m in measures])
-    filled = summed.withColumns(
-        {
-            "utm_medium": F.coalesce("utm_medium", F.array(F.lit("null"))),
-            "utm_source": F.coalesce("utm_source", F.array(F.lit("direct"))),
-        }
-    )
-    pairs = filled.withColumn("utm_medium", F.explode_outer("utm_medium")).withColumn(
-        "utm_source", F.explode_outer("utm_source")
+def _mapping_flags(impressions: DataFrame, conversions: DataFrame, pixels: ConversionPixels) -> DataFrame:
+    """The flags of ``map_conversions`` per impression, without tags."""
+    mapped = map_conversions(impressions, conversions, pixels).drop("utm_medium", "utm_source")
+    other = conversions.groupBy(F.col("site_user_id").alias("other_user")).agg(
+        F.max(F.coalesce(F.col("pixel_id") != pixels.visit, F.lit(True))).alias("user_other")
     )
-    report = pairs.groupBy(*by, "utm_medium", "utm_source").agg(*[F.sum(m).alias(m) for m in measures])
-    return report.withColumns(
-        {
-            "utm_medium": F.coalesce("utm_medium", F.lit("null")),
-            "utm_source": F.coalesce("utm_source", F.lit("direct")),
-        }
+    tried = left_join(mapped, other, "site_user_id", "other_user")
+    return tried.withColumn("tries_address", F.coalesce("user_other", F.lit(True))).drop("user_other")
+
+
+def _tags(groups: DataFrame, by_user: DataFrame, by_address: DataFrame, tag: str, missing: str) -> DataFrame:
+    """Distinct (tag_user, tag_address, tag) of the groups, `missing` where there is none."""
+    of_user = by_user.filter(F.col(tag).isNotNull()).select(F.col("site_user_id").alias("user_key"), tag).distinct()
+    of_address = by_address.filter(F.col(tag).isNotNull()).select(F.col("ip_address").alias("address_key"), tag).distinct()
+    keys = ["tag_user", "tag_address"]
+    found = (
+        groups.join(of_user, F.col("tag_user") == F.col("user_key"))
+        .select(*keys, tag)
+        .unionByName(groups.join(of_address, F.col("tag_address") == F.col("address_key")).select(*keys, tag))
+        .distinct()
     )
+    return join_null_safe(groups, found, keys).withColumn(tag, F.coalesce(tag, F.lit(missing)))
 
 
-def utm_conversion_report(consolidated: DataFrame) -> DataFrame:
-    """``conversion_report`` per UTM medium and source; an impression counts in each pair."""
+def utm_conversion_report(
+    impressions: DataFrame, conversions: DataFrame, pixels: ConversionPixels, empty_arrays: str = "null"
+) -> DataFrame:
+    """``conversion_report`` per UTM medium and source; an impression counts in each pair.
+
+    Impressions are summed per day, platform, household flag and the user and address whose tags
+    they take, before any tag is joined: a tag meets sums, never single impressions.
+    """
     by = ["date_ts", "ad_platform", "is_household"]
-    rows = consolidated.select(
+    keys = ["tag_user", "tag_address"]
+    none = F.lit(None).cast("int") if empty_arrays == "null" else F.lit(0)
+    one = lambda flag: F.when(F.col(flag), 1).otherwise(none)
+    rows = _mapping_flags(impressions, conversions, pixels).select(
         "date_ts",
         ad_platform(F.col("seat_name")).alias("ad_platform"),
         "is_household",
-        "utm_medium",
-        "utm_source",
+        F.when(F.col("by_user"), F.col("site_user_id")).alias("tag_user"),
+        F.when(F.col("tries_address"), F.col("ip_address")).alias("tag_address"),
         F.when(F.col("br_is_impression"), 1).otherwise(0).cast("bigint").alias("imps"),
         F.try_divide("br_max_bid_net_usd", F.lit(1000)).alias("spend"),
-        F.array_size("visit_pixels").alias("total_visits"),
-        F.array_size("started_pixels").alias("total_started"),
-        F.array_size("completed_pixels").alias("total_completed"),
-        count_equal(F.col("conversion_sources"), USER_SOURCE).alias("conversion_source_user_id"),
-        count_equal(F.col("conversion_sources"), HOUSEHOLD_SOURCE).alias("conversion_source_hhip"),
+        one("has_visit").alias("total_visits"),
+        one("has_started").alias("total_started"),
+        one("has_completed").alias("total_completed"),
+        F.when(F.col("by_user"), 1).otherwise(0).alias("conversion_source_user_id"),
+        F.when(F.col("by_household"), 1).otherwise(0).alias("conversion_source_hhip"),
     )
-    report = _by_utm_pair(rows, by, ["imps", "spend", *_TOTALS])
+    measures = ["imps", "spend", *_TOTALS]
+    summed = rows.groupBy(*by, *keys).agg(*[F.sum(m).alias(m) for m in measures])
+    groups = summed.select(*keys).distinct()
+    visits = conversions.filter(F.col("pixel_id") == pixels.visit)
+    tagged = join_null_safe(summed, _tags(groups, visits, conversions, "utm_medium", "null"), keys, "inner")
+    tagged = tagged.groupBy(*by, *keys, "utm_medium").agg(*[F.sum(m).alias(m) for m in measures])
+    tagged = join_null_safe(tagged, _tags(groups, visits, conversions, "utm_source", "direct"), keys, "inner")
+    report = tagged.groupBy(*by, "utm_medium", "utm_source").agg(*[F.sum(m).alias(m) for m in measures])
     chosen = report.select(*by, "utm_medium", "utm_source", "imps", *rates(("br_revenue", "cpm")), *_TOTALS)
     return chosen.orderBy("date_ts")
 
@@ -221,20 +236,23 @@ def site_conversion_utm_report(
     conversions: DataFrame, pixels: ConversionPixels, empty_arrays: str = "null"
 ) -> DataFrame:
     """Users converting per day and UTM pair, from the site's own events alone."""
+    keys = ["date_ts", "ip_address", "site_user_id"]
 
     def reached(pixel_id: str) -> Column:
         hit = F.max(F.when(F.col("pixel_id") == pixel_id, F.lit(1)))
         return hit if empty_arrays == "null" else F.coalesce(hit, F.lit(0))
 
-    visitors = conversions.groupBy("date_ts", "ip_address", "site_user_id").agg(
+    visitors = conversions.groupBy(*keys).agg(
         reached(pixels.visit).alias("total_visits"),
         reached(pixels.started).alias("total_started"),
         reached(pixels.completed).alias("total_completed"),
-        distinct_values(F.col("utm_medium"), empty_arrays).alias("utm_medium"),
-        distinct_values(F.col("utm_source"), empty_arrays).alias("utm_source"),
     )
-    report = _by_utm_pair(visitors, ["date_ts"], ["total_visits", "total_started", "total_completed"])
-    return report.orderBy(F.col("date_ts").desc())
+    for tag, missing in (("utm_medium", "null"), ("utm_source", "direct")):
+        found = conversions.filter(F.col(tag).isNotNull()).select(*keys, tag).distinct()
+        visitors = join_null_safe(visitors, found, keys).withColumn(tag, F.coalesce(tag, F.lit(missing)))
+    measures = ["total_visits", "total_started", "total_completed"]
+    report = visitors.groupBy("date_ts", "utm_medium", "utm_source").agg(*[F.sum(m).alias(m) for m in measures])
+    return report.select("date_ts", "utm_medium", "utm_source", *measures).orderBy(F.col("date_ts").desc())
 
 
 # --- by user id, then by device ------------------------------------------------------
@@ -310,21 +328,72 @@ def device_match_sums(seats: DataFrame) -> DataFrame:
 def device_match_report(summed: DataFrame, conversions: DataFrame, strict: bool = False) -> DataFrame:
     """Delivery and matched ids per day, platform, arm and pixel, best bid CPM first.
 
-    ``summed`` comes from ``device_match_sums``; save it first, as it is read more than once.
+    ``summed`` comes from ``device_match_sums``; save it and the conversions first, as both are
+    read more than once. Gives the sums that ``match_user_then_device`` would give, without its
+    rows: seats are summed per user or device before they meet conversions counted per user or
+    device and pixel, and distinct ids are looked up for distinct users and devices only.
     """
-    device = fingerprint(*[F.col(f"conv_{c}") for c in _DEVICE_FIELDS])
-    matched = match_user_then_device(summed, conversions, strict).withColumns(
-        {"conv_device": device, "weighted": F.col("match_rows") * F.col("seat_rows")}
-    )
-    by = ["date_ts", "ad_platform", "exp_type", "pixel_name"]
-    totals = matched.groupBy(*by).agg(
-        F.sum(F.col("sent") * F.col("match_rows")).alias("bid_request_sent"),
-        F.sum(F.col("won") * F.col("match_rows")).alias("imps"),
-        F.sum(F.col("spent") * F.col("match_rows")).alias("spend"),
-        F.count_distinct("conv_user_id").alias("distinct_user_id_count"),
-        _sum_where("weighted", F.col("conv_user_id").isNotNull()).alias("total_user_id_count"),
-        F.count_distinct("conv_device").alias("distinct_pwid_count"),
-        _sum_where("weighted", F.col("conv_device").isNotNull()).alias("total_pwid_count"),
+    arm = ["date_ts", "ad_platform", "exp_type"]
+    by = [*arm, "pixel_name"]
+    five = fingerprint(*[F.col(c) for c in _DEVICE_FIELDS])
+    conv = conversions.select(F.col("site_user_id").alias("user"), "pixel_name", five.alias("five"), _device_key().alias("key"))
+    named = conv.filter(F.col("pixel_name").isNotNull())
+
+    # A conversion without a pixel name matches its user but counts as no match.
+    unnamed = conv.groupBy("user").agg(F.count_if(F.col("pixel_name").isNull()).alias("unnamed"))
+    seats = left_join(summed, unnamed, "site_user_id", "user").withColumn("lone", F.coalesce("unnamed", F.lit(1)))
+    sums = ("sent", "won", "spent", "seat_rows")
+    of_user = summed.groupBy(*arm, "site_user_id").agg(*[F.sum(c).alias(c) for c in sums])
+    alone = seats.filter("lone > 0").groupBy(*arm, "device_key")
+    alone = alone.agg(*[F.sum(F.col(c) * F.col("lone")).alias(c) for c in sums])
+
+    seen = keep_known(conv, "user", summed, "site_user_id").select("user").distinct()
+    left_over = not_in(named, "user", seen, "user").filter(F.col("key").isNotNull())
+
+    def counted(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(F.col(key).alias("at"), "pixel_name").agg(
+            F.count(F.lit(1)).alias("n"), F.count("user").alias("n_user"), F.count("five").alias("n_five")
+        )
+
+    def weighed(seat_sums: DataFrame, key: str, found: DataFrame) -> DataFrame:
+        return seat_sums.join(found, F.col(key) == F.col("at")).select(
+            *by,
+            (F.col("sent") * F.col("n")).alias("bid_request_sent"),
+            (F.col("won") * F.col("n")).alias("imps"),
+            (F.col("spent") * F.col("n")).alias("spend"),
+            (F.col("seat_rows") * F.col("n_user")).alias("total_user_id_count"),
+            (F.col("seat_rows") * F.col("n_five")).alias("total_pwid_count"),
+        )
+
+    on_device = counted(left_over, "key")
+    bare = drop_known(alone, "device_key", on_device, "at") if strict else alone
+    bare = bare.select(
+        *arm,
+        F.lit(None).cast("string").alias("pixel_name"),
+        F.col("sent").alias("bid_request_sent"),
+        F.col("won").alias("imps"),
+        F.col("spent").alias("spend"),
     )
+
+    def distinct(what: str, into: str) -> DataFrame:
+        def ids(seat_sums: DataFrame, key: str, rows: DataFrame, at: str) -> DataFrame:
+            known = rows.filter(F.col(what).isNotNull()).select(F.col(at).alias("at"), "pixel_name", F.col(what).alias("found"))
+            return seat_sums.join(known.distinct(), F.col(key) == F.col("at")).select(*by, "found")
+
+        every = ids(of_user, "site_user_id", named, "user").unionByName(ids(alone, "device_key", left_over, "key"))
+        return every.distinct().groupBy(*by).agg(F.count("found").alias(into))
+
+    parts = [
+        weighed(of_user, "site_user_id", counted(named, "user")),
+        weighed(alone, "device_key", on_device),
+        bare,
+        distinct("user", "distinct_user_id_count"),
+        distinct("five", "distinct_pwid_count"),
+    ]
+    every = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
     counts = ("distinct_user_id_count", "total_user_id_count", "distinct_pwid_count", "total_pwid_count")
+    totals = every.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("bid_request_sent", "imps", "spend")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+    )
     return totals.select(*by, "bid_request_sent", "imps", *rates(), *counts).orderBy(F.col("bcpmm").desc())

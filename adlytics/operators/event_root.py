@@ -169,43 +169,25 @@ def event_rows(delivery: DataFrame, conversions: DataFrame) -> DataFrame:
     ).unionByName(conversions.withColumn("delivery", F.lit(None).cast(delivery.schema["delivery"].dataType)))
 
 
-def nest_events(rows: DataFrame, keys: Sequence[str], event: str, into: str, max_events: int) -> DataFrame:
-    """Nest events per key; a group over ``max_events`` is split over several rows.
+def nest_events(rows: DataFrame, keys: Sequence[str], event: str, into: str) -> DataFrame:
+    """Distinct events with their number of copies, nested per key and hour.
 
-    Unnesting gives the same events either way. Equal events are counted before anything
-    is collected and large counts are cut into pieces, so neither a hot key nor a mass of
-    copies ends up in one array.
+    The grain is the same at any size: the hour bounds a row in time, and equal events are counted
+    before anything is collected, so a mass of copies is one entry.
     """
-    counted = rows.groupBy(*keys, event).agg(F.count(F.lit(1)).alias("n"))
-    limit = F.lit(max_events)
-    large = (
-        counted.groupBy(*keys)
-        .agg(F.sum("n").alias("total"))
-        .filter(F.col("total") > limit)
-        .select(*keys, F.ceil(F.col("total") / limit).cast("bigint").alias("parts"))
-    )
-    pieces = join_null_safe(counted, large, keys).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / limit)))
-    )
-    placed = pieces.withColumns(
-        {
-            "copies": F.least(limit.cast("bigint"), F.col("n") - F.col("piece") * limit).cast("int"),
-            "part": F.pmod(F.xxhash64(event, "piece"), F.coalesce("parts", F.lit(1))),
-        }
-    )
-    nested = placed.groupBy(*keys, "part").agg(
-        F.array_sort(F.flatten(F.collect_list(F.array_repeat(event, F.col("copies"))))).alias(into)
-    )
-    return nested.drop("part")
+    counted = rows.groupBy(*keys, event).agg(F.count(F.lit(1)).alias("copies"))
+    hour = F.date_trunc("hour", F.col(event)["ts"]).alias("hour")
+    entry = F.col(event).withField("copies", F.col("copies"))
+    return counted.groupBy(*keys, hour).agg(F.array_sort(F.collect_list(entry)).alias(into))
 
 
-def build_event_root(delivery: DataFrame, conversions: DataFrame, max_events: int = 10_000) -> DataFrame:
-    """Nested root: ``delivery`` or ``conversions`` array per day, person and device."""
-    nested_delivery = nest_events(delivery, ROOT_KEYS, "delivery", "delivery", max_events)
-    nested_conversions = nest_events(conversions, ROOT_KEYS, "conversion", "conversions", max_events)
+def build_event_root(delivery: DataFrame, conversions: DataFrame) -> DataFrame:
+    """Nested root: ``delivery`` or ``conversions`` array per day, person, device and hour."""
+    nested_delivery = nest_events(delivery, ROOT_KEYS, "delivery", "delivery")
+    nested_conversions = nest_events(conversions, ROOT_KEYS, "conversion", "conversions")
     no_conversions = F.lit(None).cast(nested_conversions.schema["conversions"].dataType)
     no_delivery = F.lit(None).cast(nested_delivery.schema["delivery"].dataType)
-    columns: list[str | Column] = [*ROOT_KEYS, "conversions", "delivery"]
+    columns: list[str | Column] = [*ROOT_KEYS, "hour", "conversions", "delivery"]
     return (
         nested_delivery.withColumn("conversions", no_conversions)
         .select(*columns)
@@ -214,9 +196,13 @@ def build_event_root(delivery: DataFrame, conversions: DataFrame, max_events: in
 
 
 def flatten_event_root(root: DataFrame) -> DataFrame:
-    """Back from the nested root to ``event_rows``."""
-    return (
+    """Back from the nested root to ``event_rows``, every copy a row of its own."""
+    entries = (
         root.withColumn("conversion", F.explode_outer("conversions"))
         .withColumn("delivery", F.explode_outer("delivery"))
-        .drop("conversions")
+        .drop("conversions", "hour")
     )
+    copies = F.coalesce("delivery.copies", "conversion.copies", F.lit(0).cast("bigint"))
+    repeated = entries.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(copies, F.lit(1)))))
+    kept = {c: F.when(F.col(c).isNotNull(), F.col(c).dropFields("copies")) for c in ("conversion", "delivery")}
+    return repeated.withColumns(kept).drop("copy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlytics import params
@@ -13,7 +13,7 @@ from adlytics.functions.arrays import first_field
 from adlytics.functions.ip import household_address
 from adlytics.operators.delivery import label_seats, rates, seat_level, seat_totals
 from adlytics.operators.household import flag_household
-from adlytics.operators.joins import left_join
+from adlytics.operators.joins import join_null_safe, left_join, spread_null_key
 from adlytics.params import Period
 
 CACHED = "cached_hhip"
@@ -36,22 +36,19 @@ SEAT_OUTPUT = (
 )
 
 
-def cached_households(tables: Mapping[str, DataFrame], days: Period, cap: int | None = None) -> DataFrame:
+def cached_households(tables: Mapping[str, DataFrame], days: Period) -> DataFrame:
     """Household ids cached under any identifier: (mapping_key, household_id, cached_rows).
 
-    Equal rows of the lookup tables are summed into ``cached_rows``. ``cap`` limits the
-    rows taken from each table and makes the result depend on which rows those are; it is
-    off by default.
+    Equal rows of the lookup tables are summed into ``cached_rows``.
     """
 
     def entries(table: DataFrame) -> DataFrame:
-        one = (
+        return (
             table.filter(days.covers_date(F.col("date")))
             .select("mapping_key", F.explode("user_ad_platform_ids").alias("entry"))
             .filter(F.col("entry.ad_platform") == params.HOUSEHOLD_PLATFORM)
             .select("mapping_key", F.col("entry.user_ad_platform_id").alias("household_id"))
         )
-        return one if cap is None else one.limit(cap)
 
     union = reduce(DataFrame.unionByName, [entries(t) for t in tables.values()])
     return (
@@ -73,20 +70,18 @@ def lookup_keys() -> Column:
     return F.when(F.array_size(keys) > 0, keys)
 
 
-_SEPARATOR = "\x1f"
-
-
 def _key_sets(rows: DataFrame, lookup_key: str) -> DataFrame:
     """The distinct key sets with one row per key."""
     sets = rows.filter(F.col("lookup_set").isNotNull()).select("lookup_set").distinct()
-    return sets.select(
-        F.array_join("lookup_set", _SEPARATOR).alias("set_text"), F.explode("lookup_set").alias(lookup_key)
-    )
+    return sets.select(F.col("lookup_set").alias("known_set"), F.explode("lookup_set").alias(lookup_key))
 
 
 def _join_sets(rows: DataFrame, per_set: DataFrame) -> DataFrame:
-    keyed = rows.withColumn("keys_text", F.array_join("lookup_set", _SEPARATOR))
-    return left_join(keyed, per_set, "keys_text", "set_text").drop("keys_text")
+    """Left join on the key set itself; the many rows without one do not meet in one task."""
+    lone = spread_null_key(F.lit(None).cast("string"), [F.col(c) for c in rows.columns])
+    keyed = rows.withColumn("_set", F.coalesce("lookup_set", F.array(lone)))
+    test = (F.col("_set") == F.col("known_set")) & F.col("lookup_set").isNotNull()
+    return keyed.join(per_set, test, "left").drop("_set", "known_set")
 
 
 def match_any_key(rows: DataFrame, lookup: DataFrame, lookup_key: str) -> DataFrame:
@@ -103,7 +98,7 @@ def match_any_key(rows: DataFrame, lookup: DataFrame, lookup_key: str) -> DataFr
 def count_any_key(rows: DataFrame, lookup: DataFrame, lookup_key: str, weight: str, into: str) -> DataFrame:
     """Rows with the summed weight of the lookup rows ``match_any_key`` would give, or NULL."""
     per_key = lookup.groupBy(lookup_key).agg(F.sum(weight).alias(into))
-    per_set = _key_sets(rows, lookup_key).join(per_key, lookup_key).groupBy("set_text").agg(F.sum(into).alias(into))
+    per_set = _key_sets(rows, lookup_key).join(per_key, lookup_key).groupBy("known_set").agg(F.sum(into).alias(into))
     return _join_sets(rows, per_set)
 
 
@@ -126,13 +121,23 @@ def place_seats(seats: DataFrame, cached: DataFrame, prefixes: DataFrame) -> Dat
     Adds ``matches``, the cached rows found (NULL for none), ``is_household``, and the
     same for the whole request: ``request_cached`` and ``request_listed``. ``seats`` comes
     from ``person_seats``; save it first, as it is read more than once.
+
+    All four are facts about the narrow distinct rows of request, key set, day and address:
+    they are looked up there, summed up per request, and joined to the seats once.
     """
-    tried = flag_household(count_any_key(seats, cached, "mapping_key", "cached_rows", "matches"), prefixes)
-    requests = tried.filter(F.col("request_id").isNotNull()).groupBy(F.col("request_id").alias("known_request")).agg(
-        F.max(F.col("matches").isNotNull()).alias("request_cached"),
-        F.max("is_household").alias("request_listed"),
+    facts = ("request_id", "lookup_set", "date_ts", "ip_address")
+    narrow = seats.select(*facts).distinct()
+    tried = flag_household(count_any_key(narrow, cached, "mapping_key", "cached_rows", "matches"), prefixes)
+    within = Window.partitionBy(spread_null_key(F.col("request_id"), [F.col(c) for c in facts]))
+    whole = tried.withColumns(
+        {
+            "request_cached": F.max(F.col("matches").isNotNull()).over(within),
+            "request_listed": F.max("is_household").over(within),
+        }
     )
-    return left_join(tried, requests, "request_id", "known_request")
+    known = F.col("request_id").isNotNull()
+    whole = whole.withColumns({c: F.when(known, F.col(c)) for c in ("request_cached", "request_listed")})
+    return join_null_safe(seats.drop(*[c for c in whole.columns if c not in facts]), whole, facts)
 
 
 def _person(first: str, *rest: str) -> Column:

@@ -109,6 +109,9 @@ class Window:
         high = datetime.combine(self.day, self.end, timezone.utc)
         return ts.between(F.lit(low), F.lit(high))
 
+    def covers_date(self, day: Column) -> Column:
+        return day == F.lit(self.day)
+
 
 @dataclass(frozen=True)
 class ConversionPixels:

@@ -1,6 +1,7 @@
 """Reports over a set of tables, each from scan to result.
 
-``tables`` is any object with the table methods of ``adlytics.sources.derived.Derived``.
+``tables`` is any object with the methods below: ``adlytics.sources.tables.ParquetTables`` for
+tables kept as parquet. ``space`` holds the tables a report saves; close it after using the report.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from adlytics.operators import attribution, conversions, delivery, event_root, household, identity, overlap
 from adlytics.params import ConversionPixels, Period, Window
-from adlytics.sources.tables import sample_rows, save_intermediate, scan
+from adlytics.sources.tables import sample_rows, scan
+from adlytics.workspace import Workspace
 
 
 class Tables(Protocol):
@@ -29,7 +31,7 @@ class Tables(Protocol):
     def id_mapping(self) -> Mapping[str, DataFrame]: ...
 
 
-def mapped_impressions(
+def impressions_and_conversions(
     tables: Tables,
     pixels: ConversionPixels,
     when: Period | Window,
@@ -37,29 +39,44 @@ def mapped_impressions(
     lookup_days: Period,
     country: str | None = None,
     creative_id: str | None = None,
-) -> DataFrame:
-    """Impressions with the conversions their user or household reaches."""
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct impressions of a scan, and the advertiser's conversions to map to them."""
     bids = scan(tables.bidstream(), when, country=country)
     seats = delivery.seat_level(bids, impressions_only=True, creative_id=creative_id)
     homes = household.household_prefixes(tables.ip_prefix_mapping(), lookup_days)
     shown = conversions.impression_keys(household.flag_household(seats, homes))
     converted = conversions.site_conversions(tables.site_events(), pixels, conversion_days)
-    return conversions.map_conversions(shown, converted, pixels)
+    return shown, converted
+
+
+def mapped_impressions(
+    tables: Tables,
+    pixels: ConversionPixels,
+    when: Period | Window,
+    conversion_days: Period,
+    lookup_days: Period,
+    country: str | None = None,
+    creative_id: str | None = None,
+) -> DataFrame:
+    """Impressions with the conversions their user or household reaches."""
+    found = impressions_and_conversions(tables, pixels, when, conversion_days, lookup_days, country, creative_id)
+    return conversions.map_conversions(*found, pixels)
 
 
 def device_match(
-    tables: Tables, pixels: ConversionPixels, days: Period, strict: bool = False
+    space: Workspace, tables: Tables, pixels: ConversionPixels, days: Period, strict: bool = False
 ) -> DataFrame:
     """Delivery against completed conversions matched by user id, then by device."""
     seats = delivery.seat_level(scan(tables.bidstream(), days))
     # The bid log is read once; its sums are small and read several times.
-    summed = save_intermediate(conversions.device_match_sums(seats), "device-sums")
+    summed = space.save(conversions.device_match_sums(seats), "device-sums")
     converted = conversions.site_conversions(tables.site_events(), pixels, days)
-    completed = converted.filter(F.col("pixel_id") == pixels.completed)
+    completed = space.save(converted.filter(F.col("pixel_id") == pixels.completed), "completed")
     return conversions.device_match_report(summed, completed, strict)
 
 
 def overlap_report(
+    space: Workspace,
     tables: Tables,
     pixels: ConversionPixels,
     bid_days: Period,
@@ -72,7 +89,7 @@ def overlap_report(
     homes = household.household_prefixes(tables.ip_prefix_mapping(), bid_days)
     ads = household.flag_household(delivery.ad_level(scan(tables.bidstream(), bid_days, country=country)), homes)
     # The bid log is read once; its sums are small and read several times.
-    delivered = save_intermediate(overlap.delivery_sums(ads), "delivery-sums")
+    delivered = space.save(overlap.delivery_sums(ads), "delivery-sums")
     converted = conversions.site_conversions(tables.site_events(), pixels, conversion_days)
     if with_totals:
         return overlap.delivery_overlap_with_totals(delivered, homes, converted, pixels, bid_days.start, strict)
@@ -80,6 +97,7 @@ def overlap_report(
 
 
 def _person_seats(
+    space: Workspace,
     tables: Tables,
     when: Period | Window,
     country: str | None,
@@ -87,12 +105,13 @@ def _person_seats(
     sample_fraction: float,
     seed: int,
 ) -> DataFrame:
-    bids = sample_rows(scan(tables.bidstream(), when, country=country), sample_fraction, seed)
+    bids = sample_rows(scan(tables.bidstream(), when, country=country), sample_fraction, "request_id", seed)
     # The bid log is read once; the platform's seats are few and read several times.
-    return save_intermediate(identity.person_seats(bids, impressions_only), "seats")
+    return space.save(identity.person_seats(bids, impressions_only), "seats")
 
 
 def placed_seats(
+    space: Workspace,
     tables: Tables,
     when: Period | Window,
     prefix_days: Period,
@@ -102,13 +121,14 @@ def placed_seats(
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Platform seats with what the lookups know about them, and the cached households."""
-    seats = _person_seats(tables, when, country, False, sample_fraction, seed)
+    seats = _person_seats(space, tables, when, country, False, sample_fraction, seed)
     cached = identity.cached_households(tables.id_mapping(), lookup_days)
     homes = household.household_prefixes(tables.ip_prefix_mapping(), prefix_days)
-    return save_intermediate(identity.place_seats(seats, cached, homes), "placed-seats"), cached
+    return space.save(identity.place_seats(seats, cached, homes), "placed-seats"), cached
 
 
 def cascade_people(
+    space: Workspace,
     tables: Tables,
     when: Period | Window,
     prefix_days: Period,
@@ -116,11 +136,10 @@ def cascade_people(
     country: str | None = None,
     sample_fraction: float = 1.0,
     seed: int = 0,
-    lookup_cap: int | None = None,
 ) -> DataFrame:
     """Person id of every platform impression, resolved row by row."""
-    seats = _person_seats(tables, when, country, True, sample_fraction, seed)
-    cached = identity.cached_households(tables.id_mapping(), lookup_days, lookup_cap)
+    seats = _person_seats(space, tables, when, country, True, sample_fraction, seed)
+    cached = identity.cached_households(tables.id_mapping(), lookup_days)
     listed = household.household_prefix_rows(tables.ip_prefix_mapping(), prefix_days)
     return identity.resolve_person_cascade(seats, cached, listed)
 
@@ -142,12 +161,12 @@ def root_events(tables: Tables, days: Period, household_day: Period, creative_ch
 
 
 def nested_root(
-    tables: Tables, days: Period, household_day: Period, creative_characters: str, max_events: int = 10_000
+    space: Workspace, tables: Tables, days: Period, household_day: Period, creative_characters: str
 ) -> DataFrame:
     """Nested attribution root, from its two sides saved first: nesting reads them twice."""
-    delivered = save_intermediate(delivery_side(tables, days, household_day, creative_characters), "delivery")
-    converted = save_intermediate(event_root.conversion_events(tables.site_sessions(), days), "conversions")
-    return event_root.build_event_root(delivered, converted, max_events)
+    delivered = space.save(delivery_side(tables, days, household_day, creative_characters), "delivery")
+    converted = space.save(event_root.conversion_events(tables.site_sessions(), days), "conversions")
+    return event_root.build_event_root(delivered, converted)
 
 
 def campaign_attribution(rows: DataFrame) -> DataFrame:

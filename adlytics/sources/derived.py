@@ -46,10 +46,6 @@ def _person(n: str) -> dict[str, str]:
 _ORDER_TS = "timestamp_seconds(1704067200 + (o_orderkey * 7919) % 2592000)"
 
 
-# Schema and scan tasks per application and file, looked up once.
-_known_files: dict[tuple[str, str], tuple[StructType, int]] = {}
-
-
 @dataclass(frozen=True)
 class Derived:
     """The derived tables of one data folder."""
@@ -58,20 +54,13 @@ class Derived:
     folder: str
 
     def _source(self, name: str) -> DataFrame:
-        """A source table, its rows spread out when fewer tasks than cores would read it.
+        """A source table, its few plain columns dealt over the session's shuffle partitions.
 
-        A small file is one task's work whatever is computed from its rows. A large table
-        is split by the scan already and is not shuffled.
+        Whole nested logs are derived from each narrow row, so the work is spread before, whatever
+        the size of the file.
         """
-        path = f"{self.folder}/{name}.parquet"
-        cores = self.spark.sparkContext.defaultParallelism
-        file = (self.spark.sparkContext.applicationId, path)
-        if file not in _known_files:
-            rows = self.spark.read.parquet(path)
-            _known_files[file] = (rows.schema, rows.rdd.getNumPartitions())
-        schema, tasks = _known_files[file]
-        rows = self.spark.read.schema(schema).parquet(path)
-        return rows.repartition(cores) if tasks < cores else rows
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet").repartition(spread)
 
     def bidstream(self) -> DataFrame:
         """One request per order with up to two ads, three seats each, two bids each."""

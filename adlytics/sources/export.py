@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 
 PART_ROWS = 1_000_000
 RANK_BUCKETS = 4096
+# Headers of the written manifest. Fixed values.
+MANIFEST_HEADERS = {"export_date": "Date", "partition": "Partition", "filename": "Filename", "row_count": "Row Count"}
 _TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -26,9 +28,17 @@ def _text_columns(rows: DataFrame) -> list[Column]:
 
 
 def export_ordered_csv(rows: DataFrame, path: str, order_by: Sequence[str]) -> None:
-    """Globally ordered CSV: the files, taken in name order, hold the rows in order."""
-    ordered = rows.orderBy(*order_by).select(*_text_columns(rows))
-    ordered.write.mode("overwrite").csv(path, header=True)
+    """Globally ordered CSV: the files, taken in name order, hold the rows in order, without headers.
+
+    Ties are broken by the other columns, so one instant holding most rows is still dealt over
+    several files.
+    """
+    ordered = rows.orderBy(*_total_order(rows, order_by)).select(*_text_columns(rows))
+    ordered.write.mode("overwrite").csv(path, header=False)
+
+
+def _total_order(rows: DataFrame, order_by: Sequence[str]) -> list[str]:
+    return [*order_by, *[c for c in rows.columns if c not in order_by]]
 
 
 def export_single_header_csv(rows: DataFrame, path: str, order_by: Sequence[str]) -> None:
@@ -36,17 +46,17 @@ def export_single_header_csv(rows: DataFrame, path: str, order_by: Sequence[str]
 
     The header is a row of its own that sorts before all others.
     """
-    names = [c for c, _ in rows.dtypes]
+    names, order = rows.columns, _total_order(rows, order_by)
     header = ",".join(names)
     lines = rows.select(
-        F.lit(1).alias("after_header"), *order_by, F.to_csv(F.struct(*_text_columns(rows))).alias("line")
+        F.lit(1).alias("after_header"), *order, F.to_csv(F.struct(*_text_columns(rows))).alias("line")
     )
     first = (
         rows.sparkSession.range(1)
         .select(F.lit(0).alias("after_header"), F.lit(header).alias("line"))
-        .select("after_header", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order_by], "line")
+        .select("after_header", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order], "line")
     )
-    ordered = first.unionByName(lines).orderBy("after_header", *order_by)
+    ordered = first.unionByName(lines).orderBy("after_header", *order)
     ordered.select("line").write.mode("overwrite").text(path)
 
 
@@ -127,5 +137,5 @@ def export_daily_csv(
     parts = export_parts(rows, prefix, part_rows, ts)
     text = parts.select("filename", *_text_columns(rows))
     text.repartition("filename").write.mode("overwrite").partitionBy("filename").csv(f"{path}/parts", header=True)
-    manifest = export_manifest(rows, prefix, part_rows, ts)
+    manifest = export_manifest(rows, prefix, part_rows, ts).withColumnsRenamed(MANIFEST_HEADERS)
     manifest.coalesce(1).write.mode("overwrite").csv(f"{path}/INDEX.csv", header=True)

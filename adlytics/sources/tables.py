@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from adlytics.params import Period, Window
 from adlytics.schemas import prune, schema
-from adlytics.session import shared_folder
 
 
 def read_table(spark: SparkSession, path: str, table: str, fields: Iterable[str] | None = None) -> DataFrame:
@@ -25,19 +24,30 @@ def with_names(table: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def scan(
-    table: DataFrame, when: Period | Window, ts: str = "ts", country: str | None = None
+    table: DataFrame, when: Period | Window, ts: str = "ts", country: str | None = None, partition: str | None = None
 ) -> DataFrame:
     """Rows of a period or clock window, optionally of one country.
 
-    The bounds are literals on the raw column, so they prune partitions and row groups.
+    The bounds are literals on the raw column, so they skip row groups. ``partition`` names the
+    date column a table is partitioned by; its bounds keep files of other days from being opened.
     """
     rows = table.filter(when.covers_ts(F.col(ts)))
+    if partition is not None:
+        rows = rows.filter(when.covers_date(F.col(partition)))
     return rows if country is None else rows.filter(F.col("user_country") == country)
 
 
-def sample_rows(table: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Seeded random row sample; a fraction of 1 keeps every row."""
-    return table if fraction >= 1.0 else table.sample(fraction=fraction, seed=seed)
+def sample_rows(table: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:
+    """Rows whose key has a hash in the first `fraction` of its range; all from a fraction of 1 on.
+
+    The hash is 32 bits of the md5 of seed and key, so the same rows are taken under any
+    partitioning and by any engine. Rows of one key are taken together; a null key is the empty text.
+    """
+    if fraction >= 1.0:
+        return table
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return table.filter(place < F.lit(fraction))
 
 
 def partition_days(table: DataFrame, ts: str = "ts") -> DataFrame:
@@ -52,7 +62,68 @@ def save_table(table: DataFrame, path: str, partition_by: Iterable[str] = ()) ->
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def save_intermediate(table: DataFrame, name: str) -> DataFrame:
-    """Save under the shared folder, so later stages neither recompute nor lose it."""
-    folder = shared_folder(table.sparkSession)
-    return save_table(table, f"{folder}/{name}-{uuid.uuid4().hex}")
+#: Identifier kinds that have a lookup table of their own.
+ID_KINDS = ("login_hash", "anonymous_hash", "maid", "pubcid", "site_user")
+
+
+class ParquetTables:
+    """Tables kept as parquet below one folder, each read with the nested fields it is read for.
+
+    ``fields`` names the dotted field paths per table (see ``schemas.BID_FIELDS``); tables without
+    an entry are read whole. ``partitions`` names the date column a table is partitioned by.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        fields: Mapping[str, Iterable[str]] | None = None,
+        partitions: Mapping[str, str] | None = None,
+    ):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.fields, self.partitions = dict(fields or {}), dict(partitions or {})
+
+    def read(self, table: str) -> DataFrame:
+        wanted = schema(table)
+        cut = prune(wanted, self.fields[table]) if table in self.fields else wanted
+        day = self.partitions.get(table)
+        if day and day not in cut.names:
+            cut = StructType([*cut.fields, StructField(day, DateType())])
+        return self.spark.read.schema(cut).parquet(f"{self.folder}/{table}")
+
+    def scan(self, table: str, when: Period | Window, ts: str = "ts", country: str | None = None) -> DataFrame:
+        return scan(self.read(table), when, ts, country, self.partitions.get(table))
+
+    def bidstream(self) -> DataFrame:
+        return self.read("bidstream")
+
+    def site_events(self) -> DataFrame:
+        return self.read("site_events")
+
+    def site_sessions(self) -> DataFrame:
+        return self.read("site_sessions")
+
+    def pages(self) -> DataFrame:
+        return self.read("pages")
+
+    def win_log(self) -> DataFrame:
+        return self.read("win_log")
+
+    def attention(self) -> DataFrame:
+        return self.read("attention")
+
+    def line_items(self) -> DataFrame:
+        return self.read("line_items")
+
+    def ip_prefix(self) -> DataFrame:
+        return self.read("ip_prefix")
+
+    def ip_prefix_mapping(self) -> DataFrame:
+        return self.read("ip_prefix_mapping")
+
+    def id_mapping(self) -> Mapping[str, DataFrame]:
+        """One table per identifier kind, in folders below ``id_mapping``."""
+        return {
+            kind: self.spark.read.schema(schema("id_mapping")).parquet(f"{self.folder}/id_mapping/{kind}")
+            for kind in ID_KINDS
+        }

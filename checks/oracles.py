@@ -20,6 +20,10 @@ def all_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _in_sample(seed: int, key: str, fraction: float) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || {key}), 1, 8) AS BIGINT) / 4294967296.0 < {fraction}"
+
+
 def _metrics(sent: str, imps: str, spend: str, names: str = "br_revenue bcpmm fill_rate cpm") -> str:
     formulas = {
         "br_revenue": f"round({spend}, 0)",
@@ -339,6 +343,15 @@ for _mode in ("exclusive", "distinct_fallback", "cascade"):
             FROM ({_people(_mode)}) GROUP BY ALL""",
         text="date_ts is_bid_request_sent is_test_arm is_control_arm br_is_impression",
     )
+_add(
+    "cascade_sampled",
+    ("person_seats", "cached_hits"),
+    f"""SELECT via AS ip_source, person AS premium_web_id, d AS date_ts, request_id, ad_id, seat_name,
+        sent AS is_bid_request_sent, test_arm AS is_test_arm, control_arm AS is_control_arm,
+        br_won AS br_is_impression, br_bid AS br_max_bid_net_usd, count(*) AS match_rows
+        FROM ({_people("cascade")}) WHERE {_in_sample(3, "request_id", 0.2)} GROUP BY ALL""",
+    text="date_ts is_bid_request_sent is_test_arm is_control_arm br_is_impression",
+)
 for _name, _mode in (
     ("reach_of_people", "exclusive"), ("reach_exclusive", "exclusive"), ("reach_distinct_fallback", "distinct_fallback")
 ):
@@ -375,19 +388,37 @@ _add(
     text="date is_household",
     ts="ts",
 )
+_HOUR = "date_trunc('hour', ts)"
 _add(
     "event_root_nested",
     ("delivered", "converted"),
-    f"""SELECT {_KEYS}, NULL AS conversions, count(*) AS delivered, sum(net) AS bid_net_usd, min(ts) AS first_delivery
-        FROM delivered GROUP BY d, pwid, browser, device, os, ip, home, usr
-        UNION ALL SELECT {_KEYS}, count(*), NULL, NULL, NULL FROM ({_CONVERTED}) GROUP BY d, pwid, browser, device, os, ip, home, usr""",
+    f"""WITH entries AS (SELECT *, count(*) AS copies FROM delivered GROUP BY ALL),
+        shown AS (SELECT *, count(*) OVER (PARTITION BY d, pwid, browser, device, os, ip, home, usr, {_HOUR}) AS size FROM entries)
+        SELECT {_KEYS}, {_HOUR} AS hour, size AS delivered, ts, request_id, domain AS advertiser_domain, ad_id,
+        line_id AS line_item_id, advertiser_id, campaign_id, creative AS creative_id, io_number, opportunity AS opportunity_name,
+        net AS bid_net_usd, gross AS bid_gross_usd, clicks AS beeswax_clicks, in_view AS beeswax_in_view_time,
+        tracker_domain AS tracker_advertiser_domain, tracker_click, tracker_hovers, v80 AS dv_net_80_viewable_imp,
+        v100 AS dv_net_100_viewable_imp, viab AS dv_net_iab_viewable_imp, vhover AS dv_ad_mouse_hover_imp,
+        NULL AS pixel_id, NULL AS pixel_name, copies FROM shown
+        UNION ALL SELECT {_KEYS}, {_HOUR} AS hour, NULL, ts, NULL, domain, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+        NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, pixel_id, pixel_name, count(*) FROM ({_CONVERTED}) GROUP BY ALL""",
     text="date is_household",
-    ts="first_delivery",
+    ts="ts hour",
 )
 _add(
     "active_events",
     ("delivered", "converted"),
-    "SELECT (SELECT count(*) FROM delivered) AS impressions, (SELECT count(*) FROM converted) AS conversions",
+    f"""WITH every AS (
+          SELECT d, pwid, browser, device, os, ip, home, usr, coalesce(domain, tracker_domain) AS domain, campaign_id,
+            CASE WHEN campaign_id = 'c3' THEN NULL ELSE 1 END AS impression, NULL AS conversion
+          FROM delivered
+          UNION ALL SELECT d, pwid, browser, device, os, ip, home, usr, domain, NULL, NULL, 1 FROM ({_CONVERTED})),
+        marked AS (SELECT *,
+            count(impression) OVER (PARTITION BY pwid, browser, device, os, ip, home, usr, domain) AS device_impressions,
+            count(conversion) OVER (PARTITION BY pwid, domain) AS person_conversions FROM every)
+        SELECT coalesce(campaign_id, 'none') AS campaign_id, count(impression) AS impressions, count(conversion) AS conversions,
+            count(*) AS events, 'kept' AS state FROM marked WHERE device_impressions > 0 OR person_conversions > 0 GROUP BY ALL
+        UNION ALL SELECT coalesce(campaign_id, 'none'), count(impression), count(conversion), count(*), 'all' FROM marked GROUP BY ALL""",
 )
 _ROW_ORDER = ", ".join(
     f"{c} ASC NULLS FIRST"
@@ -418,6 +449,16 @@ _add(
 )
 
 
+_add(
+    "attributed_rows",
+    ("attributed",),
+    f"""SELECT d AS date, campaign_id, pwid AS user_pwid_raw, count(*) AS mapped_rows,
+        count(DISTINCT (ts, ad_id, creative)) AS impression_keys, count(DISTINCT conv_id) AS conversion_keys,
+        count(*) FILTER (WHERE is_first) AS first_rows FROM ({_FIRST_MARKED}) GROUP BY ALL""",
+    text="date",
+)
+
+
 def _reached(test: str = "true") -> str:
     return f"count(DISTINCT conv_id) FILTER (WHERE {test})"
 
@@ -468,22 +509,31 @@ _add(
 
 # --- line items and exports --------------------------------------------------------------
 
-_add(
-    "match_pixels_to_line_items",
-    ("ev", "wins"),
-    """SELECT p.adv AS internal_advertiser_id, pixel_id, pixel_name, w.advertiser_id, w.line_alt AS line_item_alt_id,
+
+
+def _pixels(kept: str) -> str:
+    return f"""WITH p AS (SELECT CASE WHEN e % 7 = 0 THEN 'none' ELSE CAST(70 + e % 4 AS VARCHAR) END AS adv,
+            CASE kind WHEN 'error' THEN '501' WHEN 'signup' THEN '502' ELSE '503' END AS pixel_id, 'px-' || kind AS pixel_name,
+            count(*) AS n FROM ev WHERE kind IN ('error', 'signup', 'purchase') GROUP BY ALL),
+        w AS (SELECT advertiser_id, line_alt, campaign_alt_id, campaign_id, p_partkey, line_id, io_number, opportunity,
+            count(*) AS m FROM wins WHERE {kept} GROUP BY ALL)
+        SELECT p.adv AS internal_advertiser_id, pixel_id, pixel_name, w.advertiser_id, w.line_alt AS line_item_alt_id,
         w.campaign_alt_id, w.campaign_id, line_id AS line_item_id, io_number, p_type AS product, p_brand AS record_type,
         CASE WHEN line_id IS NOT NULL THEN 'CPM' END AS metric, opportunity AS opportunity_name,
         'acc' || CAST(w.p_partkey % 10 AS VARCHAR) AS account_id, p_name AS account_name,
         CASE WHEN w.p_partkey % 3 <> 0 THEN 'retail' END AS industry, 'ag' || CAST(w.p_partkey % 4 AS VARCHAR) AS agency,
         'cg' || CAST(w.p_partkey % 2 AS VARCHAR) AS customer_group,
         DATE '2024-01-01' + CAST(min(p_size) AS INTEGER) AS start_date, DATE '2024-03-01' + CAST(max(p_size) AS INTEGER) AS end_date,
-        count(*) AS number_pixel_events
-        FROM (SELECT CASE WHEN e % 7 = 0 THEN 'none' ELSE CAST(70 + e % 4 AS VARCHAR) END AS adv,
-                CASE kind WHEN 'error' THEN '501' WHEN 'signup' THEN '502' ELSE '503' END AS pixel_id, 'px-' || kind AS pixel_name
-              FROM ev WHERE kind IN ('error', 'signup', 'purchase')) p
-        LEFT JOIN wins w ON w.advertiser_id = TRY_CAST(p.adv AS BIGINT)
-        LEFT JOIN part ON part.p_partkey = w.p_partkey GROUP BY ALL""",
+        CAST(sum(p.n * coalesce(w.m, 1)) AS BIGINT) AS number_pixel_events
+        FROM p LEFT JOIN w ON w.advertiser_id = TRY_CAST(p.adv AS BIGINT)
+        LEFT JOIN part ON part.p_partkey = w.p_partkey GROUP BY ALL"""
+
+
+_add("match_pixels_to_line_items", ("ev", "wins"), _pixels("true"), text="start_date end_date")
+_add(
+    "match_pixels_to_line_items_sampled",
+    ("ev", "wins"),
+    _pixels(_in_sample(7, "'r' || CAST(win_k AS VARCHAR)", 0.05)),
     text="start_date end_date",
 )
 _PARTS = """WITH days AS (SELECT d, count(*) AS total, CAST(ceil(count(*) / 150) AS BIGINT) AS parts FROM ev GROUP BY d),
@@ -505,3 +555,5 @@ _add(
     """SELECT 'ts,id_type,partner_id' AS line UNION ALL
         SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ',' || kind || ',x' || CAST(u AS VARCHAR) FROM ev""",
 )
+_SQL["campaign_report_from_nested"] = _SQL["campaign_report"]
+_SQL["seat_delivery_report_from_tables"] = _SQL["seat_delivery_report"]

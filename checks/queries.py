@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
 from collections.abc import Callable
+from contextlib import suppress
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from adlytics.functions import ip, text, times
 from adlytics.operators import attribution, conversions, delivery, event_root, household, identity, metadata
 from adlytics.params import Period, Window
 from adlytics.plans import reports
-from adlytics.session import shared_folder
+from adlytics.schemas import BID_FIELDS
 from adlytics.sources import export
 from adlytics.sources.derived import (
     AS_OF,
@@ -25,19 +27,45 @@ from adlytics.sources.derived import (
     PIXELS,
     Derived,
 )
-from adlytics.sources.tables import partition_days, save_intermediate, scan
+from adlytics.sources.tables import ParquetTables, partition_days, save_table, scan
+from adlytics.workspace import Workspace
 from datetime import time
 
 EXPORT_PREFIX = "audience"
 EXPORT_PART_ROWS = 150
-_REGISTERED: dict[str, Callable[[Derived], DataFrame]] = {}
+INACTIVE_CAMPAIGN = "c3"
 
 
-def query(build: Callable[[Derived], DataFrame]) -> Callable[[Derived], DataFrame]:
+@dataclass(frozen=True)
+class Checked(Derived):
+    """The derived tables, and the workspace that all queries over them share."""
+
+    space: Workspace
+
+
+_REGISTERED: dict[str, Callable[[Checked], DataFrame]] = {}
+_SPACES: dict[tuple[str, str], Workspace] = {}
+
+
+def query(build: Callable[[Checked], DataFrame]) -> Callable[[Checked], DataFrame]:
     _REGISTERED[build.__name__] = build
     return build
 
 
+def workspace(spark: SparkSession, folder: str) -> Workspace:
+    """One workspace per application and data folder, removed when the driver ends."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _SPACES:
+        space = _SPACES[key] = Workspace(spark)
+
+        def close() -> None:
+            with suppress(Exception):  # the session may have ended before
+                space.close()
+
+        atexit.register(close)
+    return _SPACES[key]
+
+
 def plain(rows: DataFrame) -> DataFrame:
     """Days, timestamps, flags and arrays as text, so both engines print them alike."""
     shown = []
@@ -54,8 +82,8 @@ def plain(rows: DataFrame) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(build: Callable[[Derived], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: plain(build(Derived(configure(spark), folder)))
+    def bind(build: Callable[[Checked], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, folder: plain(build(Checked(configure(spark), folder, workspace(spark, folder))))
 
     return {name: bind(build) for name, build in _REGISTERED.items()}
 
@@ -64,12 +92,12 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 @query
-def partition_listing(t: Derived) -> DataFrame:
+def partition_listing(t: Checked) -> DataFrame:
     return partition_days(t.audience())
 
 
 @query
-def day_scan_counts(t: Derived) -> DataFrame:
+def day_scan_counts(t: Checked) -> DataFrame:
     """Rows of each supported scan window of the whole bid log."""
     bids = t.bidstream().select("ts", "user_country")
     hours = Window(AS_OF.replace(day=30), time(6), time(14, 10))
@@ -85,7 +113,7 @@ def day_scan_counts(t: Derived) -> DataFrame:
 
 
 @query
-def utm_fields(t: Derived) -> DataFrame:
+def utm_fields(t: Checked) -> DataFrame:
     url = F.col("page_url")
     return t.site_events().select(
         "page_url", text.utm_medium(url).alias("utm_medium"), text.utm_source(url).alias("utm_source")
@@ -93,7 +121,7 @@ def utm_fields(t: Derived) -> DataFrame:
 
 
 @query
-def text_functions(t: Derived) -> DataFrame:
+def text_functions(t: Checked) -> DataFrame:
     pages = t.site_sessions().select("date", "browser_name", F.explode("site_pages").alias("page"))
     return pages.select(
         F.col("page.var1").alias("var1"),
@@ -105,7 +133,7 @@ def text_functions(t: Derived) -> DataFrame:
 
 
 @query
-def elapsed_time(t: Derived) -> DataFrame:
+def elapsed_time(t: Checked) -> DataFrame:
     """Hours and days from the start of the month to each event."""
     start = F.to_timestamp(F.lit("2024-01-01 00:30:00"))
     hours = times.hours_at_least_one(F.col("ts"), start)
@@ -118,7 +146,7 @@ def elapsed_time(t: Derived) -> DataFrame:
 
 
 @query
-def household_addresses(t: Derived) -> DataFrame:
+def household_addresses(t: Checked) -> DataFrame:
     return t.bidstream().select(
         "request_id", "ip_address", ip.household_address(F.col("ip_address")).alias("household_address")
     )
@@ -148,71 +176,91 @@ _SEAT_COLUMNS = (
 
 
 @query
-def seat_level(t: Derived) -> DataFrame:
+def seat_level(t: Checked) -> DataFrame:
     return delivery.seat_level(t.bidstream()).select(*_SEAT_COLUMNS)
 
 
 @query
-def seat_level_creative_impressions(t: Derived) -> DataFrame:
+def seat_level_creative_impressions(t: Checked) -> DataFrame:
     seats = delivery.seat_level(t.bidstream(), impressions_only=True, creative_id=CREATIVE)
     return seats.select(*_SEAT_COLUMNS)
 
 
 @query
-def ad_level(t: Derived) -> DataFrame:
+def ad_level(t: Checked) -> DataFrame:
     return delivery.ad_level(t.bidstream()).select(
         "date_ts", "request_id", "ad_id", "ip_address", "site_user_id", "is_impression", "max_bid_net_usd"
     )
 
 
 @query
-def seat_delivery_report(t: Derived) -> DataFrame:
+def seat_delivery_report(t: Checked) -> DataFrame:
     return delivery.seat_delivery_report(scan(t.bidstream(), MONTH))
 
 
 @query
-def seat_delivery_report_true_only(t: Derived) -> DataFrame:
+def seat_delivery_report_true_only(t: Checked) -> DataFrame:
     return delivery.seat_delivery_report(scan(t.bidstream(), MONTH), count_mode="true_only")
 
 
 @query
-def id_source_flags(t: Derived) -> DataFrame:
+def seat_delivery_report_from_tables(t: Checked) -> DataFrame:
+    """The bid log stored by day and read back with only the fields and days that the report needs."""
+    folder = t.space.path("tables")
+    save_table(t.bidstream().withColumn("day", F.to_date("ts")), f"{folder}/bidstream", ["day"])
+    tables = ParquetTables(t.spark, folder, {"bidstream": BID_FIELDS["seat_delivery_report"]}, {"bidstream": "day"})
+    return delivery.seat_delivery_report(tables.scan("bidstream", MONTH))
+
+
+@query
+def cascade_sampled(t: Checked) -> DataFrame:
+    """Person ids of a sample of requests, chosen by a hash of their id."""
+    people = reports.cascade_people(t.space, t, MONTH, MONTH, LOOKUP_DAY, COUNTRY, sample_fraction=0.2, seed=3)
+    return _as_bag(people)
+
+
+@query
+def id_source_flags(t: Checked) -> DataFrame:
     return delivery.id_source_flags(t.bidstream())
 
 
 @query
-def id_source_report(t: Derived) -> DataFrame:
+def id_source_report(t: Checked) -> DataFrame:
     return delivery.id_source_report(t.bidstream())
 
 
 @query
-def bid_creative_reach(t: Derived) -> DataFrame:
+def bid_creative_reach(t: Checked) -> DataFrame:
     return delivery.bid_creative_reach(scan(t.bidstream(), MONTH, country=COUNTRY), CREATIVE)
 
 
 # --- households and conversions --------------------------------------------------------
 
 
-def _conversions(t: Derived) -> DataFrame:
+def _conversions(t: Checked) -> DataFrame:
     return conversions.site_conversions(t.site_events(), PIXELS, MONTH)
 
 
-def _mapped(t: Derived) -> DataFrame:
+def _mapped(t: Checked) -> DataFrame:
     return reports.mapped_impressions(t, PIXELS, MONTH, MONTH, MONTH, COUNTRY)
 
 
+def _to_map(t: Checked) -> tuple[DataFrame, DataFrame]:
+    return reports.impressions_and_conversions(t, PIXELS, MONTH, MONTH, MONTH, COUNTRY)
+
+
 @query
-def household_prefixes(t: Derived) -> DataFrame:
+def household_prefixes(t: Checked) -> DataFrame:
     return household.household_prefixes(t.ip_prefix_mapping(), MONTH)
 
 
 @query
-def household_prefixes_us(t: Derived) -> DataFrame:
+def household_prefixes_us(t: Checked) -> DataFrame:
     return household.household_prefixes(t.ip_prefix_mapping(), MONTH, region="us")
 
 
 @query
-def flag_household(t: Derived) -> DataFrame:
+def flag_household(t: Checked) -> DataFrame:
     homes = household.household_prefixes(t.ip_prefix_mapping(), MONTH)
     return household.flag_household(delivery.ad_level(t.bidstream()), homes).select(
         "date_ts", "request_id", "ad_id", "ip_address", "is_household"
@@ -220,79 +268,78 @@ def flag_household(t: Derived) -> DataFrame:
 
 
 @query
-def conversion_id_counts(t: Derived) -> DataFrame:
+def conversion_id_counts(t: Checked) -> DataFrame:
     return conversions.conversion_id_counts(_conversions(t))
 
 
 @query
-def device_match_report(t: Derived) -> DataFrame:
-    return reports.device_match(t, PIXELS, MONTH)
+def device_match_report(t: Checked) -> DataFrame:
+    return reports.device_match(t.space, t, PIXELS, MONTH)
 
 
 @query
-def device_match_report_strict(t: Derived) -> DataFrame:
-    return reports.device_match(t, PIXELS, MONTH, strict=True)
+def device_match_report_strict(t: Checked) -> DataFrame:
+    return reports.device_match(t.space, t, PIXELS, MONTH, strict=True)
 
 
 @query
-def map_conversions(t: Derived) -> DataFrame:
+def map_conversions(t: Checked) -> DataFrame:
     return _mapped(t)
 
 
 @query
-def consolidate_conversions(t: Derived) -> DataFrame:
+def consolidate_conversions(t: Checked) -> DataFrame:
     return conversions.consolidate_conversions(_mapped(t), PIXELS)
 
 
 @query
-def conversion_report(t: Derived) -> DataFrame:
+def conversion_report(t: Checked) -> DataFrame:
     return conversions.conversion_report(conversions.consolidate_conversions(_mapped(t), PIXELS))
 
 
 @query
-def conversion_report_stored(t: Derived) -> DataFrame:
+def conversion_report_stored(t: Checked) -> DataFrame:
     """From the stored table, in which missing arrays have become empty ones."""
     stored = conversions.consolidate_conversions(_mapped(t), PIXELS, empty_arrays="empty")
-    return conversions.conversion_report(save_intermediate(stored, "conversions"))
+    return conversions.conversion_report(t.space.save(stored, "conversions"))
 
 
 @query
-def utm_conversion_report(t: Derived) -> DataFrame:
-    return conversions.utm_conversion_report(
-        conversions.consolidate_conversions(_mapped(t), PIXELS, empty_arrays="empty")
-    )
+def utm_conversion_report(t: Checked) -> DataFrame:
+    """As from the stored table, in which missing arrays have become empty ones."""
+    return conversions.utm_conversion_report(*_to_map(t), PIXELS, empty_arrays="empty")
 
 
 @query
-def utm_conversion_report_in_query(t: Derived) -> DataFrame:
-    return conversions.utm_conversion_report(conversions.consolidate_conversions(_mapped(t), PIXELS))
+def utm_conversion_report_in_query(t: Checked) -> DataFrame:
+    return conversions.utm_conversion_report(*_to_map(t), PIXELS)
 
 
 @query
-def site_conversion_utm_report(t: Derived) -> DataFrame:
+def site_conversion_utm_report(t: Checked) -> DataFrame:
     return conversions.site_conversion_utm_report(_conversions(t), PIXELS)
 
 
 @query
-def delivery_overlap(t: Derived) -> DataFrame:
-    return reports.overlap_report(t, PIXELS, MONTH, MONTH, COUNTRY)
+def delivery_overlap(t: Checked) -> DataFrame:
+    return reports.overlap_report(t.space, t, PIXELS, MONTH, MONTH, COUNTRY)
 
 
 @query
-def delivery_overlap_strict(t: Derived) -> DataFrame:
-    return reports.overlap_report(t, PIXELS, MONTH, MONTH, COUNTRY, strict=True)
+def delivery_overlap_strict(t: Checked) -> DataFrame:
+    return reports.overlap_report(t.space, t, PIXELS, MONTH, MONTH, COUNTRY, strict=True)
 
 
 @query
-def delivery_overlap_with_totals(t: Derived) -> DataFrame:
-    return reports.overlap_report(t, PIXELS, MONTH, MONTH, COUNTRY, with_totals=True)
+def delivery_overlap_with_totals(t: Checked) -> DataFrame:
+    return reports.overlap_report(t.space, t, PIXELS, MONTH, MONTH, COUNTRY, with_totals=True)
 
 
 # --- identity --------------------------------------------------------------------------
 
 
-def _placed(t: Derived) -> tuple[DataFrame, DataFrame]:
-    return reports.placed_seats(t, MONTH, MONTH, LOOKUP_DAY, COUNTRY)
+def _placed(t: Checked) -> tuple[DataFrame, DataFrame]:
+    return reports.placed_seats(t.space, t, MONTH, MONTH, LOOKUP_DAY, COUNTRY)
 
 
 def _as_bag(people: DataFrame) -> DataFrame:
@@ -301,106 +348,155 @@ def _as_bag(people: DataFrame) -> DataFrame:
 
 
 @query
-def cached_households(t: Derived) -> DataFrame:
+def cached_households(t: Checked) -> DataFrame:
     return identity.cached_households(t.id_mapping(), LOOKUP_DAY)
 
 
 @query
-def resolve_person_exclusive(t: Derived) -> DataFrame:
+def resolve_person_exclusive(t: Checked) -> DataFrame:
     return _as_bag(identity.resolve_person(*_placed(t)))
 
 
 @query
-def resolve_person_distinct_fallback(t: Derived) -> DataFrame:
+def resolve_person_distinct_fallback(t: Checked) -> DataFrame:
     return _as_bag(identity.resolve_person(*_placed(t), mode="distinct_fallback"))
 
 
 @query
-def resolve_person_cascade(t: Derived) -> DataFrame:
-    return _as_bag(reports.cascade_people(t, MONTH, MONTH, LOOKUP_DAY, COUNTRY))
+def resolve_person_cascade(t: Checked) -> DataFrame:
+    return _as_bag(reports.cascade_people(t.space, t, MONTH, MONTH, LOOKUP_DAY, COUNTRY))
 
 
 @query
-def reach_of_people(t: Derived) -> DataFrame:
+def reach_of_people(t: Checked) -> DataFrame:
     """Reach from the resolved rows."""
     return identity.reach(identity.resolve_person(*_placed(t)))
 
 
 @query
-def reach_exclusive(t: Derived) -> DataFrame:
+def reach_exclusive(t: Checked) -> DataFrame:
     return identity.reach_report(*_placed(t))
 
 
 @query
-def reach_distinct_fallback(t: Derived) -> DataFrame:
+def reach_distinct_fallback(t: Checked) -> DataFrame:
     return identity.reach_report(*_placed(t), mode="distinct_fallback")
 
 
 # --- attribution -----------------------------------------------------------------------
 
 
-def _root(t: Derived) -> DataFrame:
+def _root(t: Checked) -> DataFrame:
     return reports.root_events(t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS)
 
 
-def _saved_root(t: Derived) -> DataFrame:
-    return save_intermediate(_root(t), "root")
+def _saved_root(t: Checked) -> DataFrame:
+    """The root, written once for all queries of a run."""
+    return t.space.share("root", lambda: _root(t))
+
+
+def _nested_root(t: Checked) -> DataFrame:
+    return t.space.share("nested-root", lambda: reports.nested_root(t.space, t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS))
 
 
 @query
-def root_delivery(t: Derived) -> DataFrame:
+def root_delivery(t: Checked) -> DataFrame:
     rows = reports.delivery_side(t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS)
     return rows.select(*event_root.ROOT_KEYS, "delivery.*")
 
 
 @query
-def root_conversions(t: Derived) -> DataFrame:
+def root_conversions(t: Checked) -> DataFrame:
     rows = event_root.conversion_events(t.site_sessions(), MONTH)
     return rows.select(*event_root.ROOT_KEYS, "conversion.*")
 
 
 @query
-def event_root_nested(t: Derived) -> DataFrame:
-    """The nested root, its arrays shown by size and sums."""
-    root = reports.nested_root(t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS)
-    spent = F.aggregate("delivery", F.lit(0.0), lambda total, d: total + d["bid_net_usd"])
-    return root.select(
+def event_root_nested(t: Checked) -> DataFrame:
+    """Entries of the stored nested root, with their copies and the hour of their row."""
+    entries = _nested_root(t).select(
         *event_root.ROOT_KEYS,
-        F.array_size("conversions").cast("bigint").alias("conversions"),
+        "hour",
         F.array_size("delivery").cast("bigint").alias("delivered"),
-        spent.alias("bid_net_usd"),
-        F.array_min(F.transform("delivery", lambda d: d["ts"])).alias("first_delivery"),
+        F.explode_outer("delivery").alias("d"),
+        "conversions",
+    )
+    entries = entries.select("*", F.explode_outer("conversions").alias("c"))
+    return entries.select(
+        *event_root.ROOT_KEYS,
+        "hour",
+        "delivered",
+        F.coalesce("d.ts", "c.ts").alias("ts"),
+        "d.request_id",
+        F.coalesce("d.advertiser_domain", "c.advertiser_domain").alias("advertiser_domain"),
+        *[f"d.{f}" for f in event_root.DELIVERY_FIELDS if f not in ("ts", "request_id", "advertiser_domain")],
+        "c.pixel_id",
+        "c.pixel_name",
+        F.coalesce("d.copies", "c.copies").alias("copies"),
     )
 
 
 @query
-def active_events(t: Derived) -> DataFrame:
-    """Events kept per kind; a root built here holds only events that are kept."""
-    events = attribution.keep_active(attribution.attribution_events(_saved_root(t)))
-    return events.agg(F.count("impression").alias("impressions"), F.count("conversion").alias("conversions"))
+def campaign_report_from_nested(t: Checked) -> DataFrame:
+    """Campaign figures from the stored nested root, unnested again."""
+    return reports.campaign_attribution(event_root.flatten_event_root(_nested_root(t)))
+
+
+@query
+def active_events(t: Checked) -> DataFrame:
+    """Events kept and dropped, of a root in which many delivery events lack an impression time.
+
+    Such an event is kept only beside an impression of its device or a conversion of its person.
+    """
+    rows = _saved_root(t).withColumn(
+        "delivery",
+        F.when(F.col("delivery.campaign_id") == INACTIVE_CAMPAIGN, F.col("delivery").withField("ts", F.lit(None).cast("timestamp")))
+        .otherwise(F.col("delivery")),
+    )
+    events = attribution.attribution_events(rows)
+    kept = attribution.keep_active(events)
+    by = F.coalesce("campaign_id", F.lit("none")).alias("campaign_id")
+    counts = [F.count("impression").alias("impressions"), F.count("conversion").alias("conversions"), F.count(F.lit(1)).alias("events")]
+    return kept.groupBy(by).agg(*counts).withColumn("state", F.lit("kept")).unionByName(
+        events.groupBy(by).agg(*counts).withColumn("state", F.lit("all"))
+    )
 
 
 @query
-def attribute_conversions(t: Derived) -> DataFrame:
+def attribute_conversions(t: Checked) -> DataFrame:
     mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)))
     return mapping.drop("impression_primary_key", "conversion_primary_key")
 
 
 @query
-def campaign_rollup(t: Derived) -> DataFrame:
+def attributed_rows(t: Checked) -> DataFrame:
+    """The mapping spelled out: one row per impression row and conversion, with distinct keys counted."""
+    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)))
+    rows = attribution.expand_copies(mapping)
+    by = ["date", "campaign_id", "user_pwid_raw"]
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("mapped_rows"),
+        F.count_distinct("impression_primary_key").alias("impression_keys"),
+        F.count_distinct("conversion_primary_key").alias("conversion_keys"),
+        F.count_if("is_first_row").alias("first_rows"),
+    )
+
+
+@query
+def campaign_rollup(t: Checked) -> DataFrame:
     """Campaign figures from the row-level mapping."""
     mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)))
     return attribution.campaign_rollup(mapping)
 
 
 @query
-def campaign_report(t: Derived) -> DataFrame:
+def campaign_report(t: Checked) -> DataFrame:
     """The same figures without the row-level mapping."""
     return reports.campaign_attribution(_saved_root(t))
 
 
 @query
-def first_touch_report(t: Derived) -> DataFrame:
+def first_touch_report(t: Checked) -> DataFrame:
     return reports.first_touch_attribution(_saved_root(t))
 
 
@@ -408,30 +504,30 @@ def first_touch_report(t: Derived) -> DataFrame:
 
 
 @query
-def match_pixels_to_line_items(t: Derived) -> DataFrame:
+def match_pixels_to_line_items(t: Checked) -> DataFrame:
     return metadata.match_pixels_to_line_items(
-        t.site_sessions(), t.win_log(), t.line_items(), MONTH, sample_fraction=1.0
+        t.site_sessions(), t.win_log(), t.line_items(), MONTH
     )
 
 
 @query
-def match_pixels_to_line_items_sampled(t: Derived) -> DataFrame:
+def match_pixels_to_line_items_sampled(t: Checked) -> DataFrame:
     return metadata.match_pixels_to_line_items(
-        t.site_sessions(), t.win_log(), t.line_items(), MONTH, sample_fraction=0.01, seed=7
+        t.site_sessions(), t.win_log(), t.line_items(), MONTH, sample_fraction=0.05, seed=7
     )
 
 
 @query
-def export_manifest(t: Derived) -> DataFrame:
+def export_manifest(t: Checked) -> DataFrame:
     return export.export_manifest(t.audience(), EXPORT_PREFIX, EXPORT_PART_ROWS)
 
 
-def _export_folder(t: Derived) -> str:
-    return f"{shared_folder(t.spark)}/export-{uuid.uuid4().hex}"
+def _export_folder(t: Checked) -> str:
+    return t.space.path("export")
 
 
 @query
-def export_daily_csv(t: Derived) -> DataFrame:
+def export_daily_csv(t: Checked) -> DataFrame:
     """Rows and distinct rows per written file, as read back."""
     folder = _export_folder(t)
     export.export_daily_csv(t.audience(), folder, EXPORT_PREFIX, EXPORT_PART_ROWS)
@@ -442,14 +538,14 @@ def export_daily_csv(t: Derived) -> DataFrame:
 
 
 @query
-def export_ordered_csv(t: Derived) -> DataFrame:
+def export_ordered_csv(t: Checked) -> DataFrame:
     folder = _export_folder(t)
     export.export_ordered_csv(t.audience(), folder, ["ts"])
-    return t.spark.read.csv(folder, header=True, schema="ts string, id_type string, partner_id string")
+    return t.spark.read.csv(folder, header=False, schema="ts string, id_type string, partner_id string")
 
 
 @query
-def export_single_header_csv(t: Derived) -> DataFrame:
+def export_single_header_csv(t: Checked) -> DataFrame:
     folder = _export_folder(t)
     export.export_single_header_csv(t.audience(), folder, ["ts"])
     return t.spark.read.text(folder).withColumnRenamed("value", "line")

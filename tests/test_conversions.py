@@ -25,7 +25,7 @@ def impression(request, user, address, home=True):
 
 
 @pytest.fixture(scope="module")
-def mapped(spark):
+def to_map(spark):
     events = [
         event("1", "visits", "ip1", "?utm_medium=email&utm_source=a"),
         event("1", "visits", "ip1", "?utm_medium=cpc&utm_source=b"),
@@ -51,7 +51,12 @@ def mapped(spark):
         ],
         IMPRESSION,
     )
-    return conversions.map_conversions(conversions.impression_keys(shown), found, PIXELS)
+    return conversions.impression_keys(shown), found
+
+
+@pytest.fixture(scope="module")
+def mapped(to_map):
+    return conversions.map_conversions(*to_map, PIXELS)
 
 
 def test_user_then_household(mapped):
@@ -82,8 +87,8 @@ def test_missing_arrays_count_as_null_or_zero(mapped):
     assert totals("empty") == {True: (5, 0, 4), False: (0, 0, 0)}
 
 
-def test_utm_pairs_repeat_the_impression(mapped):
-    report = conversions.utm_conversion_report(conversions.consolidate_conversions(mapped, PIXELS, "empty"))
+def test_utm_pairs_repeat_the_impression(to_map):
+    report = conversions.utm_conversion_report(*to_map, PIXELS, "empty")
     found = {(r["is_household"], r["utm_medium"], r["utm_source"]): (r["imps"], r["total_visits"]) for r in report.collect()}
     assert found == {
         (True, "cpc", "a"): (1, 1), (True, "cpc", "b"): (1, 1), (True, "email", "a"): (1, 1), (True, "email", "b"): (1, 1),

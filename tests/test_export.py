@@ -1,4 +1,5 @@
 import glob
+import hashlib
 import math
 from collections import Counter
 from datetime import timedelta
@@ -6,10 +7,14 @@ from datetime import timedelta
 import pytest
 
 from adlytics.operators import metadata
-from adlytics.params import Period
+from adlytics.params import Period, Window
+from adlytics.schemas import BID_FIELDS
 from adlytics.sources import export
-from adlytics.sources.tables import partition_days, read_table, sample_rows, save_table, with_names
-from datetime import date
+from adlytics.sources.derived import Derived
+from adlytics.sources.tables import ParquetTables, partition_days, read_table, sample_rows, save_table, with_names
+from adlytics.workspace import Workspace
+from datetime import date, time
+from pyspark.sql import functions as F
 from helpers import rows_of, table, ts
 
 START = ts("2024-01-01T00:00:00")
@@ -57,15 +62,31 @@ def test_daily_files(spark, audience, tmp_path):
     folders = sorted(p.name for p in (tmp_path / "parts").glob("filename=*"))
     assert len(folders) == 5 and folders[0] == "filename=x_20240101_part1of3.csv"
     assert all(len(list((tmp_path / "parts" / f).glob("*.csv"))) == 1 for f in folders)
-    assert spark.read.csv(str(tmp_path / "INDEX.csv"), header=True).count() == 5
+    index = spark.read.csv(str(tmp_path / "INDEX.csv"), header=True)
+    assert index.columns == ["Date", "Partition", "Filename", "Row Count"] and index.count() == 5
 
 
 def test_ordered_files(audience, tmp_path):
     export.export_ordered_csv(audience, str(tmp_path / "o"), ["ts", "partner_id"])
-    lines = [line for line in lines_of(tmp_path / "o") if not line.startswith("ts,")]
+    lines = lines_of(tmp_path / "o")
     assert lines == sorted(lines) and len(lines) == sum(SIZES.values())
 
 
+def test_one_instant_is_dealt_over_several_files(spark, tmp_path):
+    rows = spark.range(20_000).select(
+        F.lit(START).cast("timestamp").alias("ts"), F.lit("t").alias("id_type"), F.lpad(F.col("id").cast("string"), 6, "0").alias("partner_id")
+    )
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # these files are far smaller than those it merges
+    try:
+        export.export_ordered_csv(rows.repartition(4), str(tmp_path / "i"), ["ts"])
+    finally:
+        spark.conf.set(coalesce, "true")
+    sizes = [len(open(f).readlines()) for f in glob.glob(f"{tmp_path}/i/part-*")]
+    lines = lines_of(tmp_path / "i")
+    assert lines == sorted(lines) and len(lines) == 20_000 and max(sizes) < 12_000
+
+
 def test_single_header(audience, tmp_path):
     export.export_single_header_csv(audience, str(tmp_path / "s"), ["ts", "partner_id"])
     lines = lines_of(tmp_path / "s")
@@ -100,10 +121,39 @@ def test_pixels_to_line_items(spark):
         {"line_item_id": "L", "start_date": date(2024, 1, d), "end_date": date(2024, 2, d)} for d in (1, 5)
     ])
     day = Period(START.date(), START.date())
-    found = metadata.match_pixels_to_line_items(sessions, wins, items, day, sample_fraction=1.0)
+    found = metadata.match_pixels_to_line_items(sessions, wins, items, day)
     columns = ("internal_advertiser_id", "line_item_alt_id", "line_item_id", "start_date", "end_date", "number_pixel_events")
     assert rows_of(found, *columns) == sorted([
         ("7", "L", "L", date(2024, 1, 1), date(2024, 2, 5), 8), ("7", "none", None, None, None, 2),
         ("7", None, None, None, None, 2), ("none", None, None, None, None, 1)], key=repr)
-    again = [sample_rows(spark.range(1000), 0.1, 3).count() for _ in range(2)]
-    assert again[0] == again[1] and 50 < again[0] < 200
+
+
+def test_sample_depends_on_the_key_alone(spark):
+    ids = spark.range(3000).select(F.concat(F.lit("r"), "id").alias("key"), F.col("id"))
+    one, other = ({r["id"] for r in sample_rows(rows, 0.1, "key", 3).collect()} for rows in (ids.coalesce(1), ids.repartition(7)))
+    expected = {i for i in range(3000) if int(hashlib.md5(f"3:r{i}".encode()).hexdigest()[:8], 16) / 2**32 < 0.1}
+    assert one == other == expected
+    assert sample_rows(ids, 1.0, "key").count() == 3000
+    assert sample_rows(spark.createDataFrame([(None,)], "key string"), 0.0, "key").count() == 0
+
+
+def test_partitioned_tables_open_only_the_days_asked_for(spark, tmp_path):
+    bids = Derived(spark, "/root/testdata/sf0.001").bidstream().withColumn("day", F.to_date("ts"))
+    save_table(bids, str(tmp_path / "bidstream"), ["day"])
+    tables = ParquetTables(spark, str(tmp_path), {"bidstream": BID_FIELDS["seat_delivery_report"]}, {"bidstream": "day"})
+    for when in (Period(date(2024, 1, 3), date(2024, 1, 4)), Window(date(2024, 1, 5), time(6), time(9))):
+        rows = tables.scan("bidstream", when)
+        assert rows.count() == bids.filter(when.covers_ts(F.col("ts"))).count() > 0
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(day" in plan and "device_type" not in plan
+
+
+def test_closed_workspace_leaves_nothing(spark, tmp_path):
+    with Workspace(spark, str(tmp_path)) as space:
+        built = []
+        for _ in range(2):
+            kept = space.share("ids", lambda: built.append(1) or spark.range(5))
+        assert kept.count() == 5 and built == [1]
+        space.save(spark.range(3), "more")
+        assert len(list(tmp_path.glob("work-*/*"))) == 2
+    assert list(tmp_path.iterdir()) == []

@@ -96,13 +96,33 @@ def test_overlap(spark):
     assert (row["total_requests"], row["visits"], row["conversion_mapping_source"]) == (N, N, "user_id")
 
 
-def test_nested_arrays_stay_bounded(spark):
-    rows = spark.range(N).select(F.lit("k").alias("k"), F.struct((F.col("id") % 2 * F.col("id")).alias("x")).alias("e"))
-    nested = event_root.nest_events(rows, ["k"], "e", "es", max_events=1000)
-    sizes = [r[0] for r in nested.select(F.array_size("es")).collect()]
-    assert sum(sizes) == N and max(sizes) < 5000
-    back = Counter(r[0] for r in nested.select(F.explode("es").alias("e")).select("e.x").collect())
-    assert back[0] == N // 2 and all(n == 1 for x, n in back.items() if x)
+def test_copies_are_one_entry_and_hours_split_a_group(spark):
+    at = F.timestamp_seconds(F.lit(1704067200) + F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")))
+    rows = spark.range(N).select(F.lit("k").alias("k"), F.struct(at.alias("ts"), (F.col("id") % 2 * F.col("id")).alias("x")).alias("e"))
+    nested = event_root.nest_events(rows, ["k"], "e", "es")
+    entries = nested.select("hour", F.explode("es").alias("e")).select("hour", "e.x", "e.copies")
+    back = {r["x"]: r["copies"] for r in entries.collect()}
+    assert back[0] == N // 2 and len(back) == 1 + N // 2 and all(n == 1 for x, n in back.items() if x)
+    assert max(r[0] for r in nested.select(F.array_size("es")).collect()) <= 1801
+    assert nested.count() == -(-N // 3600)
+
+
+def test_device_match_of_different_devices_and_fingerprints(spark):
+    """One user on N device keys and with N fingerprints: N results of each, no N * N rows."""
+    seats = hot_seats(spark).withColumn("ip_address", F.concat(F.lit("seat"), "request_id"))
+    events = site_events(spark).withColumn("ip_address", F.concat(F.lit("conv"), F.monotonically_increasing_id().cast("string")))
+    row = conversions.device_match_report(conversions.device_match_sums(seats), events).first()
+    assert (row["bid_request_sent"], row["total_user_id_count"], row["total_pwid_count"]) == (N * N, N * N, N * N)
+    assert (row["distinct_user_id_count"], row["distinct_pwid_count"]) == (1, N)
+
+
+def test_one_address_with_many_sources(spark):
+    """N impressions at an address with N different sources: a result row per source."""
+    seats = hot_seats(spark).withColumn("site_user_id", F.concat(F.lit("other"), "request_id"))
+    events = site_events(spark).withColumn("utm_source", F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string")))
+    report = conversions.utm_conversion_report(conversions.impression_keys(seats), events, PIXELS)
+    totals = report.agg(F.count(F.lit(1)).alias("n"), F.min("imps").alias("low"), F.max("imps").alias("high"), F.sum("total_visits").alias("v"))
+    assert tuple(totals.first()) == (N, N, N, N * N)
 
 
 def test_shared_lookup_key(spark):
