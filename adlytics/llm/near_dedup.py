@@ -12,8 +12,8 @@
 4. After every round, large-star and small-star steps join components until nothing changes.
 
 With BANDS bands of ROWS minima a pair of similarity 0.8 is missed by banding with probability
-(1 - 0.8 ** 4) ** 32 = 5e-8. A pair at 0.8 agrees in less than half of the 128 minima with
-probability below 1e-15.
+(1 - 0.8 ** 4) ** 32 = 5e-8. A pair at 0.8 agrees in less than 60 % of the 128 minima with
+probability 8e-8.
 """
 
 from __future__ import annotations
@@ -33,12 +33,14 @@ ROWS = 4
 BANDS = 32
 SEED = 20_240_229
 #: Pivots of a large bucket in the first round; each round has PIVOT_GROWTH times as many.
-PIVOTS = 4
-PIVOT_GROWTH = 4
-#: Members compared with one pivot by one task at a time.
+PIVOTS = 8
+PIVOT_GROWTH = 8
+#: Pivots that are held at a time, and members that meet them in one go: by minima, by sets.
+BLOCK = 64
+PART = 2_000
 MEMBERS = 200
 #: Share of minima below which a pair can't reach the similarity asked for.
-SIGNATURE_FLOOR = 0.5
+SIGNATURE_FLOOR = 0.6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,31 +136,98 @@ def _bands(rows: int, bands: int):
                 for i in range(rows):
                     key = _mixed(key * _ODD + signature[:, :, i])
             ids = np.repeat(np.asarray(batch.column("id")), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["bucket", "id"])
+            band = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
+            columns = [pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(ids)]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "band", "id"])
 
     return cut
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low byte of every minimum."""
+    for batch in batches:
+        low = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in batch.column("signature").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(low, pa.binary())], names=["id", "sketch"])
+
+
+_FOUND = "bucket long, block long, member long, pivots array<long>"
+
+
+def _agree(rows: int, bands: int):
+    """Of open buckets, the members whose minima agree enough with those of pivots, and these pivots.
+
+    Rows come sorted by (bucket, block, part), a block's pivots first. A pair counts in the first
+    band in which it agrees, so it is found once. The last row of a block lists its pivots in use.
+    """
+    fields = ("bucket", "block", "part", "own", "id", "component", "serves", "band", "sketch")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivots, matrix, used = None, [], None, set()
+        found: list[tuple] = []
+
+        def drain() -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "member", "pivots"])
+
+        for batch in batches:
+            for bucket, block, part, own, id_, component, serves, band, sketch in zip(*(batch.column(f).to_pylist() for f in fields)):
+                if (bucket, block, part) != at:
+                    if used:
+                        found.append((*at[:2], None, sorted(used)))
+                    at, pivots, matrix, used = (bucket, block, part), [], None, set()
+                if own:
+                    pivots.append((id_, component, sketch))
+                    continue
+                if not pivots:
+                    continue
+                if matrix is None:
+                    ids, components_, sketches = zip(*pivots)
+                    ids, components_ = np.array(ids), np.array(components_)
+                    matrix = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(pivots), -1)
+                same = matrix == np.frombuffer(sketch, np.uint8)
+                fit = (components_ != component) & (same.sum(axis=1) >= SIGNATURE_FLOOR * rows * bands)
+                if serves:  # of two pivots one is the other's member
+                    fit &= ids < id_
+                if fit.any():
+                    first = same.reshape(len(pivots), bands, rows).all(axis=2).argmax(axis=1)
+                    hits = ids[fit & (first == band)].tolist()
+                    if hits:
+                        used.update(hits)
+                        found.append((bucket, block, id_, hits))
+            if len(found) > 10_000:
+                yield drain()
+        if used:
+            found.append((*at[:2], None, sorted(used)))
+        if found:
+            yield drain()
+
+    return agree
+
+
 def _compare(k: int, similarity: int):
-    """Of rows sorted by (pivot, part, member or null), the pairs that are similar enough.
+    """Of rows sorted by (bucket, block, part, member or null), the pairs that are similar enough.
 
-    The row without a member holds the pivot's own text and comes first. One set is held at a time.
+    The rows without a member hold the texts of the block's pivots and come first; the sets of one
+    block are held at a time. A member names the pivots it is to be compared with.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own, own_signature = None, np.zeros(0, np.uint64), None
+        at, held = None, {}
         for piece in pieces(batches, "text"):
-            pivots, members = piece.column("pivot").to_pylist(), piece.column("member").to_pylist()
-            signatures = piece.column("signature").to_pylist()
+            keys = zip(*(piece.column(c).to_pylist() for c in ("bucket", "block", "part")))
+            members, pivots = piece.column("member").to_pylist(), piece.column("pivots").to_pylist()
             sets = shingle_sets(Words(piece.column("text")), k)
             pairs = []
-            for pivot, member, signature, shingles in zip(pivots, members, signatures, sets):
-                signature = np.frombuffer(signature, np.uint32)
+            for key, member, others, shingles in zip(keys, members, pivots, sets):
+                if key != at:
+                    at, held = key, {}
                 if member is None:
-                    held, own, own_signature = pivot, shingles, signature
-                elif held == pivot and np.count_nonzero(signature == own_signature) >= SIGNATURE_FLOOR * len(signature):
-                    both = len(np.intersect1d(own, shingles, assume_unique=True))
-                    if 100 * both >= similarity * (len(own) + len(shingles) - both):
+                    held[others[0]] = shingles
+                    continue
+                for pivot in others:
+                    both = len(np.intersect1d(held[pivot], shingles, assume_unique=True))
+                    if 100 * both >= similarity * (len(held[pivot]) + len(shingles) - both):
                         pairs.append((pivot, member))
             a, b = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -169,63 +238,79 @@ def _compare(k: int, similarity: int):
 def components(space: Workspace, links: DataFrame) -> DataFrame:
     """Rows (id, component) of links (a, b) between integers: the smallest id that each reaches.
 
-    Large-star and small-star steps alternate until the links stop changing. Each step is written,
-    which cuts the lineage.
+    Large-star and small-star steps alternate until only stars are left. Each pair of steps is
+    written, which cuts the lineage.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = space.save(edges, "links")
-    state = _state(edges)
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = space.save(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = space.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
+        edges = space.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    mixed = F.xxhash64("u", "v").cast("decimal(20,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(mixed)).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour or only larger ones."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def _candidates(buckets: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (pivot, member) to compare, and the buckets that are not settled by them.
+def _candidates(buckets: DataFrame, sketches: DataFrame, pivots: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (bucket, block, member, pivots) to compare, and the buckets that are not settled by them.
 
-    buckets: rows (bucket, id, component). Members outside the smallest component of a bucket are
-    pivots: all of them if they are few, else about `pivots`, chosen by a hash of the id so that
-    buckets of the same members choose the same ones.
+    buckets: rows (bucket, band, id, component). Members outside the smallest component of a bucket
+    are pivots: all of them if they are few, else about `pivots`, chosen by a hash of the id so that
+    buckets of the same members choose the same ones. The pivots of a bucket are dealt over blocks
+    and its members over parts, both of bounded size; pairs are formed inside a block only.
     """
     ends = buckets.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other"))
     marked = buckets.join(ends.filter("main <> other").select("bucket", "main"), "bucket")
     outside = marked.filter("component <> main").groupBy("bucket").agg(F.count(F.lit(1)).alias("outside"))
     chance = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    serves = (F.col("component") != F.col("main")) & (chance * F.col("outside") < pivots)
-    serves = serves | ((F.col("component") != F.col("main")) & (F.col("outside") <= pivots))
+    serves = (F.col("component") != F.col("main")) & ((F.col("outside") <= pivots) | (chance * F.col("outside") < pivots))
     marked = marked.join(outside, "bucket").withColumn("serves", serves)
-    chosen = marked.filter("serves").select("bucket", F.col("id").alias("pivot"), F.col("component").alias("of"))
-    met = marked.join(chosen, "bucket").filter((F.col("component") != F.col("of")) & (~F.col("serves") | (F.col("id") > F.col("pivot"))))
-    pairs = met.select("pivot", F.col("id").alias("member")).distinct()
-    return pairs, marked.filter(F.col("outside") > pivots).select("bucket", "id", "component")
-
-
-def _links(space: Workspace, pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
-    """The pairs that are similar enough. A pivot with many members is dealt over several parts."""
-    pairs = space.save(pairs, "pairs")
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
-    dealt = pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
-    members = dealt.select("pivot", "part", "member").join(texts.withColumnRenamed("id", "member"), "member")
-    own = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    own = own.join(texts.withColumnRenamed("id", "pivot"), "pivot").withColumn("member", F.lit(None).cast("long"))
-    rows = members.unionByName(own).repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("member").asc_nulls_first())
-    return rows.select("pivot", "part", "member", "signature", "text").mapInArrow(_compare(k, similarity), "a long, b long")
+    sizes = marked.groupBy("bucket").agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if("serves") / BLOCK)).alias("blocks"), F.ceil(F.count(F.lit(1)) / PART).alias("parts")
+    )
+    spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col(n))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_member = F.transform(upto("blocks"), lambda b: F.struct(b.alias("block"), spread(1, "parts").alias("part"), F.lit(False).alias("own")))
+    as_pivot = F.transform(upto("parts"), lambda p: F.struct(spread(2, "blocks").alias("block"), p.alias("part"), F.lit(True).alias("own")))
+    places = F.when(F.col("serves"), F.concat(as_member, as_pivot)).otherwise(as_member)
+    placed = marked.join(sizes, "bucket").join(sketches, "id")
+    placed = placed.select("bucket", "id", "component", "serves", "band", "sketch", F.explode(places).alias("place"))
+    placed = placed.select("place.*", "bucket", "id", "component", "serves", "band", "sketch")
+    key = ["bucket", "block", "part"]
+    placed = placed.repartition(*key).sortWithinPartitions(*key, F.desc("own"))
+    return placed.mapInArrow(_agree(rows, bands), _FOUND), marked.filter(F.col("outside") > pivots).select("bucket", "band", "id", "component")
+
+
+def _links(space: Workspace, found: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """The pairs that are similar enough.
+
+    The members of a block are dealt over parts of bounded size. A member's text travels once per
+    block of pivots, not once per pair.
+    """
+    found = space.save(found, "agreeing")
+    wanted = found.filter("member is not null")
+    parts = wanted.groupBy("bucket", "block").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
+    key = ["bucket", "block", "part"]
+    members = wanted.join(parts, ["bucket", "block"]).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
+    members = members.select(*key, "member", "pivots").join(texts.withColumnRenamed("id", "member"), "member")
+    own = found.filter("member is null").select("bucket", "block", F.explode("pivots").alias("pivot")).distinct()
+    own = own.join(parts, ["bucket", "block"])
+    own = own.select("bucket", "block", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    own = own.join(texts.withColumnRenamed("id", "pivot"), "pivot")
+    own = own.select(*key, F.lit(None).cast("long").alias("member"), F.array("pivot").alias("pivots"), "text")
+    rows = members.unionByName(own).repartition(*key).sortWithinPartitions(*key, F.col("member").asc_nulls_first())
+    return rows.select(*key, "member", "pivots", "text").mapInArrow(_compare(k, similarity), "a long, b long")
 
 
 def near_duplicates(
@@ -254,24 +339,23 @@ def near_duplicates(
     classes = named.groupBy("digest").agg(F.min("id").alias("least_id"), F.min("signature").alias("signature"))
     classes = space.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.select("id", "signature").mapInArrow(_bands(rows, bands), "bucket long, id long")
+    banded = classes.select("id", "signature").mapInArrow(_bands(rows, bands), "bucket long, band int, id long")
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = space.save(banded.join(full.select("bucket"), "bucket").withColumn("component", F.col("id")), "buckets")
     wanted = classes.join(buckets.select("id").distinct(), "id")
-    wanted = wanted.select(F.col("id").alias("class"), F.col("least_id").alias("id"), "digest", "signature")
-    texts = space.save(ids.join(wanted, "id").mapInArrow(_own_text(shingle), "id long, signature binary, text string"), "texts")
+    sketches = space.save(wanted.select("id", "signature").mapInArrow(_sketches, "id long, sketch binary"), "sketches")
+    wanted = wanted.select(F.col("id").alias("class"), F.col("least_id").alias("id"), "digest")
+    texts = space.save(ids.join(wanted, "id").mapInArrow(_own_text(shingle), "id long, text string"), "texts")
 
-    links, pivots = [], PIVOTS
-    found = None
+    pivots, found = PIVOTS, None
     while True:
-        pairs, buckets = _candidates(buckets, pivots)
-        links.append(space.save(_links(space, pairs, texts, shingle, similarity), "similar"))
-        all_links = links[0]
-        for more in links[1:]:
-            all_links = all_links.unionByName(more)
-        found = components(space, all_links)
+        agreeing, buckets = _candidates(buckets, sketches, pivots, rows, bands)
+        links = _links(space, agreeing, texts, shingle, similarity)
+        if found is not None:  # stars of the rounds before stand for their links
+            links = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        found = components(space, links)
         now = found.select("id", F.col("component").alias("now"))
-        buckets = buckets.join(now, "id", "left").select("bucket", "id", F.coalesce("now", "component").alias("component"))
+        buckets = buckets.join(now, "id", "left").select("bucket", "band", "id", F.coalesce("now", "component").alias("component"))
         buckets = space.save(buckets, "open-buckets")
         if buckets.isEmpty():
             break
@@ -301,6 +385,6 @@ def _own_text(k: int):
             sets = shingle_sets(Words(piece.column("text")), k)
             same = [_digest(s) == d for s, d in zip(sets, piece.column("digest").to_pylist())]
             kept = piece.filter(pa.array(same, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("class", "signature", "text")], names=["id", "signature", "text"])
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("class", "text")], names=["id", "text"])
 
     return own
