@@ -52,7 +52,8 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     rolled = np.zeros(len(each), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            rolled[: len(each) - i] = rolled[: len(each) - i] * _ODD + each[i:]
+            left = max(0, len(each) - i)
+            rolled[:left] = rolled[:left] * _ODD + each[i:]
         rolled = _mixed(rolled)
         sets = []
         for start, stop in zip(words.starts[:-1].tolist(), words.starts[1:].tolist()):

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from adlytics.llm import near_dedup
+from adlytics.llm.common import Words
 from adlytics.workspace import Workspace
 from corpus_cases import awkward, clashing, documents, rows, sentence
 
@@ -92,6 +94,14 @@ def test_components_of_a_long_path(spark):
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("k", [1, 2, 5, 9])
+def test_fewer_words_than_a_shingle(k):
+    texts = ["a b", "", "c", "a b c d e f"]
+    for batch in (texts[:1], texts[1:2], texts[:3], texts):
+        sets = near_dedup.shingle_sets(Words(pa.array(batch)), k)
+        assert [len(s) for s in sets] == [len(shingles(t, k)) for t in batch]
+
+
 def test_empty_table(spark):
     with Workspace(spark) as space:
         assert result(space, documents(spark, []), 5) == []
