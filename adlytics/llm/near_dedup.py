@@ -41,6 +41,8 @@ PART = 2_000
 MEMBERS = 200
 #: Share of minima below which a pair can't reach the similarity asked for.
 SIGNATURE_FLOOR = 0.6
+#: Bytes of a bucket's name.
+_NAME = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,16 +128,27 @@ def _profiles(k: int, rows: int, bands: int):
     return profile
 
 
+def _signatures(batch: pa.RecordBatch, rows: int, bands: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, bands, rows)
+
+
+def _bucket_keys(signature: np.ndarray) -> np.ndarray:
+    """(texts, bands) names of the buckets: a hash of a band's minima, and the band in the low bits."""
+    bands, rows = signature.shape[1:]
+    band = np.arange(bands, dtype=np.uint64)
+    key = np.broadcast_to(band + np.uint64(1), signature.shape[:2])
+    with np.errstate(over="ignore"):
+        for i in range(rows):
+            key = _mixed(key * _ODD + signature[:, :, i])
+    return key << np.uint64(bands.bit_length()) | band
+
+
 def _bands(rows: int, bands: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, bands, rows)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), signature.shape[:2]).copy()
-            with np.errstate(over="ignore"):
-                for i in range(rows):
-                    key = _mixed(key * _ODD + signature[:, :, i])
+            key = _bucket_keys(_signatures(batch, rows, bands))
             ids = np.repeat(np.asarray(batch.column("id")), bands)
             band = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
             columns = [pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(ids)]
@@ -144,11 +157,19 @@ def _bands(rows: int, bands: int):
     return cut
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low byte of every minimum."""
-    for batch in batches:
-        low = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in batch.column("signature").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(low, pa.binary())], names=["id", "sketch"])
+def _sketches(rows: int, bands: int):
+    """The low byte of every minimum, then the name of the bucket in every band."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signature = _signatures(batch, rows, bands)
+            low = signature.reshape(-1, rows * bands).astype(np.uint8)
+            both = np.concatenate([low, _bucket_keys(signature).view(np.uint8)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in both], pa.binary())], names=["id", "sketch"])
+
+    return sketch
 
 
 _FOUND = "bucket long, block long, member long, pivots array<long>"
@@ -157,10 +178,12 @@ _FOUND = "bucket long, block long, member long, pivots array<long>"
 def _agree(rows: int, bands: int):
     """Of open buckets, the members whose minima agree enough with those of pivots, and these pivots.
 
-    Rows come sorted by (bucket, block, part), a block's pivots first. A pair counts in the first
-    band in which it agrees, so it is found once. The last row of a block lists its pivots in use.
+    Rows come sorted by (bucket, block, part), a block's pivots first. A sketch ends with the names
+    of the buckets in the bands before that of the row. A pair counts in the first bucket that it
+    shares, so it is found once. The last row of a block lists its pivots in use.
     """
-    fields = ("bucket", "block", "part", "own", "id", "component", "serves", "band", "sketch")
+    fields = ("bucket", "block", "part", "own", "id", "component", "serves", "sketch")
+    low = rows * bands
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivots, matrix, used = None, [], None, set()
@@ -172,7 +195,7 @@ def _agree(rows: int, bands: int):
             return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "member", "pivots"])
 
         for batch in batches:
-            for bucket, block, part, own, id_, component, serves, band, sketch in zip(*(batch.column(f).to_pylist() for f in fields)):
+            for bucket, block, part, own, id_, component, serves, sketch in zip(*(batch.column(f).to_pylist() for f in fields)):
                 if (bucket, block, part) != at:
                     if used:
                         found.append((*at[:2], None, sorted(used)))
@@ -187,12 +210,12 @@ def _agree(rows: int, bands: int):
                     ids, components_ = np.array(ids), np.array(components_)
                     matrix = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(pivots), -1)
                 same = matrix == np.frombuffer(sketch, np.uint8)
-                fit = (components_ != component) & (same.sum(axis=1) >= SIGNATURE_FLOOR * rows * bands)
+                fit = (components_ != component) & (same[:, :low].sum(axis=1) >= SIGNATURE_FLOOR * low)
                 if serves:  # of two pivots one is the other's member
                     fit &= ids < id_
                 if fit.any():
-                    first = same.reshape(len(pivots), bands, rows).all(axis=2).argmax(axis=1)
-                    hits = ids[fit & (first == band)].tolist()
+                    before = same[:, low:].reshape(len(pivots), (len(sketch) - low) // _NAME, _NAME).all(axis=2).any(axis=1)
+                    hits = ids[fit & ~before].tolist()
                     if hits:
                         used.update(hits)
                         found.append((bucket, block, id_, hits))
@@ -286,8 +309,9 @@ def _candidates(buckets: DataFrame, sketches: DataFrame, pivots: int, rows: int,
     as_pivot = F.transform(upto("parts"), lambda p: F.struct(spread(2, "blocks").alias("block"), p.alias("part"), F.lit(True).alias("own")))
     places = F.when(F.col("serves"), F.concat(as_member, as_pivot)).otherwise(as_member)
     placed = marked.join(sizes, "bucket").join(sketches, "id")
-    placed = placed.select("bucket", "id", "component", "serves", "band", "sketch", F.explode(places).alias("place"))
-    placed = placed.select("place.*", "bucket", "id", "component", "serves", "band", "sketch")
+    sketch = F.substring("sketch", F.lit(1), F.lit(rows * bands) + F.col("band") * _NAME).alias("sketch")
+    placed = placed.select("bucket", "id", "component", "serves", sketch, F.explode(places).alias("place"))
+    placed = placed.select("place.*", "bucket", "id", "component", "serves", "sketch")
     key = ["bucket", "block", "part"]
     placed = placed.repartition(*key).sortWithinPartitions(*key, F.desc("own"))
     return placed.mapInArrow(_agree(rows, bands), _FOUND), marked.filter(F.col("outside") > pivots).select("bucket", "band", "id", "component")
@@ -344,7 +368,7 @@ def near_duplicates(
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = space.save(banded.join(full.select("bucket"), "bucket").withColumn("component", F.col("id")), "buckets")
     wanted = classes.join(buckets.select("id").distinct(), "id")
-    sketches = space.save(wanted.select("id", "signature").mapInArrow(_sketches, "id long, sketch binary"), "sketches")
+    sketches = space.save(wanted.select("id", "signature").mapInArrow(_sketches(rows, bands), "id long, sketch binary"), "sketches")
     wanted = wanted.select(F.col("id").alias("class"), F.col("least_id").alias("id"), "digest")
     texts = space.save(ids.join(wanted, "id").mapInArrow(_own_text(shingle), "id long, text string"), "texts")
 

@@ -81,6 +81,22 @@ def test_chains_and_a_crowd_of_near_copies(spark):
             near_dedup.PIVOTS = original
 
 
+def test_isolated_pairs_above_the_limit(spark):
+    """Each pair stands alone, so no other link makes up for one that is left out."""
+    found, wanted, k = [], {}, 2
+    for pair in range(3_000):
+        words = sentence(pair, 60).split()
+        words = [f"{w}_{pair}" for w in words]
+        other = [f"{w}x" if i in (5, 12, 40)[: 1 + pair % 3] else w for i, w in enumerate(words)]
+        a, b = shingles(" ".join(words), k), shingles(" ".join(other), k)
+        found += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+        wanted[2 * pair] = 2 * pair
+        wanted[2 * pair + 1] = 2 * pair if 100 * len(a & b) >= 80 * len(a | b) else 2 * pair + 1
+    with Workspace(spark) as space:
+        rows_ = near_dedup.near_duplicates(space, documents(spark, rows(*found)), shingle=k).collect()
+    assert [r["doc_id"] for r in rows_ if r["component_id"] != wanted[r["doc_id"]]] == []
+
+
 def test_short_texts(spark):
     found = rows(*[(i, t) for i, t in enumerate(["a", "A", "a b", "a b c", "b a", "a  b", "c", "a b a b", "b a b"] * 2)])
     with Workspace(spark) as space:
