@@ -118,11 +118,13 @@ def fit(
 
     Bounds: at most about `most_docs` rows of each language, chosen by a hash of the key, and the
     `most_items` most frequent words and as many n-grams of each length, seen `least` times or
-    more (fewer where the sample is small). Without training rows the model has no language.
+    more (fewer where the sample is small). The shares are those of all training rows. Without
+    training rows the model has no language.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = bounded_sample(rows.filter(learn & F.col("lang").isNotNull()), "key", "lang", most_docs)
+    rows = rows.filter(learn & F.col("lang").isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = bounded_sample(rows, "key", "lang", most_docs)
     languages = sorted(sizes)
     if not languages:
         nothing = [[] for _ in range(LONGEST + 1)]

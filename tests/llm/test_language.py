@@ -84,3 +84,10 @@ def test_model_does_not_depend_on_partitions(spark):
     one, other = (language.fit(d, F.lit(True), most_docs=30) for d in (docs.coalesce(1), docs.repartition(7)))
     assert one.languages == other.languages
     assert all(a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a) for a, b in zip(tables(one), tables(other)))
+
+
+def test_shares_are_those_of_all_training_rows(spark):
+    found = rows(*[(i, f"word{i % 9} again", "en" if i % 10 < 7 else "fr") for i in range(600)])
+    model = language.fit(documents(spark, found), F.lit(True), most_docs=50)
+    assert model.languages == ["en", "fr"]
+    assert np.exp(model.shares) == pytest.approx([0.7, 0.3])
