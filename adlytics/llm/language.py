@@ -8,17 +8,20 @@ A text scores the sum over its words plus the log share of each language in the
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from adlytics.llm.common import Words, bounded_sample, pieces
+from adlytics.workspace import Workspace
 
 LONGEST = 5
 UNDETERMINED = "und"
@@ -116,9 +119,10 @@ def fit(
 ) -> LanguageModel:
     """Learn from the rows where `learn` holds and the language is given.
 
-    Bounds: at most about `most_docs` rows of each language, chosen by a hash of the key, and the
-    `most_items` most frequent words and as many n-grams of each length, seen `least` times or
-    more (fewer where the sample is small). The shares are those of all training rows. Without
+    Bounds: at most about `most_docs` rows of each language, chosen by a hash of the key, and of
+    each language its `most_items` most frequent words and as many n-grams of each length. They are
+    seen `least` times or more in all, or in the language as many times less as it has fewer rows
+    than `most_docs`, but once. The shares are those of all training rows. Without
     training rows the model has no language.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -131,9 +135,16 @@ def fit(
         return LanguageModel([], np.zeros(0), nothing, [np.zeros((0, 0))] * len(nothing))
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, length int, item string, n long")
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
-    by_item = counts.groupBy("length", "item").agg(F.sum("n").alias("n"), *each).filter(F.col("n") >= least)
-    by_rank = Window.partitionBy("length").orderBy(F.desc("n"), "item")
-    kept = by_item.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= most_items).toArrow()
+    by_item = counts.groupBy("length", "item").agg(F.sum("n").alias("n"), *each)
+    sampled = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    tops = []
+    with Workspace(docs.sparkSession) as space:
+        by_item = space.save(by_item, "items")
+        for i, x in enumerate(languages):
+            own = max(1, math.ceil(least * min(1.0, sampled.get(x, 0) / most_docs)))
+            often = by_item.filter((F.col(f"n{i}") >= own) | ((F.col("n") >= least) & (F.col(f"n{i}") > 0)))
+            tops += [often.filter(F.col("length") == n).orderBy(F.desc(f"n{i}"), "item").limit(most_items) for n in range(LONGEST + 1)]
+        kept = reduce(DataFrame.unionByName, tops).distinct().toArrow()
     length = np.asarray(kept.column("length"))
     seen = np.array([np.asarray(kept.column(f"n{i}")) for i in range(len(languages))], dtype=float).T.reshape(len(length), -1)
     items = kept.column("item").to_pylist()

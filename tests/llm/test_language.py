@@ -91,3 +91,11 @@ def test_shares_are_those_of_all_training_rows(spark):
     model = language.fit(documents(spark, found), F.lit(True), most_docs=50)
     assert model.languages == ["en", "fr"]
     assert np.exp(model.shares) == pytest.approx([0.7, 0.3])
+
+
+def test_a_rare_language_keeps_its_own_items(spark):
+    common = [(i, " ".join(f"{a}{b}" for a in "abcdef" for b in "ghijk"), "en") for i in range(300)]
+    found = rows(*common, *[(1_000 + i, "xyz wvu", "fr") for i in range(4)], (2_000, "qqq", "fr"))
+    model = language.fit(documents(spark, found), F.lit(True), most_docs=400, most_items=20)
+    assert {"xyz", "wvu", "qqq"} <= set(model.items[0])
+    assert len(model.items[0]) == 23
