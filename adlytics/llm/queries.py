@@ -54,7 +54,12 @@ def op2_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup.duplicates(workspace(spark), table(spark, folder, "documents")).drop("rows")
+    """A row per row of documents; rows that repeat an id and text count each."""
+    found = exact_dedup.duplicates(workspace(spark), table(spark, folder, "documents"))
+    more = found.filter("rows > 1").groupBy("text_sha256").agg(F.sum(F.col("rows") - 1).alias("more"))
+    each = found.join(more, "text_sha256", "left").withColumn("group_size", F.col("group_size") + F.coalesce("more", F.lit(0)))
+    each = each.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select(*[c for c in found.columns if c != "rows"])
 
 
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -80,3 +80,16 @@ def test_query_against_sql(spark, name):
     names = [d[0] for d in answer.description]
     assert sorted(names) == sorted(found.columns)
     assert compare._bag(found.columns, [tuple(r) for r in found.collect()]) == compare._bag(names, answer.fetchall())
+
+
+def test_exact_copies_of_whole_rows_against_sql(spark, tmp_path):
+    import duckdb
+
+    found = [r for r in awkward() if r[0] is not None]
+    documents(spark, [*found, found[-1], found[-1]]).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op3_exact_dedup(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    answer = con.execute(oracles.all_sql()["op3_exact_dedup"])
+    names = [d[0] for d in answer.description]
+    assert compare._bag(out.columns, [tuple(r) for r in out.collect()]) == compare._bag(names, answer.fetchall())
