@@ -30,11 +30,22 @@ def plain_counts(rows, every=199, least=5, length=6):
     return {w: n for w, n in counts.items() if n >= least}
 
 
+def one_apart(a, b):
+    a, b = sorted((a, b), key=len)
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+
+
 def plain_variants(counts, ratio=5):
     """Every edit of every word is looked up."""
     letters = sorted({c for w in counts for c in w})
     found = {}
     for word in counts:
+        if len(word) > 500:
+            found[word] = sorted(w for w in counts if one_apart(w, word))
+            continue
         near = {word[:i] + word[i + 1 :] for i in range(len(word))}
         near |= {word[:i] + c + word[i:] for i in range(len(word) + 1) for c in letters}
         near |= {word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in letters}
