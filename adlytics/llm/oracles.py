@@ -54,6 +54,44 @@ select doc_id, cast(size as bigint) as size, source_size, target,
        cast(case when size > 0 then epochs + cast(size <= 2 * (target - epochs * source_size - front) as bigint) else 0 end * size
             as bigint) as taken
 from placed
+""",
+    "op13_collocations": r"""
+with cut as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), worded as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from cut
+), totals as (
+  select lang, cast(sum(len(w)) as bigint) as n from worded group by lang
+), grams as (
+  select lang, w[i : i + size - 1] as words
+  from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from worded cross join (select unnest([1, 2, 3, 4]) as size))
+), counts as (
+  select lang, words, count(*) as f from grams group by lang, words having count(*) >= 30
+), candidates as (
+  select lang, words, f as a from counts where len(words) > 1
+), cuts as (
+  select c.lang, c.words, c.a, c.k, l.f as l, r.f as r, (2000000 * c.a::hugeint) // (l.f + r.f) as score
+  from (select lang, words, a, unnest(range(1, len(words))) as k from candidates) c
+  join counts l on l.lang = c.lang and l.words = c.words[1 : c.k]
+  join counts r on r.lang = c.lang and r.words = c.words[c.k + 1 :]
+), lowest as (
+  select * from cuts qualify row_number() over (partition by lang, words order by score, k) = 1
+), above as (
+  select lang, words[i : i + m - 1] as words, max(a) as most
+  from (select lang, words, a, m, unnest(range(1, len(words) - m + 2)) as i
+        from (select lang, words, a, unnest(range(2, len(words))) as m from candidates))
+  group by 1, 2
+), kept as (
+  select c.lang, array_to_string(c.words, ' ') as phrase, c.a, c.l, c.r, c.score
+  from lowest c left join above o on o.lang = c.lang and o.words = c.words
+  where o.most is null or 100 * o.most < 80 * c.a
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score from ranked join totals using (lang) where rank <= 2000
 """,
 }
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlytics import configure
-from adlytics.llm import bpe, exact_dedup, language, language_model, mixing, near_dedup, quality_model, quality_rules, spelling, toxicity, warc
+from adlytics.llm import bpe, exact_dedup, language, language_model, mixing, near_dedup, phrases, quality_model, quality_rules, spelling, toxicity, warc
 from adlytics.llm.common import fold
 from adlytics.workspace import Workspace
 
@@ -143,8 +143,12 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(workspace(spark), spelling.word_counts(docs, slip_every=199))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(workspace(spark), table(spark, folder, "documents").select("lang", "text"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality, op2_language_model, op3_exact_dedup, op4_language_id, op5_warc, op6_quality_rules, op7_mixing, op8_near_dedup, op9_toxicity, op10_bpe, op12_spelling)
+        for f in (op1_quality, op2_language_model, op3_exact_dedup, op4_language_id, op5_warc, op6_quality_rules, op7_mixing, op8_near_dedup, op9_toxicity, op10_bpe, op12_spelling, op13_collocations)
     }
