@@ -54,6 +54,28 @@ select doc_id, cast(size as bigint) as size, source_size, target,
        cast(case when size > 0 then epochs + cast(size <= 2 * (target - epochs * source_size - front) as bigint) else 0 end * size
             as bigint) as taken
 from placed
+""",
+    "op11_jaccard_join": r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) >= 3 then [w[i : i + 2] for i in range(1, len(w) - 1)] when len(w) > 0 then [w] else [] end) as s
+  from worded
+), each as (
+  select doc_id, len(s) as n, unnest(s) as shingle from sets
+), links as (
+  select a.doc_id as a, b.doc_id as b
+  from each a join each b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(id, reached) as (
+  select doc_id, doc_id from documents
+  union
+  select r.id, l.b from reach r join links l on l.a = r.reached
+)
+select doc_id, cast(len(s) as bigint) as n_shingles, min(reached) as component_id
+from sets join reach on id = doc_id group by doc_id, n_shingles
 """,
     "op13_collocations": r"""
 with cut as (

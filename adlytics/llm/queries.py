@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlytics import configure
-from adlytics.llm import bpe, exact_dedup, language, language_model, mixing, near_dedup, phrases, quality_model, quality_rules, spelling, toxicity, warc
+from adlytics.llm import bpe, exact_dedup, jaccard_join, language, language_model, mixing, near_dedup, phrases, quality_model, quality_rules, spelling, toxicity, warc
 from adlytics.llm.common import fold
 from adlytics.workspace import Workspace
 
@@ -138,6 +138,10 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_documents(workspace(spark), table(spark, folder, "documents"), shingle=3, similarity=90)
+
+
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(configure(spark), folder, "documents").select("doc_id", "text")
     return spelling.variants(workspace(spark), spelling.word_counts(docs, slip_every=199))
@@ -148,7 +152,5 @@ def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op1_quality, op2_language_model, op3_exact_dedup, op4_language_id, op5_warc, op6_quality_rules, op7_mixing, op8_near_dedup, op9_toxicity, op10_bpe, op12_spelling, op13_collocations)
-    }
+    first = (op1_quality, op2_language_model, op3_exact_dedup, op4_language_id, op5_warc, op6_quality_rules, op7_mixing, op8_near_dedup)
+    return {f.__name__: f for f in (*first, op9_toxicity, op10_bpe, op11_jaccard_join, op12_spelling, op13_collocations)}
