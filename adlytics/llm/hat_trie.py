@@ -34,16 +34,17 @@ class Container:
     def __init__(self, slots: int = 1 << 10):
         self.head = np.zeros(slots, np.uint64)
         self.tail = np.zeros(slots, np.uint64)
-        self.count = np.zeros(slots, np.int64)
+        self.count = np.zeros(slots, np.int32)
         self.size = 0
 
     def add(self, head: np.ndarray, tail: np.ndarray, count: np.ndarray) -> None:
         """Add counts over 0; paths may repeat."""
-        if 2 * (self.size + len(head)) > len(self.count):
+        if 3 * (self.size + len(head)) > 2 * len(self.count):
             held = self.paths()
-            self.__init__(1 << int(np.ceil(np.log2(4 * (self.size + len(head)) + 1))))
+            self.__init__(1 << int(np.ceil(np.log2(2 * (self.size + len(head)) + 1))))
             self._place(*held)
         self._place(head, tail, count)
+        self.size = int(np.count_nonzero(self.count))
 
     def _place(self, head: np.ndarray, tail: np.ndarray, count: np.ndarray) -> None:
         last = np.uint64(len(self.count) - 1)
@@ -54,7 +55,6 @@ class Container:
             self.head[at[free]] = head[free]
             self.tail[at[free]] = tail[free]
             own = (self.head[at] == head) & (self.tail[at] == tail)
-            self.size += len(np.unique(at[free & own]))
             np.add.at(self.count, at[own], count[own])
             other = ~own
             head, tail, count, at = head[other], tail[other], count[other], (at[other] + 1) & int(last)
@@ -84,7 +84,7 @@ class HatTrie:
         leaf = (np.searchsorted(self.first, head, "right") - 1).astype(np.uint32)
         order = np.argsort(leaf, kind="stable")
         ends = np.searchsorted(leaf[order], np.arange(len(self.leaves) + 1))
-        ones = np.ones(len(head), np.int64)
+        ones = np.ones(len(head), np.int32)
         for k, (start, stop) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             if start < stop:
                 mine = order[start:stop]

@@ -11,7 +11,7 @@
 4. Scores, containment and ranks are joins and aggregates over the frequent phrases.
 
 Prefix partitions are as many as the bytes of text ask for, so they hold about as much at any size.
-Words of one language are told apart by 64-bit hashes inside a prefix partition.
+Hashes only place and sort the runs; words are told apart as what they are.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,13 @@ from adlytics.workspace import Workspace
 #: Words of the longest phrase; a path is packed in two integers.
 LONGEST = 4
 #: Paths that a task holds, and distinct words and their characters, before it spills.
-MOST_PATHS = 1 << 20
-MOST_WORDS = 1 << 19
-MOST_CHARACTERS = 1 << 25
+MOST_PATHS = 3 << 19
+MOST_WORDS = 1 << 18
+MOST_CHARACTERS = 1 << 24
+#: Share of the paths that are spilled when a trie is full.
+SPILLED = 0.8
 #: Bytes of text behind one prefix partition.
-PARTITION_BYTES = 12 << 20
+PARTITION_BYTES = 32 << 20
 #: Bytes of text that are cut into words together.
 _PIECE = 2 << 20
 #: Parts in which the first phrases of a language are found.
@@ -54,12 +57,12 @@ _KIND[list(WORD_ENDS)] = 1
 _KIND[list(PIECE_ENDS)] = 2
 
 
-def _split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Of every word: its code into the distinct words, its piece and its text."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if offsets[-1] == offsets[0]:
-        return np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
     data = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
     offsets = offsets - offsets[0]
     kind = _KIND[data]
@@ -68,20 +71,22 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarr
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     begins[heads] = inside[heads]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | begins[1:]
     at = np.flatnonzero(begins)
-    bounds = np.append((np.cumsum(inside) - inside)[at], inside.sum()).astype(np.int64)
+    bounds = np.concatenate(([0], np.cumsum(np.flatnonzero(ends) + 1 - at)))
     words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[inside].tobytes()))
     coded = words.dictionary_encode()
     text = np.searchsorted(offsets, at, "right") - 1
-    piece = np.cumsum(kind == 2, dtype=np.int64)[at] + text
-    return np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist(), piece, text
+    piece = np.searchsorted(np.flatnonzero(kind == 2), at) + text
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary, piece, text
 
 
 def _word_hash(lang: str, word: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{lang}\n{word}")
 
 
-_RUNS = "lang string, bucket int, single boolean, words array<string>, refs binary, counts binary"
+_RUNS = "lang string, bucket int, single boolean, n_words int, run binary"
 
 
 class _Counter:
@@ -93,8 +98,9 @@ class _Counter:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[tuple[str, str], int] = {}
-        self.words: list[tuple[str, str]] = [("", "")]
+        self.numbers: dict[str, dict[str, int]] = {}  # by language and word
+        self.words: list[str] = [""]
+        self.lang_of = np.zeros(1, np.int32)
         self.hashes = np.zeros(1, np.uint64)
         self.singles = np.zeros(1, np.int64)
         self.characters = 0
@@ -108,9 +114,11 @@ class _Counter:
         both = np.asarray(lang.indices).astype(np.int64)[text] * len(distinct) + codes
         seen = np.zeros(len(names) * len(distinct), bool)
         seen[both] = True
-        present = np.flatnonzero(seen)
         number = np.zeros(len(seen), np.uint64)
-        number[present] = self._numbers([(names[k // len(distinct)], distinct[k % len(distinct)]) for k in present.tolist()])
+        for k, name in enumerate(names):
+            present = np.flatnonzero(seen[k * len(distinct) : (k + 1) * len(distinct)])
+            if len(present):
+                number[present + k * len(distinct)] = self._numbers(name, distinct.take(pa.array(present)).to_pylist())
         word = number[both]
         self.singles += np.bincount(word.astype(np.int64), minlength=len(self.singles))
         path = np.zeros((LONGEST, len(word)), np.uint64)
@@ -121,55 +129,79 @@ class _Counter:
         path = path[:, path[1] > 0]
         self.trie.add(path[0] << np.uint64(32) | path[1], path[2] << np.uint64(32) | path[3])
 
-    def _numbers(self, words: list[tuple[str, str]]) -> list[int]:
-        found, new = [], []
-        for word in words:
-            number = self.numbers.get(word)
-            if number is None:
-                number = self.numbers[word] = len(self.words)
-                self.words.append(word)
-                new.append(_word_hash(*word))
-                self.characters += len(word[1])
-            found.append(number)
-        self.hashes = np.concatenate((self.hashes, np.array(new, np.uint64)))
-        self.singles = np.concatenate((self.singles, np.zeros(len(new), np.int64)))
+    def _numbers(self, lang: str, words: list[str]) -> list[int]:
+        table = self.numbers.setdefault(lang, {})
+        found = list(map(table.get, words))
+        missing = [k for k, number in enumerate(found) if number is None]
+        if missing:
+            new = [words[k] for k in missing]
+            numbers = range(len(self.words), len(self.words) + len(new))
+            table.update(zip(new, numbers))
+            for k, number in zip(missing, numbers):
+                found[k] = number
+            self.words += new
+            self.characters += sum(map(len, new))
+            place = list(self.numbers).index(lang)
+            self.lang_of = np.concatenate((self.lang_of, np.full(len(new), place, np.int32)))
+            self.hashes = np.concatenate((self.hashes, np.array([_word_hash(lang, w) for w in new], np.uint64)))
+            self.singles = np.concatenate((self.singles, np.zeros(len(new), np.int64)))
         return found
 
     def spill(self, share: float) -> Iterator[pa.RecordBatch]:
         """A sorted run of the largest subtrees."""
         head, tail, count = self.trie.spill(share)
-        refs = np.stack([head >> np.uint64(32), head & np.uint64(0xFFFFFFFF), tail >> np.uint64(32), tail & np.uint64(0xFFFFFFFF)]).astype(np.int64)
-        yield from self._run(refs, joined(self.hashes[refs[0]], self.hashes[refs[1]]), joined(head, tail), count, single=False)
+        refs = np.stack([head >> np.uint64(32), head & np.uint64(0xFFFFFFFF), tail >> np.uint64(32), tail & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+        yield from self._run(refs, joined(self.hashes[refs[0]], self.hashes[refs[1]]), count, single=False)
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         """All that is left, and the single words."""
         yield from self.spill(1.0)
         refs = np.flatnonzero(self.singles)[None, :]
-        yield from self._run(refs, joined(self.hashes[refs[0]], np.uint64(0)), self.hashes[refs[0]], self.singles[refs[0]], single=True)
+        yield from self._run(refs, joined(self.hashes[refs[0]], np.uint64(0)), self.singles[refs[0]], single=True)
         self.trie.clear()
         self.forget()
 
-    def _run(self, refs: np.ndarray, prefix: np.ndarray, rest: np.ndarray, count: np.ndarray, single: bool) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((rest, prefix))
-        refs, prefix, count = refs[:, order], prefix[order], count[order]
-        bucket = (prefix >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(prefix), np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for start, stop in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
-            mine, counts = refs[:, start:stop], count[start:stop]
-            langs = np.array([self.words[k][0] for k in mine[0].tolist()], object)
-            for lang in sorted(set(langs.tolist())):
-                chosen = langs == lang
-                used, local = np.unique(mine[:, chosen], return_inverse=True)
-                small = local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
+    def _run(self, refs: np.ndarray, prefix: np.ndarray, count: np.ndarray, single: bool) -> Iterator[pa.RecordBatch]:
+        langs = self.lang_of[refs[0]]
+        place = np.zeros(len(self.words), np.uint32)
+        for k, lang in enumerate(self.numbers):
+            own = np.flatnonzero(langs == k)
+            own = own[np.argsort(prefix[own])]
+            bucket = (prefix[own] >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(own), np.int64)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for start, stop in zip(cuts.tolist(), np.append(cuts[1:], len(own)).tolist()):
+                mine = refs[:, own[start:stop]]
+                place[mine] = 1
+                words = np.flatnonzero(place)
+                place[words] = np.arange(len(words))
+                local = place[mine]
+                place[words] = 0
                 columns = [
                     pa.array([lang]),
                     pa.array([bucket[start]], pa.int32()),
                     pa.array([single]),
-                    pa.array([[self.words[k][1] for k in used.tolist()]], pa.list_(pa.string())),
-                    pa.array([small.tobytes()], pa.binary()),
-                    pa.array([counts[chosen].tobytes()], pa.binary()),
+                    pa.array([len(words)], pa.int32()),
+                    pa.array([_packed([self.words[k] for k in words.tolist()], local, count[own[start:stop]])], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "single", "words", "refs", "counts"])
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "single", "n_words", "run"])
+
+
+def _packed(words: list[str], refs: np.ndarray, count: np.ndarray) -> bytes:
+    """A run: its words, the places of each path's words among them, and the counts."""
+    # No word holds a line end, as that ends a piece.
+    text = "\n".join(words).encode()
+    kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+    parts = (np.array([len(text), refs.shape[1]], np.int64).tobytes(), text, refs.astype(kind).tobytes(), count.astype(np.int64).tobytes())
+    return zstandard.compress(b"".join(parts), 1)
+
+
+def _unpacked(run: bytes, n_words: int, width: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(run)
+    text, paths = np.frombuffer(raw, np.int64, 2).tolist()
+    kind = np.dtype(np.uint16 if n_words <= 1 << 16 else np.uint32)
+    refs = np.frombuffer(raw, kind, width * paths, 16 + text).reshape(width, paths)
+    at = 16 + text + width * paths * kind.itemsize
+    return raw[16 : 16 + text].decode().split("\n"), refs, np.frombuffer(raw[at:], np.int64)
 
 
 def _counted(bits: int):
@@ -181,17 +213,12 @@ def _counted(bits: int):
                 if len(counter.words) > MOST_WORDS or counter.characters > MOST_CHARACTERS:
                     yield from counter.finish()
                 elif counter.trie.size > MOST_PATHS:
-                    yield from counter.spill(0.5)
+                    yield from counter.spill(SPILLED)
         yield from counter.finish()
 
     return count
 
 
-def _refs(row: dict, width: int) -> np.ndarray:
-    kind = np.uint16 if len(row["words"]) < 1 << 16 else np.uint32
-    return np.frombuffer(row["refs"], kind).reshape(width, -1).astype(np.int64)
-
-
 def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order that brings equal keys together, and where each group of them begins."""
     order = np.lexsort(keys[::-1])
@@ -206,28 +233,29 @@ class _Merge:
 
     def __init__(self, lang: str, least: int):
         self.lang, self.least = lang, least
-        self.words: list[str] = [""]
-        self.hashes: list[np.ndarray] = [np.zeros(1, np.uint64)]
+        self.places: dict[str, int] = {"": 0}  # the empty word ends a path
+        self.hashes: list[int] = [0]
         self.paths: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.singles: dict[str, int] = {}
         self.total = 0
 
     def add(self, row: dict) -> None:
-        counts = np.frombuffer(row["counts"], np.int64)
+        words, refs, counts = _unpacked(row["run"], row["n_words"], 1 if row["single"] else LONGEST)
         if row["single"]:
-            for ref, n in zip(_refs(row, 1)[0].tolist(), counts.tolist()):
-                word = row["words"][ref]
-                self.singles[word] = self.singles.get(word, 0) + n
+            for ref, n in zip(refs[0].tolist(), counts.tolist()):
+                self.singles[words[ref]] = self.singles.get(words[ref], 0) + n
                 self.total += n
             return
-        # The empty word, which ends a path, is word 0 of all.
-        place = np.arange(len(row["words"])) + len(self.words)
-        place[[k for k, w in enumerate(row["words"]) if w == ""]] = 0
-        self.words += row["words"]
-        self.hashes.append(np.array([_word_hash(self.lang, w) if w else 0 for w in row["words"]], np.uint64))
-        self.paths.append(place[_refs(row, LONGEST)].astype(np.uint32))
-        self.counts.append(counts)
+        place = []
+        for word in words:
+            at = self.places.get(word)
+            if at is None:
+                at = self.places[word] = len(self.hashes)
+                self.hashes.append(_word_hash(self.lang, word))
+            place.append(at)
+        self.paths.append(np.array(place, np.uint32)[refs])
+        self.counts.append(counts.astype(np.int64))
 
     def phrases(self) -> Iterator[tuple[list[str], int]]:
         """Frequent words and phrases of at least two words, and the number of all words as that of no words."""
@@ -237,23 +265,24 @@ class _Merge:
         if not self.paths:
             return
         paths, counts = np.concatenate(self.paths, axis=1), np.concatenate(self.counts)
-        hashes = np.concatenate(self.hashes)
-        # Runs are sorted by this key, so a stable sort merges them.
+        self.paths, self.counts = [], []
+        hashes, words = np.array(self.hashes, np.uint64), list(self.places)
+        # Runs are sorted by this key, so a stable sort merges them. Pairs that share a key
         prefix = joined(hashes[paths[0]], hashes[paths[1]])
         order = np.argsort(prefix, kind="stable")
         start = np.flatnonzero(np.diff(prefix[order], prepend=prefix[order][0] + np.uint64(1)))
-        # Pairs that share the key of a rare one may be frequent only if their sum is.
+        # are frequent only if the key is, so rare keys go at once.
         summed = np.add.reduceat(counts[order], start)
         keep = np.repeat(summed >= self.least, np.diff(np.append(start, len(order))))
         paths, counts = paths[:, order[keep]], counts[order[keep]]
         for size in range(2, LONGEST + 1):
             if not len(counts):
                 return
-            order, start = _groups([hashes[paths[k]] for k in range(size)])
+            order, start = _groups([paths[k] for k in range(size)])
             summed = np.add.reduceat(counts[order], start)
             frequent = summed >= self.least
             for at, n in zip(order[start[frequent]].tolist(), summed[frequent].tolist()):
-                yield [self.words[k] for k in paths[:size, at].tolist()], n
+                yield [words[k] for k in paths[:size, at].tolist()], n
             keep = order[np.repeat(frequent, np.diff(np.append(start, len(order))))]
             paths, counts = paths[:, keep], counts[keep]
             if size < LONGEST:
