@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from adlytics.params import ConversionPixels, Period
+from adlytics.params import ConversionPixels, Period, Window
+from adlytics.sources.tables import scan, scan_days
 
 AS_OF = date(2024, 1, 31)
 MONTH = Period(date(2024, 1, 1), date(2024, 1, 30))
@@ -62,6 +63,12 @@ class Derived:
         spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet").repartition(spread)
 
+    def scan(self, table: str, when: Period | Window, ts: str = "ts", country: str | None = None) -> DataFrame:
+        return scan(getattr(self, table)(), when, ts, country)
+
+    def scan_days(self, table: str, when: Period | Window, column: str = "date") -> DataFrame:
+        return scan_days(getattr(self, table)(), when, column)
+
     def bidstream(self) -> DataFrame:
         """One request per order with up to two ads, three seats each, two bids each."""
         person = _person("o_custkey")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
@@ -37,6 +37,17 @@ def scan(
     return rows if country is None else rows.filter(F.col("user_country") == country)
 
 
+def scan_days(table: DataFrame, when: Period | Window, column: str = "date", partition: str | None = None) -> DataFrame:
+    """Rows of a period in a table that has its day in a column, which may be the partition itself."""
+    rows = table.filter(when.covers_date(F.col(column)))
+    return rows if partition in (None, column) else rows.filter(when.covers_date(F.col(partition)))
+
+
+def _place(name: Column) -> Column:
+    """Where a name falls in [0, 1): 32 bits of its md5, the same in any engine."""
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def sample_rows(table: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:
     """Rows whose key has a hash in the first `fraction` of its range; all from a fraction of 1 on.
 
@@ -46,13 +57,43 @@ def sample_rows(table: DataFrame, fraction: float, key: str, seed: int = 0) -> D
     if fraction >= 1.0:
         return table
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return table.filter(place < F.lit(fraction))
+    return table.filter(_place(text) < F.lit(fraction))
+
+
+def block_name(folder: str, whole_folders: bool = False) -> Column:
+    """Name of the block a row is stored in: its file below the table's folder.
 
+    A file is named by its partition folders and its part number, without the writer's random
+    suffix, so a table that is copied or written again in the same layout has the same blocks. With
+    ``whole_folders`` the partition folder is the block.
+    """
+    inside = F.substring_index(F.col("_metadata.file_path"), f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    if whole_folders:
+        return F.regexp_replace(inside, "/?[^/]*$", "")
+    return F.regexp_replace(inside, r"(part-\d+)[^/]*$", "$1")
+
+
+def sample_blocks(table: DataFrame, folder: str, fraction: float, seed: int = 0, whole_folders: bool = False) -> DataFrame:
+    """Rows of about `fraction` of a stored table's blocks; all from a fraction of 1 on.
 
-def partition_days(table: DataFrame, ts: str = "ts") -> DataFrame:
-    """Days present with their row counts, in order."""
-    days = table.groupBy(F.to_date(ts).alias("partition_date")).agg(F.count(F.lit(1)).alias("total"))
+    ``table`` is read from ``folder``. Blocks are chosen by a hash of seed and name, from the list of
+    files: those that are not chosen are never opened, so a hundredth of the table costs a
+    hundredth of its bytes. Rows of a block are taken together, so a sample is as good as rows are
+    dealt over blocks.
+    """
+    if fraction >= 1.0:
+        return table
+    return table.filter(_place(F.concat(F.lit(f"{seed}:"), block_name(folder, whole_folders))) < F.lit(fraction))
+
+
+def partition_days(table: DataFrame, ts: str = "ts", partition: str | None = None) -> DataFrame:
+    """Days present with their row counts, in order.
+
+    ``partition`` names the date column a stored table is partitioned by: then folder names and the
+    row counts in file footers answer, and no column is read.
+    """
+    day = F.to_date(ts) if partition is None else F.col(partition)
+    days = table.groupBy(day.alias("partition_date")).agg(F.count(F.lit(1)).alias("total"))
     return days.orderBy("partition_date")
 
 
@@ -91,8 +132,35 @@ class ParquetTables:
             cut = StructType([*cut.fields, StructField(day, DateType())])
         return self.spark.read.schema(cut).parquet(f"{self.folder}/{table}")
 
+    def _declared(self, table: str, rows: DataFrame) -> DataFrame:
+        """Without a partition column that the table's schema does not declare."""
+        day = self.partitions.get(table)
+        return rows if day is None or day in schema(table).names else rows.drop(day)
+
     def scan(self, table: str, when: Period | Window, ts: str = "ts", country: str | None = None) -> DataFrame:
-        return scan(self.read(table), when, ts, country, self.partitions.get(table))
+        """Rows of a period or clock window; of a partitioned table only the files of its days are opened."""
+        return self._declared(table, scan(self.read(table), when, ts, country, self.partitions.get(table)))
+
+    def scan_days(self, table: str, when: Period | Window, column: str = "date") -> DataFrame:
+        return self._declared(table, scan_days(self.read(table), when, column, self.partitions.get(table)))
+
+    def sample(self, table: str, fraction: float, seed: int = 0, whole_folders: bool = False) -> DataFrame:
+        """About that share of a table's blocks (see ``sample_blocks``)."""
+        rows = sample_blocks(self.read(table), f"{self.folder}/{table}", fraction, seed, whole_folders)
+        return self._declared(table, rows)
+
+    def days(self, table: str, ts: str = "ts") -> DataFrame:
+        """Days present with their row counts; from folders and footers where the table is partitioned."""
+        return partition_days(self.read(table), ts, self.partitions.get(table))
+
+    def files(self, table: str) -> DataFrame:
+        """Rows (day, path, length, modificationTime) of a table's files, whose content is not read.
+
+        The day is null where the table is not partitioned.
+        """
+        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.folder}/{table}")
+        day = F.col(self.partitions[table]) if table in self.partitions else F.lit(None)
+        return found.select(day.cast("date").alias("day"), "path", "length", "modificationTime")
 
     def bidstream(self) -> DataFrame:
         return self.read("bidstream")

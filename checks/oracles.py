@@ -48,6 +48,19 @@ _add(
     "SELECT d AS partition_date, count(*) AS total FROM ev GROUP BY d",
     text="partition_date",
 )
+_add(
+    "partition_listing_stored",
+    ("ev",),
+    "SELECT d AS partition_date, count(*) AS total FROM ev GROUP BY d",
+    text="partition_date",
+)
+_add(
+    "block_sample_counts",
+    ("requests",),
+    f"""SELECT bucket, CASE WHEN domestic THEN 'United Kingdom' ELSE 'France' END AS user_country, count(*) AS requests, sum(n_ads) AS ads
+        FROM (SELECT *, 'b' || substr(md5(request_id), 1, 2) AS bucket FROM requests)
+        WHERE {_in_sample(5, "'bucket=' || bucket", 0.25)} GROUP BY ALL""",
+)
 _add(
     "day_scan_counts",
     ("requests",),
@@ -129,6 +142,29 @@ _add(
     _FLAG_ROWS,
     text=f"date_ts is_bid_request_sent br_is_impression is_test_arm is_control_arm {_FLAG_NAMES}",
 )
+
+
+def _digests(columns: str, key: str, rows: str) -> str:
+    """Rows, filled values, sums of money and a digest of whole rows per key."""
+    others = [c for c in columns.split() if c != key]
+    money = ("br_max_bid_net_usd", "max_bid_net_usd")
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '?')" for c in others if c not in money)
+    shown = [f"count({c}) AS n_{c}" for c in others] + [f"sum({c}) AS sum_{c}" for c in others if c in money]
+    digest = f"CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 8) AS BIGINT)) AS BIGINT) AS digest"
+    return f"SELECT {key}, count(*) AS n_rows, {digest}, {', '.join(shown)} FROM ({rows}) GROUP BY {key}"
+
+
+_SEAT_NAMES = """date_ts request_id ad_id ip_address browser_name device_type os_name os_version site_user_id seat_name
+    is_bid_request_sent is_test_arm is_control_arm creative_id bid_user_id br_is_impression br_max_bid_net_usd"""
+_FLAG_SHOWN = f"""date_ts request_id ad_id seat_name is_bid_request_sent br_is_impression is_test_arm is_control_arm
+    {_FLAG_NAMES} max_bid_net_usd br_max_bid_net_usd"""
+_add("seat_level_counts", ("seats",), _digests(_SEAT_NAMES, "seat_name", f"SELECT {_SEAT} FROM seats"))
+_add(
+    "seat_level_creative_counts",
+    ("seats",),
+    _digests(_SEAT_NAMES, "seat_name", f"SELECT {_SEAT} FROM seats WHERE br_won AND creative = 'cr-15003'"),
+)
+_add("id_source_flag_counts", ("seat_bids",), _digests(_FLAG_SHOWN, "seat_name", _FLAG_ROWS))
 _add(
     "id_source_report",
     ("seat_bids",),
@@ -555,5 +591,6 @@ _add(
     """SELECT 'ts,id_type,partner_id' AS line UNION ALL
         SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ',' || kind || ',x' || CAST(u AS VARCHAR) FROM ev""",
 )
+_SQL["campaign_report_from_days"] = _SQL["campaign_report"]
 _SQL["campaign_report_from_nested"] = _SQL["campaign_report"]
 _SQL["seat_delivery_report_from_tables"] = _SQL["seat_delivery_report"]

@@ -27,7 +27,7 @@ from adlytics.sources.derived import (
     PIXELS,
     Derived,
 )
-from adlytics.sources.tables import ParquetTables, partition_days, save_table, scan
+from adlytics.sources.tables import ParquetTables, partition_days, sample_blocks, save_table, scan
 from adlytics.workspace import Workspace
 from datetime import time
 
@@ -38,32 +38,27 @@ INACTIVE_CAMPAIGN = "c3"
 
 @dataclass(frozen=True)
 class Checked(Derived):
-    """The derived tables, and the workspace that all queries over them share."""
+    """The derived tables, and the workspace of one call over them."""
 
     space: Workspace
 
 
 _REGISTERED: dict[str, Callable[[Checked], DataFrame]] = {}
-_SPACES: dict[tuple[str, str], Workspace] = {}
-
-
 def query(build: Callable[[Checked], DataFrame]) -> Callable[[Checked], DataFrame]:
     _REGISTERED[build.__name__] = build
     return build
 
 
-def workspace(spark: SparkSession, folder: str) -> Workspace:
-    """One workspace per application and data folder, removed when the driver ends."""
-    key = spark.sparkContext.applicationId, folder
-    if key not in _SPACES:
-        space = _SPACES[key] = Workspace(spark)
+def workspace(spark: SparkSession) -> Workspace:
+    """A workspace of one call; results read its tables, so it goes when the driver ends."""
+    space = Workspace(spark)
 
-        def close() -> None:
-            with suppress(Exception):  # the session may have ended before
-                space.close()
+    def close() -> None:
+        with suppress(Exception):  # the session may have ended before
+            space.close()
 
-        atexit.register(close)
-    return _SPACES[key]
+    atexit.register(close)
+    return space
 
 
 def plain(rows: DataFrame) -> DataFrame:
@@ -83,7 +78,7 @@ def plain(rows: DataFrame) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build: Callable[[Checked], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: plain(build(Checked(configure(spark), folder, workspace(spark, folder))))
+        return lambda spark, folder: plain(build(Checked(configure(spark), folder, workspace(spark))))
 
     return {name: bind(build) for name, build in _REGISTERED.items()}
 
@@ -96,6 +91,45 @@ def partition_listing(t: Checked) -> DataFrame:
     return partition_days(t.audience())
 
 
+#: Date columns by which the stored tables are partitioned.
+STORED_BY = {
+    "bidstream": "day",
+    "site_events": "day",
+    "pages": "day",
+    "win_log": "day",
+    "site_sessions": "date",
+    "attention": "date",
+    "ip_prefix": "date",
+    "ip_prefix_mapping": "date",
+}
+
+
+def stored_by_day(tables: Derived, folder: str, names: tuple[str, ...] = tuple(STORED_BY)) -> ParquetTables:
+    """Tables written by day below a folder, and read from there."""
+    for name in names:
+        rows = getattr(tables, name)()
+        if STORED_BY[name] == "day":
+            rows = rows.withColumn("day", F.to_date("bid_time_utc" if name == "win_log" else "ts"))
+        save_table(rows.repartition(STORED_BY[name]), f"{folder}/{name}", [STORED_BY[name]])
+    return ParquetTables(tables.spark, folder, partitions={n: STORED_BY[n] for n in names})
+
+
+@query
+def partition_listing_stored(t: Checked) -> DataFrame:
+    """Days of the stored site events with their rows, from folder names and file footers."""
+    return stored_by_day(t, t.space.path("tables"), ("site_events",)).days("site_events")
+
+
+@query
+def block_sample_counts(t: Checked) -> DataFrame:
+    """Requests per country of a sample of the folders of the bid log, stored by a hash of the request."""
+    folder = f"{t.space.path('tables')}/bidstream"
+    bids = t.bidstream().withColumn("bucket", F.concat(F.lit("b"), F.substring(F.md5("request_id"), 1, 2)))
+    stored = save_table(bids.repartition("bucket"), folder, ["bucket"])
+    chosen = sample_blocks(stored, folder, 0.25, seed=5, whole_folders=True)
+    return chosen.groupBy("bucket", "user_country").agg(F.count(F.lit(1)).alias("requests"), F.sum(F.coalesce(F.size("ad"), F.lit(0))).alias("ads"))
+
+
 @query
 def day_scan_counts(t: Checked) -> DataFrame:
     """Rows of each supported scan window of the whole bid log."""
@@ -186,6 +220,51 @@ def seat_level_creative_impressions(t: Checked) -> DataFrame:
     return seats.select(*_SEAT_COLUMNS)
 
 
+_FLAG_COLUMNS = (
+    "date_ts",
+    "request_id",
+    "ad_id",
+    "seat_name",
+    "is_bid_request_sent",
+    "br_is_impression",
+    "is_test_arm",
+    "is_control_arm",
+    "id_source_anonymous_id",
+    "id_source_hhip",
+    "id_source_login_id",
+    "id_source_maid",
+    "id_source_pubcid",
+    "id_source_cookie",
+    "max_bid_net_usd",
+    "br_max_bid_net_usd",
+)
+_MONEY = ("br_max_bid_net_usd", "max_bid_net_usd")
+
+
+def _digests(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per key the rows, the filled values of every column, sums of money, and a digest of all whole rows.
+
+    The digest sums 32 bits of the md5 of each row, so any value that is changed, lost or moved shows.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in others if c not in _MONEY])
+    digest = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    money = [F.sum(c).alias(f"sum_{c}") for c in others if c in _MONEY]
+    filled = [F.count(c).alias(f"n_{c}") for c in others]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest).alias("digest"), *filled, *money)
+
+
+@query
+def seat_level_counts(t: Checked) -> DataFrame:
+    return _digests(delivery.seat_level(t.bidstream()).select(*_SEAT_COLUMNS), "seat_name")
+
+
+@query
+def seat_level_creative_counts(t: Checked) -> DataFrame:
+    seats = delivery.seat_level(t.bidstream(), impressions_only=True, creative_id=CREATIVE)
+    return _digests(seats.select(*_SEAT_COLUMNS), "seat_name")
+
+
 @query
 def ad_level(t: Checked) -> DataFrame:
     return delivery.ad_level(t.bidstream()).select(
@@ -224,6 +303,11 @@ def id_source_flags(t: Checked) -> DataFrame:
     return delivery.id_source_flags(t.bidstream())
 
 
+@query
+def id_source_flag_counts(t: Checked) -> DataFrame:
+    return _digests(delivery.id_source_flags(t.bidstream()).select(*_FLAG_COLUMNS), "seat_name")
+
+
 @query
 def id_source_report(t: Checked) -> DataFrame:
     return delivery.id_source_report(t.bidstream())
@@ -391,7 +475,7 @@ def _root(t: Checked) -> DataFrame:
 
 
 def _saved_root(t: Checked) -> DataFrame:
-    """The root, written once for all queries of a run."""
+    """The root, written once for all that a query reads from it."""
     return t.space.share("root", lambda: _root(t))
 
 
@@ -442,6 +526,16 @@ def campaign_report_from_nested(t: Checked) -> DataFrame:
     return reports.campaign_attribution(event_root.flatten_event_root(_nested_root(t)))
 
 
+@query
+def campaign_report_from_days(t: Checked) -> DataFrame:
+    """Campaign figures from a root kept by day: ten days are built first, then only the rest of the month."""
+    tables = stored_by_day(t, t.space.path("tables"), ("pages", "win_log", "attention", "site_sessions", "ip_prefix"))
+    save_table(t.line_items(), f"{tables.folder}/line_items")
+    root = reports.daily_root(tables, t.space.path("daily-root"), LOOKUP_DAY, CREATIVE_CHARACTERS)
+    root.refresh(Period(MONTH.start, MONTH.start.replace(day=10)))
+    return reports.campaign_attribution(root.fresh(MONTH))
+
+
 @query
 def active_events(t: Checked) -> DataFrame:
     """Events kept and dropped, of a root in which many delivery events lack an impression time.
