@@ -17,6 +17,7 @@ from adlytics.functions.text import fingerprint, utm_medium, utm_source
 from adlytics.operators.delivery import ad_platform, label_seats, rates, seat_totals
 from adlytics.operators.joins import drop_known, join_null_safe, keep_known, left_join, not_in
 from adlytics.params import HOUSEHOLD_PLATFORM, ConversionPixels, Period, Window
+from adlytics.workspace import Workspace
 
 USER_SOURCE = "user_id"
 HOUSEHOLD_SOURCE = HOUSEHOLD_PLATFORM
@@ -58,6 +59,10 @@ def conversion_id_counts(conversions: DataFrame) -> DataFrame:
     return join_null_safe(counts("site_user_id", "user_id"), counts("device", "pwid"), by, "inner")
 
 
+def _kept(space: Workspace | None, table: DataFrame, name: str) -> DataFrame:
+    return table if space is None else space.save(table, name)
+
+
 # --- by user id, then by household address -----------------------------------------
 
 
@@ -195,13 +200,20 @@ def _tags(groups: DataFrame, by_user: DataFrame, by_address: DataFrame, tag: str
 
 
 def utm_conversion_report(
-    impressions: DataFrame, conversions: DataFrame, pixels: ConversionPixels, empty_arrays: str = "null"
+    impressions: DataFrame,
+    conversions: DataFrame,
+    pixels: ConversionPixels,
+    empty_arrays: str = "null",
+    space: Workspace | None = None,
 ) -> DataFrame:
     """``conversion_report`` per UTM medium and source; an impression counts in each pair.
 
     Impressions are summed per day, platform, household flag and the user and address whose tags
-    they take, before any tag is joined: a tag meets sums, never single impressions.
+    they take, before any tag is joined: a tag meets sums, never single impressions. With a
+    workspace the conversions and these sums are saved, so that both inputs are read once at any
+    size, whatever the plan reuses.
     """
+    conversions = _kept(space, conversions, "conversions")
     by = ["date_ts", "ad_platform", "is_household"]
     keys = ["tag_user", "tag_address"]
     none = F.lit(None).cast("int") if empty_arrays == "null" else F.lit(0)
@@ -221,8 +233,8 @@ def utm_conversion_report(
         F.when(F.col("by_household"), 1).otherwise(0).alias("conversion_source_hhip"),
     )
     measures = ["imps", "spend", *_TOTALS]
-    summed = rows.groupBy(*by, *keys).agg(*[F.sum(m).alias(m) for m in measures])
-    groups = summed.select(*keys).distinct()
+    summed = _kept(space, rows.groupBy(*by, *keys).agg(*[F.sum(m).alias(m) for m in measures]), "utm-sums")
+    groups = _kept(space, summed.select(*keys).distinct(), "utm-groups")
     visits = conversions.filter(F.col("pixel_id") == pixels.visit)
     tagged = join_null_safe(summed, _tags(groups, visits, conversions, "utm_medium", "null"), keys, "inner")
     tagged = tagged.groupBy(*by, *keys, "utm_medium").agg(*[F.sum(m).alias(m) for m in measures])
@@ -325,47 +337,64 @@ def device_match_sums(seats: DataFrame) -> DataFrame:
     )
 
 
-def device_match_report(summed: DataFrame, conversions: DataFrame, strict: bool = False) -> DataFrame:
+def device_match_report(
+    summed: DataFrame, conversions: DataFrame, strict: bool = False, space: Workspace | None = None
+) -> DataFrame:
     """Delivery and matched ids per day, platform, arm and pixel, best bid CPM first.
 
-    ``summed`` comes from ``device_match_sums``; save it and the conversions first, as both are
-    read more than once. Gives the sums that ``match_user_then_device`` would give, without its
-    rows: seats are summed per user or device before they meet conversions counted per user or
-    device and pixel, and distinct ids are looked up for distinct users and devices only.
+    ``summed`` comes from ``device_match_sums``; save it first, as it is read twice. Gives the sums
+    that ``match_user_then_device`` would give, without its rows: seats are summed per user or device
+    before they meet conversions counted per user, device and pixel, and a join gives weights and
+    ids at once. With a workspace these sums are saved, and conversions are read once.
     """
     arm = ["date_ts", "ad_platform", "exp_type"]
     by = [*arm, "pixel_name"]
     five = fingerprint(*[F.col(c) for c in _DEVICE_FIELDS])
     conv = conversions.select(F.col("site_user_id").alias("user"), "pixel_name", five.alias("five"), _device_key().alias("key"))
+    conv = conv.groupBy(*conv.columns).agg(F.count(F.lit(1)).alias("n"))
+    conv = _kept(space, conv, "device-conversions")
     named = conv.filter(F.col("pixel_name").isNotNull())
 
     # A conversion without a pixel name matches its user but counts as no match.
-    unnamed = conv.groupBy("user").agg(F.count_if(F.col("pixel_name").isNull()).alias("unnamed"))
+    unnamed = conv.groupBy("user").agg(F.sum(F.when(F.col("pixel_name").isNull(), F.col("n")).otherwise(0)).alias("unnamed"))
     seats = left_join(summed, unnamed, "site_user_id", "user").withColumn("lone", F.coalesce("unnamed", F.lit(1)))
     sums = ("sent", "won", "spent", "seat_rows")
-    of_user = summed.groupBy(*arm, "site_user_id").agg(*[F.sum(c).alias(c) for c in sums])
+    of_user = _kept(space, summed.groupBy(*arm, "site_user_id").agg(*[F.sum(c).alias(c) for c in sums]), "user-sums")
     alone = seats.filter("lone > 0").groupBy(*arm, "device_key")
-    alone = alone.agg(*[F.sum(F.col(c) * F.col("lone")).alias(c) for c in sums])
+    alone = _kept(space, alone.agg(*[F.sum(F.col(c) * F.col("lone")).alias(c) for c in sums]), "lone-device-sums")
 
-    seen = keep_known(conv, "user", summed, "site_user_id").select("user").distinct()
+    seen = keep_known(conv, "user", of_user, "site_user_id").select("user").distinct()
     left_over = not_in(named, "user", seen, "user").filter(F.col("key").isNotNull())
+    left_over = _kept(space, left_over, "left-over-conversions")
+
+    def matched(seat_sums: DataFrame, key: str, found: DataFrame, at: str) -> DataFrame:
+        """Seat sums with each group of conversions they meet."""
+        met = found.select(F.col(at).alias("at"), "pixel_name", "user", "five", "n")
+        return seat_sums.join(met, F.col(key) == F.col("at")).select(*by, *sums, "user", "five", "n")
+
+    every = matched(of_user, "site_user_id", named, "user").unionByName(matched(alone, "device_key", left_over, "key"))
+    weight = lambda c: (F.col(c) * F.col("n")).alias(c)
+    id_rows = lambda c: F.when(F.col(c).isNotNull(), F.col("seat_rows") * F.col("n"))
+    weights = every.select(
+        *by,
+        weight("sent"),
+        weight("won"),
+        weight("spent"),
+        id_rows("user").alias("total_user_id_count"),
+        id_rows("five").alias("total_pwid_count"),
+        "user",
+        "five",
+    )
+    # Distinct ids are grouped first, so that no task holds the ids of a whole arm.
+    distinct = weights.groupBy(*by, "user", "five").agg(
+        *[F.sum(c).alias(c) for c in ("sent", "won", "spent", "total_user_id_count", "total_pwid_count")]
+    )
+    distinct = _kept(space, distinct, "device-matches")
 
-    def counted(rows: DataFrame, key: str) -> DataFrame:
-        return rows.groupBy(F.col(key).alias("at"), "pixel_name").agg(
-            F.count(F.lit(1)).alias("n"), F.count("user").alias("n_user"), F.count("five").alias("n_five")
-        )
-
-    def weighed(seat_sums: DataFrame, key: str, found: DataFrame) -> DataFrame:
-        return seat_sums.join(found, F.col(key) == F.col("at")).select(
-            *by,
-            (F.col("sent") * F.col("n")).alias("bid_request_sent"),
-            (F.col("won") * F.col("n")).alias("imps"),
-            (F.col("spent") * F.col("n")).alias("spend"),
-            (F.col("seat_rows") * F.col("n_user")).alias("total_user_id_count"),
-            (F.col("seat_rows") * F.col("n_five")).alias("total_pwid_count"),
-        )
+    def ids(what: str, into: str) -> DataFrame:
+        return distinct.select(*by, what).distinct().groupBy(*by).agg(F.count(what).alias(into))
 
-    on_device = counted(left_over, "key")
+    on_device = left_over.select(F.col("key").alias("at")).distinct()
     bare = drop_known(alone, "device_key", on_device, "at") if strict else alone
     bare = bare.select(
         *arm,
@@ -374,22 +403,15 @@ def device_match_report(summed: DataFrame, conversions: DataFrame, strict: bool
         F.col("won").alias("imps"),
         F.col("spent").alias("spend"),
     )
-
-    def distinct(what: str, into: str) -> DataFrame:
-        def ids(seat_sums: DataFrame, key: str, rows: DataFrame, at: str) -> DataFrame:
-            known = rows.filter(F.col(what).isNotNull()).select(F.col(at).alias("at"), "pixel_name", F.col(what).alias("found"))
-            return seat_sums.join(known.distinct(), F.col(key) == F.col("at")).select(*by, "found")
-
-        every = ids(of_user, "site_user_id", named, "user").unionByName(ids(alone, "device_key", left_over, "key"))
-        return every.distinct().groupBy(*by).agg(F.count("found").alias(into))
-
-    parts = [
-        weighed(of_user, "site_user_id", counted(named, "user")),
-        weighed(alone, "device_key", on_device),
-        bare,
-        distinct("user", "distinct_user_id_count"),
-        distinct("five", "distinct_pwid_count"),
-    ]
+    met = distinct.select(
+        *by,
+        F.col("sent").alias("bid_request_sent"),
+        F.col("won").alias("imps"),
+        F.col("spent").alias("spend"),
+        "total_user_id_count",
+        "total_pwid_count",
+    )
+    parts = [met, bare, ids("user", "distinct_user_id_count"), ids("five", "distinct_pwid_count")]
     every = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
     counts = ("distinct_user_id_count", "total_user_id_count", "distinct_pwid_count", "total_pwid_count")
     totals = every.groupBy(*by).agg(

@@ -78,8 +78,23 @@ def device_match(
     # The bid log is read once; its sums are small and read several times.
     summed = space.save(conversions.device_match_sums(seats), "device-sums")
     converted = conversions.site_conversions(tables.scan("site_events", days), pixels, days)
-    completed = space.save(converted.filter(F.col("pixel_id") == pixels.completed), "completed")
-    return conversions.device_match_report(summed, completed, strict)
+    return conversions.device_match_report(summed, converted.filter(F.col("pixel_id") == pixels.completed), strict, space)
+
+
+def utm_conversions(
+    space: Workspace,
+    tables: Tables,
+    pixels: ConversionPixels,
+    when: Period | Window,
+    conversion_days: Period,
+    lookup_days: Period,
+    country: str | None = None,
+    creative_id: str | None = None,
+    empty_arrays: str = "null",
+) -> DataFrame:
+    """Conversions mapped to impressions, per UTM medium and source."""
+    found = impressions_and_conversions(tables, pixels, when, conversion_days, lookup_days, country, creative_id)
+    return conversions.utm_conversion_report(*found, pixels, empty_arrays, space)
 
 
 def overlap_report(

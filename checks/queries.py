@@ -391,12 +391,12 @@ def conversion_report_stored(t: Checked) -> DataFrame:
 @query
 def utm_conversion_report(t: Checked) -> DataFrame:
     """As from the stored table, in which missing arrays have become empty ones."""
-    return conversions.utm_conversion_report(*_to_map(t), PIXELS, empty_arrays="empty")
+    return conversions.utm_conversion_report(*_to_map(t), PIXELS, "empty", t.space)
 
 
 @query
 def utm_conversion_report_in_query(t: Checked) -> DataFrame:
-    return conversions.utm_conversion_report(*_to_map(t), PIXELS)
+    return conversions.utm_conversion_report(*_to_map(t), PIXELS, space=t.space)
 
 
 @query

@@ -55,6 +55,7 @@ REPORTS = {
     "impressions": lambda space, t: reports.impressions_and_conversions(t, PIXELS, DAYS, DAYS, DAYS, COUNTRY)[0],
     "conversions": lambda space, t: reports.impressions_and_conversions(t, PIXELS, DAYS, DAYS, DAYS, COUNTRY)[1],
     "device_match": lambda space, t: reports.device_match(space, t, PIXELS, DAYS),
+    "utm_conversions": lambda space, t: reports.utm_conversions(space, t, PIXELS, DAYS, DAYS, DAYS, COUNTRY),
     "overlap": lambda space, t: reports.overlap_report(space, t, PIXELS, DAYS, DAYS, COUNTRY),
     "placed_seats": lambda space, t: reports.placed_seats(space, t, DAYS, DAYS, DAYS, COUNTRY)[0],
     "cascade_people": lambda space, t: reports.cascade_people(space, t, DAYS, DAYS, DAYS, COUNTRY),
