@@ -591,6 +591,15 @@ _add(
     """SELECT 'ts,id_type,partner_id' AS line UNION ALL
         SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ',' || kind || ',x' || CAST(u AS VARCHAR) FROM ev""",
 )
+_add(
+    "users_over_spans",
+    ("requests",),
+    """SELECT span, CASE WHEN domestic THEN 'United Kingdom' ELSE 'France' END AS user_country, count(DISTINCT usr) AS distinct_ids
+        FROM requests JOIN (VALUES ('day', DATE '2024-01-30', DATE '2024-01-30'), ('week', DATE '2024-01-24', DATE '2024-01-30'),
+            ('month', DATE '2024-01-01', DATE '2024-01-30'), ('middle', DATE '2024-01-05', DATE '2024-01-17')) s(span, low, high)
+            ON d BETWEEN low AND high
+        GROUP BY ALL HAVING count(DISTINCT usr) > 0""",
+)
 _SQL["campaign_report_from_days"] = _SQL["campaign_report"]
 _SQL["campaign_report_from_nested"] = _SQL["campaign_report"]
 _SQL["seat_delivery_report_from_tables"] = _SQL["seat_delivery_report"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from adlytics import configure
 from adlytics.functions import ip, text, times
-from adlytics.operators import attribution, conversions, delivery, event_root, household, identity, metadata
+from adlytics.operators import attribution, conversions, delivery, distinct_sets, event_root, household, identity, metadata
 from adlytics.params import Period, Window
 from adlytics.plans import reports
 from adlytics.schemas import BID_FIELDS
@@ -462,6 +462,25 @@ def reach_exclusive(t: Checked) -> DataFrame:
     return identity.reach_report(*_placed(t))
 
 
+#: Periods over which distinct users are counted from the same day sets.
+SPANS = {
+    "day": Period.day(AS_OF),
+    "week": Period.rolling(AS_OF, 7),
+    "month": MONTH,
+    "middle": Period(MONTH.start.replace(day=5), MONTH.start.replace(day=17)),
+}
+
+
+@query
+def users_over_spans(t: Checked) -> DataFrame:
+    """Distinct users per country and span of days, from one set of ids a day."""
+    facts = t.bidstream().select(F.to_date("ts").alias("date"), "user_country", F.col("site_user.user_id").alias("person"))
+    facts = t.space.save(facts.distinct(), "facts")
+    numbers = distinct_sets.number_ids(t.space, facts, "person")
+    sets = t.space.save(distinct_sets.day_sets(facts, numbers, "person", ["user_country"]), "sets")
+    return distinct_sets.count_over(sets, SPANS, ["user_country"])
+
+
 @query
 def reach_distinct_fallback(t: Checked) -> DataFrame:
     return identity.reach_report(*_placed(t), mode="distinct_fallback")
