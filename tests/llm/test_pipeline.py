@@ -9,7 +9,8 @@ import pytest
 from adlytics.llm import language, oracles, queries
 from adlytics.llm.common import fold
 from checks import compare
-from corpus_cases import SCHEMA, awkward, documents
+from corpus_cases import SCHEMA, awkward, clashing, documents, sentence
+from corpus_cases import rows as rows_of_documents
 from pyspark.sql import functions as F
 from test_exact_dedup import brute as exact
 from test_language import brute as predicted
@@ -18,6 +19,7 @@ from test_near_dedup import brute as near
 from tokenizers import Tokenizer
 
 FOLDER = "/root/testdata/sf0.001"
+SCHEMA_NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -68,6 +70,31 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, FOLDER).dtypes == docs.dtypes
 
 
+OWN = ("score", "lang_pred", "size", "source_size", "target", "copies", "taken", "_id", "_sha", "_copy", "_row", "rows", "id", "c0")
+
+
+def test_stages_leave_other_columns_alone(spark):
+    """Columns named like those of the operators keep their values through all stages but the last."""
+    docs = clashing(documents(spark, awkward()), *OWN)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, FOLDER)
+        assert rows.dtypes == docs.dtypes
+        plain = stage(spark, docs.select(*SCHEMA_NAMES), FOLDER)
+        assert compare._bag(SCHEMA_NAMES, [tuple(r) for r in rows.select(*SCHEMA_NAMES).collect()]) == compare._bag(
+            SCHEMA_NAMES, [tuple(r) for r in plain.collect()]
+        )
+        assert {tuple(r) for r in rows.select(*OWN).distinct().collect()} == {tuple(f"extra {n}" for n in OWN)}
+
+
+def test_near_copies_go_by_text(spark):
+    """A text stays when only another text of its id is a near copy."""
+    text, other = sentence(31, 80), sentence(32, 80)
+    found = rows_of_documents((1, text), (2, text + " more"), (2, other), (3, other + " more"), (3, "short"), (None, text), (4, None), (4, ""))
+    kept = corpus_pipeline.drop_near_copies(spark, documents(spark, found), FOLDER)
+    ids = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert ids == sorted([(1, text), (2, other), (3, "short"), (None, text), (4, None), (4, "")], key=repr)
+
+
 def test_empty_documents(spark, tmp_path):
     documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
