@@ -127,15 +127,8 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    definition = tokenizer()
     docs = table(configure(spark), folder, "documents").select("doc_id", "text")
-    rows = bpe.encode(docs, definition, decoded="decoded")
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.digests(docs, tokenizer())
 
 
 def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
