@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -29,7 +30,8 @@ UNDETERMINED = "und"
 MIN_SCORE = 0.3
 #: No single word outweighs another by more than this in any language.
 WORD_RANGE = 8.0
-CACHED_WORDS = 100_000
+#: Unseen words whose n-grams are looked up together.
+UNSEEN_WORDS = 20_000
 SMOOTHING = 0.5
 _BOUND = "\x02"
 
@@ -47,7 +49,10 @@ def grams(word: str, length: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Languages in order, their log shares, and by length (0: whole words) the items with their log frequencies."""
+    """Languages in order, their log shares, and by length (0: whole words) the items with their log frequencies.
+
+    Tasks get items as sorted 64-bit hashes only: no strings, 8 bytes an item beside its frequencies.
+    """
 
     languages: list[str]
     shares: np.ndarray
@@ -55,30 +60,51 @@ class LanguageModel:
     logs: list[np.ndarray]
 
     def __post_init__(self):
-        self._seen: dict[str, np.ndarray] = {}
-        self._places: list[dict[str, int]] = []
-
-    def word(self, word: str) -> np.ndarray:
-        if not self._places:
-            self._places = [{x: i for i, x in enumerate(items)} for items in self.items]
-        at = self._places[0].get(word)
-        if at is not None:
-            return self.logs[0][at]
-        found = self._seen.get(word)
-        if found is None:
-            found = self._unseen(word)
-            if len(self._seen) >= CACHED_WORDS:
-                self._seen.clear()
-            self._seen[word] = found
+        self._tables = []
+        for items, logs in zip(self.items, self.logs):
+            hashes = _hashes(items)
+            order = np.argsort(hashes)
+            self._tables.append((hashes[order], np.asarray(logs)[order]))
+
+    def __getstate__(self) -> dict:
+        return {"languages": self.languages, "shares": self.shares, "_tables": self._tables}
+
+    def _known(self, length: int, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which items are known, and the row of each in the table of their length."""
+        hashes, _ = self._tables[length]
+        wanted = _hashes(items)
+        if not len(hashes):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+        return hashes[at] == wanted, at
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of words, a row each; an empty word and one without a known n-gram have zeros."""
+        found = np.zeros((len(words), len(self.languages)))
+        known, at = self._known(0, words)
+        found[known] = self._tables[0][1][at[known]]
+        left = [k for k in np.flatnonzero(~known).tolist() if words[k]]
+        for length in range(LONGEST, 0, -1):
+            backed: set[int] = set()
+            for start in range(0, len(left), UNSEEN_WORDS):
+                some = np.array(left[start : start + UNSEEN_WORDS])
+                each = [grams(words[k], length) for k in some.tolist()]
+                of_word = np.repeat(np.arange(len(some)), list(map(len, each)))
+                known, at = self._known(length, [g for one in each for g in one])
+                of_word, rows = of_word[known], self._tables[length][1][at[known]]
+                numbers = np.bincount(of_word, minlength=len(some))
+                hit = np.flatnonzero(numbers)
+                for i in range(len(self.languages)):
+                    sums = np.bincount(of_word, rows[:, i], len(some))
+                    found[some[hit], i] = sums[hit] / numbers[hit]
+                backed.update(some[hit].tolist())
+            left = [k for k in left if k not in backed]
         return found
 
-    def _unseen(self, word: str) -> np.ndarray:
-        for length in range(LONGEST, 0, -1):
-            places = self._places[length]
-            known = [places[g] for g in grams(word, length) if g in places]
-            if known:
-                return self.logs[length][known].mean(axis=0)
-        return np.zeros(len(self.languages))
+
+def _hashes(items: list[str]) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter(map(digest, items), np.uint64, len(items))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +204,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             lettered = words.sums(np.array([bool(w) for w in plain], bool)[words.codes] if plain else np.zeros(0)) > 0
             best, share = [UNDETERMINED] * piece.num_rows, np.zeros(piece.num_rows)
             if model.languages:
-                nothing = np.zeros(len(model.languages))
-                each = np.array([model.word(w) if w else nothing for w in plain]).reshape(-1, len(model.languages))
+                each = model.words(plain)
                 total = np.stack([words.sums(each[words.codes, i]) for i in range(len(model.languages))], axis=1) + model.shares
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
                 odds /= odds.sum(axis=1, keepdims=True)
