@@ -75,7 +75,7 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     space = workspace(spark)
     warc.register(spark)
     path = space.path("archives")
-    warc.records(table(spark, folder, "pages")).write.format("warc").mode("append").save(path)
+    warc.records(table(spark, folder, "pages"), space).write.format("warc").mode("append").save(path)
     responses = spark.read.format("warc").load(path).filter(F.col("record_type") == "response")
     revisits = spark.read.format("warc").option("payload", "false").load(path).filter(F.col("record_type") == "revisit")
     read = responses.select(

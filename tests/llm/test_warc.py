@@ -1,9 +1,11 @@
 """Archives: records by hand, a round trip, pushed filters, commits."""
 
 import base64
+import gzip
 import hashlib
 import io
 import os
+import random
 
 import pytest
 from adlytics.llm import warc
@@ -130,3 +132,40 @@ def test_base32(spark):
     values = ["", "a", "été", "x" * 1000]
     found = spark.createDataFrame([(v,) for v in values], "v string").select("v", warc.sha1_base32(F.encode("v", "UTF-8")).alias("d")).collect()
     assert all(r["d"] == digest(r["v"]) for r in found)
+
+
+def test_compressed_archives(spark, tmp_path):
+    """Members of other writers, one with two records, and payloads of all sizes; unwanted ones stay deflated."""
+    plain = [warc.record(saved(f"urn:{i}", "response", bytes(range(256)) * (i * 37))) for i in range(12)]
+    folder = tmp_path / "archives"
+    folder.mkdir()
+    spoilt = bytearray(warc.member(warc.record(saved("urn:x", "metadata", random.Random(1).randbytes(900_000)))))
+    spoilt[300_000:600_000] = bytes(300_000)  # reading this payload would fail
+    told = b"".join(map(warc.member, plain[:6])) + bytes(spoilt) + gzip.compress(plain[6] + plain[7]) + b"".join(map(warc.member, plain[8:]))
+    (folder / "a.warc.gz").write_bytes(told)
+    warc.register(spark)
+    table = spark.read.format("warc").load(str(folder))
+    found = {r["record_id"]: bytes(r["payload"]) for r in table.filter("record_type = 'response'").collect()}
+    assert found == {f"urn:{i}": bytes(range(256)) * (i * 37) for i in range(12)}
+    headers = spark.read.format("warc").option("payload", "false").load(str(folder))
+    assert headers.count() == 13
+    with pytest.raises(Exception, match="invalid stored block"):
+        table.filter("record_type = 'metadata'").collect()
+
+
+def test_members_are_gzip(spark, tmp_path):
+    rows = [saved("urn:a", "response", b"abc" * 1000), saved("urn:b", "response", b"")]
+    assert gzip.decompress(b"".join(warc.member(warc.record(r)) for r in rows)) == b"".join(map(warc.record, rows))
+
+
+def saved(record_id, record_type, payload):
+    return {
+        "record_id": record_id,
+        "record_type": record_type,
+        "target_uri": None,
+        "date": None,
+        "payload_digest": None,
+        "payload_length": len(payload),
+        "refers_to": None,
+        "payload": payload,
+    }
