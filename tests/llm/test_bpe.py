@@ -1,5 +1,6 @@
 """Encoding and decoding against the tokenizers library."""
 
+import hashlib
 import random
 
 import public_tokenizers
@@ -87,3 +88,15 @@ def test_rows(spark):
 
 def test_empty_table(spark):
     assert bpe.encode(documents(spark, []), tokenizer()).count() == 0
+
+
+def test_digests(spark):
+    found = awkward() + rows((20, "a <|endoftext|> b"), (21, "word " * 5_000))
+    out = bpe.digests(clashing(documents(spark, found), "n_tokens", "ids_sha256"), tokenizer()).collect()
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    expected = []
+    for row in found:
+        ids = THEIRS.encode(row[1] or "", add_special_tokens=False).ids
+        expected.append((row[0], len(ids), sha(" ".join(map(str, ids))), sha(THEIRS.decode(ids, skip_special_tokens=False))))
+    shown = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out]
+    assert sorted(shown, key=repr) == sorted(expected, key=repr)
