@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlytics.functions.text import hashed_key, micros_text
-from adlytics.functions.times import days_rounded_up, hours_at_least_one, plus_days
+from adlytics.functions.times import days_rounded_up, hours_at_least_one
 from adlytics.operators.event_root import ROOT_KEYS
+from adlytics.operators.intervals import MOST_POINTS, interval_join
 from adlytics.operators.joins import join_null_safe
 from adlytics.operators.timeline import count_before, first_at_or_after
+from adlytics.workspace import Workspace
 
 HOUR_MICROS = 3_600_000_000
 DAY_MICROS = 24 * HOUR_MICROS
-SPAN_DAYS = 5
 _PERSON = tuple(k for k in ROOT_KEYS if k != "date")
 _MATCH = ("user_pwid_raw", "advertiser_domain")
 _DELIVERY = (
@@ -99,45 +100,53 @@ def _matchable(rows: DataFrame, conversions: DataFrame) -> DataFrame:
     return rows.join(conversions.select(*_MATCH).distinct(), list(_MATCH), "left_semi")
 
 
-def attribute_conversions(events: DataFrame, days: int = 30) -> DataFrame:
+def _kept(space: Workspace | None, table: DataFrame, name: str) -> DataFrame:
+    return table if space is None else space.save(table, name)
+
+
+def _conversions_after(
+    impressions: DataFrame, conversions: DataFrame, days: int, space: Workspace | None, most: int
+) -> DataFrame:
+    """Pairs of an instant at which something was shown and a conversion within ``days`` after it."""
+    spans = conversions.withColumn("until", F.unix_micros("conversion_ts")).withColumn(
+        "since", F.col("until") - F.lit(days * DAY_MICROS)
+    )
+    shown = (
+        _matchable(impressions, conversions)
+        .groupBy(*_MATCH, "ts", "impression_primary_key")
+        .agg(F.sum("impression_copies").alias("match_copies"))
+        .withColumn("at", F.unix_micros("ts"))
+    )
+    pairs = interval_join(_kept(space, shown, "shown"), spans, _MATCH, "at", "since", "until", most, space)
+    return pairs.drop("at", "since", "until")
+
+
+def attribute_conversions(
+    events: DataFrame, days: int = 30, space: Workspace | None = None, most: int = MOST_POINTS
+) -> DataFrame:
     """Impressions with the conversions within ``days`` after them, one row per match.
 
     An impression without conversions keeps one row. Matches are found per person and
     advertiser and attach to every impression row of the same instant, ad and creative.
     Equal rows are summed: ``row_copies`` and ``conversion_copies`` say how many equal
     rows and conversions a row stands for (``expand_copies`` spells them out).
-    ``is_first_row`` marks one row per day, ad and creative, its earliest.
+    ``is_first_row`` marks one row per day, ad and creative, its earliest. A person with more
+    than ``most`` impressions is spread over slots of time (``interval_join``); with a workspace,
+    impressions and conversions are saved there, so the events are read twice only.
     """
     impressions = _impressions(events).withColumn("impression_primary_key", impression_key())
-    conversions = _conversions(events)
-
-    # A conversion visits every span of days its window touches, an impression only its
-    # own, so a hot person is spread over spans.
-    def span(micros: Column) -> Column:
-        return F.floor(micros / F.lit(SPAN_DAYS * DAY_MICROS))
-
-    at = F.unix_micros("conversion_ts")
-    reaching = conversions.withColumn("span", F.explode(F.sequence(span(at - F.lit(days * DAY_MICROS)), span(at))))
-    shown = (
-        _matchable(impressions, conversions)
-        .groupBy(*_MATCH, "ts", "impression_primary_key")
-        .agg(F.sum("impression_copies").alias("match_copies"))
-        .withColumn("span", span(F.unix_micros("ts")))
-    )
-    in_window = F.col("conversion_ts").between(F.col("ts"), plus_days(F.col("ts"), days))
-    matches = (
-        shown.join(reaching, [*_MATCH, "span"])
-        .filter(in_window)
-        .select(
-            "impression_primary_key",
-            F.col("user_pwid_raw").alias("conversion_pwid"),
-            F.col("advertiser_domain").alias("conversion_domain"),
-            "conversion_ts",
-            "pixel_name",
-            "pixel_id",
-            "conversion_copies",
-            "match_copies",
-        )
+    impressions = _kept(space, impressions, "impressions")
+    conversions = _kept(space, _conversions(events), "conversions")
+    found = _conversions_after(impressions, conversions, days, space, most)
+    matches = found.select(
+        "impression_primary_key",
+        F.col("user_pwid_raw").alias("conversion_pwid"),
+        F.col("advertiser_domain").alias("conversion_domain"),
+        "conversion_ts",
+        "pixel_name",
+        "pixel_id",
+        "conversion_copies",
+        "match_copies",
     )
     joined = impressions.join(matches, "impression_primary_key", "left")
     hours = hours_at_least_one(F.col("conversion_ts"), F.col("ts"))
@@ -223,6 +232,25 @@ def expand_copies(mapping: DataFrame) -> DataFrame:
     )
 
 
+def conversion_lags(
+    events: DataFrame, days: int = 30, space: Workspace | None = None, most: int = MOST_POINTS
+) -> DataFrame:
+    """Per advertiser, pixel and whole days between them: impressions followed by a conversion.
+
+    ``pairs`` counts every impression row with every conversion, ``people`` the persons.
+    """
+    impressions = _impressions(events).withColumn("impression_primary_key", impression_key())
+    impressions = _kept(space, impressions, "impressions")
+    conversions = _kept(space, _conversions(events), "conversions")
+    found = _conversions_after(impressions, conversions, days, space, most)
+    lag = F.floor((F.unix_micros("conversion_ts") - F.unix_micros("ts")) / F.lit(DAY_MICROS))
+    by = ["advertiser_domain", "pixel_name", "lag_days"]
+    of_person = found.groupBy(*by[:2], lag.alias("lag_days"), "user_pwid_raw").agg(
+        F.sum(F.col("match_copies") * F.col("conversion_copies")).alias("pairs")
+    )
+    return of_person.groupBy(*by).agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("people"))
+
+
 CAMPAIGN = ("date", "campaign_id", "line_item_id", "opportunity_name", "io_number", "browser_name")
 _ROLLUP = (
     "impressions",

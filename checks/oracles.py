@@ -495,6 +495,23 @@ _add(
 )
 
 
+_add(
+    "attributed_rows_in_slots",
+    ("attributed",),
+    """SELECT d AS date, domain AS advertiser_domain, pixel_name, count(*) AS mapped_rows,
+        count(DISTINCT conv_id) AS conversion_keys, CAST(sum(hours) AS BIGINT) AS hours FROM attributed GROUP BY ALL""",
+    text="date",
+)
+_add(
+    "conversion_lags",
+    ("imp_rows", "conv_rows"),
+    """SELECT c.domain AS advertiser_domain, c.pixel_name, (epoch_us(c.ts) - epoch_us(m.ts)) // 86400000000 AS lag_days,
+        count(*) AS pairs, count(DISTINCT c.pwid) AS people
+        FROM imp_rows m JOIN conv_rows c ON c.pwid = m.pwid AND c.domain = m.domain
+        AND c.ts >= m.ts AND c.ts <= m.ts + INTERVAL 30 DAY GROUP BY ALL""",
+)
+
+
 def _reached(test: str = "true") -> str:
     return f"count(DISTINCT conv_id) FILTER (WHERE {test})"
 

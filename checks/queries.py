@@ -488,6 +488,9 @@ def reach_distinct_fallback(t: Checked) -> DataFrame:
 
 # --- attribution -----------------------------------------------------------------------
 
+#: Impressions of a person in one slot of time, where the check is on the slots.
+SLOT_POINTS = 8
+
 
 def _root(t: Checked) -> DataFrame:
     return reports.root_events(t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS)
@@ -577,14 +580,14 @@ def active_events(t: Checked) -> DataFrame:
 
 @query
 def attribute_conversions(t: Checked) -> DataFrame:
-    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)))
+    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)), space=t.space)
     return mapping.drop("impression_primary_key", "conversion_primary_key")
 
 
 @query
 def attributed_rows(t: Checked) -> DataFrame:
     """The mapping spelled out: one row per impression row and conversion, with distinct keys counted."""
-    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)))
+    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)), space=t.space)
     rows = attribution.expand_copies(mapping)
     by = ["date", "campaign_id", "user_pwid_raw"]
     return rows.groupBy(*by).agg(
@@ -595,10 +598,27 @@ def attributed_rows(t: Checked) -> DataFrame:
     )
 
 
+@query
+def attributed_rows_in_slots(t: Checked) -> DataFrame:
+    """The mapping with slots so small that most persons have several; no row may change."""
+    events = attribution.attribution_events(_saved_root(t))
+    rows = attribution.expand_copies(attribution.attribute_conversions(events, space=t.space, most=SLOT_POINTS))
+    return rows.groupBy("date", "advertiser_domain", "pixel_name").agg(
+        F.count(F.lit(1)).alias("mapped_rows"),
+        F.count_distinct("conversion_primary_key").alias("conversion_keys"),
+        F.sum("hrs_since_impression").alias("hours"),
+    )
+
+
+@query
+def conversion_lags(t: Checked) -> DataFrame:
+    return attribution.conversion_lags(attribution.attribution_events(_saved_root(t)), space=t.space)
+
+
 @query
 def campaign_rollup(t: Checked) -> DataFrame:
     """Campaign figures from the row-level mapping."""
-    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)))
+    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)), space=t.space)
     return attribution.campaign_rollup(mapping)
 
 
