@@ -27,18 +27,17 @@ def _minute(at: str) -> Column:
     return F.floor(F.col(at) / F.lit(MINUTE_MICROS))
 
 
-def _crowded_minutes(minutes: DataFrame, intervals: DataFrame, keys: Sequence[str], ends: Sequence[str], most: int) -> DataFrame:
-    """Minutes of keys with more than ``most`` points, with the points before and in each.
+def _minutes(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, ends: Sequence[str]) -> DataFrame:
+    """Minutes of each key with the number of its points before and in each.
 
     A minute is listed when a point or an end of an interval falls into it, so a key has at
     most 1440 rows a day.
     """
-    crowded = minutes.groupBy(*keys).agg(F.sum("_n").alias("_all")).filter(F.col("_all") > most).select(*keys)
-    of_ends = intervals.join(crowded, list(keys), "left_semi").select(
+    of_points = points.select(*keys, _minute(at).alias("_minute"), F.lit(1).cast("long").alias("_n"))
+    of_ends = intervals.select(
         *keys, F.explode(F.array(*[_minute(e) for e in ends])).alias("_minute"), F.lit(0).cast("long").alias("_n")
     )
-    listed = minutes.join(crowded, list(keys), "left_semi").unionByName(of_ends)
-    listed = listed.groupBy(*keys, "_minute").agg(F.sum("_n").alias("_n"))
+    listed = of_points.unionByName(of_ends).groupBy(*keys, "_minute").agg(F.sum("_n").alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_minute").rowsBetween(W.unboundedPreceding, -1)
     return listed.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")))
 
@@ -65,12 +64,15 @@ def slotted(
     """
     complete = points.dropna(subset=[*keys, at])
     spans = intervals.dropna(subset=[*keys, since, until]).filter(F.col(since) <= F.col(until))
-    minutes = complete.groupBy(*keys, _minute(at).alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
-    found = _crowded_minutes(minutes if space is None else space.save(minutes, "minutes"), spans, keys, (since, until), most)
-    found = found if space is None else space.save(found, "crowded-minutes")
     whole = F.lit(0).cast("long").alias(_SLOT)
-    if found.isEmpty():
+    sizes = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    crowded = sizes.filter(F.col("_all") > most).select(*keys)
+    if crowded.isEmpty():
         return complete.select("*", whole), spans.select("*", whole)
+    crowded = crowded if space is None else space.save(crowded, "crowded")
+    counted, ending = (rows.join(crowded, list(keys), "left_semi") for rows in (complete, spans))
+    found = _minutes(counted, ending, keys, at, (since, until))
+    found = found if space is None else space.save(found, "minutes")
 
     def slot(number: Column) -> Column:
         return F.coalesce(F.floor(number / F.lit(most)), F.lit(0).cast("long"))
