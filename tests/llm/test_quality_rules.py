@@ -84,3 +84,22 @@ def test_empty_tables(spark):
     docs = documents(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.judge(docs, *quality_rules.fit(docs, quality_rules.trusted_ids(labels))).count() == 0
+
+
+def test_all_trusted_documents_count(spark):
+    """More trusted ids than a bounded sample would hold: every one is trusted, and both halves are used whole."""
+    many = 120_000
+    labels = spark.range(many).selectExpr("id AS doc_id", "1 AS quality")
+    trusted = quality_rules.trusted_ids(labels.union(labels.filter("doc_id < 10").selectExpr("doc_id", "0")))
+    assert trusted.count() == many - 10
+    # Each text has a word of its own kind, so the counts of its bucket say how many documents were counted.
+    docs = spark.range(many).selectExpr("id AS doc_id", "if(xxhash64(id, 11) % 2 = 0, 'even', 'odd') AS text")
+    halves = {r["text"]: r["count"] for r in docs.filter("doc_id >= 10").groupBy("text").count().collect()}
+    whole = {r["text"]: r["count"] for r in docs.groupBy("text").count().collect()}
+    ratios = [float(x) for x in quality_rules.fit(docs, trusted)[0].split(",")]
+    at = {w: r[0] for w in ("even", "odd") for r in [spark.sql(f"SELECT pmod(xxhash64('{w}'), {quality_rules.BUCKETS})").first()]}
+    counted, size = halves["even"] + quality_rules.BUCKETS, many + quality_rules.BUCKETS
+    import math
+
+    assert ratios[at["even"]] == pytest.approx(math.log((halves["even"] + 1) / counted * size / (whole["even"] + 1)), rel=1e-9)
+    assert ratios[at["odd"]] == pytest.approx(math.log(1 / counted * size / (whole["odd"] + 1)), rel=1e-9)
