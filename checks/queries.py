@@ -501,6 +501,11 @@ def _saved_root(t: Checked) -> DataFrame:
     return t.space.share("root", lambda: _root(t))
 
 
+def _events(t: Checked) -> DataFrame:
+    """Events of the root as it is built: impressions and conversions read one side of it each."""
+    return attribution.attribution_events(_root(t))
+
+
 def _nested_root(t: Checked) -> DataFrame:
     return t.space.share("nested-root", lambda: reports.nested_root(t.space, t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS))
 
@@ -580,14 +585,14 @@ def active_events(t: Checked) -> DataFrame:
 
 @query
 def attribute_conversions(t: Checked) -> DataFrame:
-    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)), space=t.space)
+    mapping = attribution.attribute_conversions(_events(t), space=t.space)
     return mapping.drop("impression_primary_key", "conversion_primary_key")
 
 
 @query
 def attributed_rows(t: Checked) -> DataFrame:
     """The mapping spelled out: one row per impression row and conversion, with distinct keys counted."""
-    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)), space=t.space)
+    mapping = attribution.attribute_conversions(_events(t), space=t.space)
     rows = attribution.expand_copies(mapping)
     by = ["date", "campaign_id", "user_pwid_raw"]
     return rows.groupBy(*by).agg(
@@ -601,8 +606,7 @@ def attributed_rows(t: Checked) -> DataFrame:
 @query
 def attributed_rows_in_slots(t: Checked) -> DataFrame:
     """The mapping with slots so small that most persons have several; no row may change."""
-    events = attribution.attribution_events(_saved_root(t))
-    rows = attribution.expand_copies(attribution.attribute_conversions(events, space=t.space, most=SLOT_POINTS))
+    rows = attribution.expand_copies(attribution.attribute_conversions(_events(t), space=t.space, most=SLOT_POINTS))
     return rows.groupBy("date", "advertiser_domain", "pixel_name").agg(
         F.count(F.lit(1)).alias("mapped_rows"),
         F.count_distinct("conversion_primary_key").alias("conversion_keys"),
@@ -612,13 +616,13 @@ def attributed_rows_in_slots(t: Checked) -> DataFrame:
 
 @query
 def conversion_lags(t: Checked) -> DataFrame:
-    return attribution.conversion_lags(attribution.attribution_events(_saved_root(t)), space=t.space)
+    return attribution.conversion_lags(_events(t), space=t.space)
 
 
 @query
 def campaign_rollup(t: Checked) -> DataFrame:
     """Campaign figures from the row-level mapping."""
-    mapping = attribution.attribute_conversions(attribution.attribution_events(_saved_root(t)), space=t.space)
+    mapping = attribution.attribute_conversions(_events(t), space=t.space)
     return attribution.campaign_rollup(mapping)
 
 

@@ -8,6 +8,7 @@ from adlytics.plans import reports
 from adlytics.sources.derived import COUNTRY, CREATIVE_CHARACTERS, LOOKUP_DAY, MONTH, PIXELS, Derived
 from adlytics.sources.tables import ParquetTables, save_table
 from adlytics.workspace import Workspace
+from checks import queries
 from checks.queries import STORED_BY, stored_by_day
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,3 +74,22 @@ def test_reads(spark, tables, name):
         reads = space.reads + scans(result, tables.folder)
         assert {table: reads[table] for table in most} == most
         assert result.count() > 0
+
+
+@pytest.mark.parametrize("name", ["attribute_conversions", "attributed_rows", "attributed_rows_in_slots", "conversion_lags", "campaign_rollup"])
+def test_mapping_builds_each_side_of_the_root_once(spark, tables, name):
+    """Neither is the root written to be read again, nor a side of it built twice."""
+    saved = []
+
+    class Named(Watched):
+        def save(self, table, name):
+            saved.append(name)
+            return super().save(table, name)
+
+    with Named(spark, "/root/testdata") as space:
+        result = queries._REGISTERED[name](queries.Checked(spark, FOLDER, space))
+        reads = space.reads + scans(result, "/root/testdata")
+        assert "root" not in saved and saved.count("impressions") == 1
+        # Of orders pages, wins and attention are derived; of events prefixes, tracker clicks and conversions.
+        assert reads["sf0.001"] == 7
+        assert result.count() > 0
