@@ -196,13 +196,15 @@ def build_event_root(delivery: DataFrame, conversions: DataFrame) -> DataFrame:
 
 
 def flatten_event_root(root: DataFrame) -> DataFrame:
-    """Back from the nested root to ``event_rows``, every copy a row of its own."""
-    entries = (
-        root.withColumn("conversion", F.explode_outer("conversions"))
-        .withColumn("delivery", F.explode_outer("delivery"))
-        .drop("conversions", "hour")
-    )
-    copies = F.coalesce("delivery.copies", "conversion.copies", F.lit(0).cast("bigint"))
-    repeated = entries.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(copies, F.lit(1)))))
-    kept = {c: F.when(F.col(c).isNotNull(), F.col(c).dropFields("copies")) for c in ("conversion", "delivery")}
-    return repeated.withColumns(kept).drop("copy")
+    """Back from the nested root to ``event_rows``, every copy a row of its own.
+
+    Each side is unfolded from its own array, so what reads one side opens no column of the other.
+    """
+
+    def unfolded(array: str, event: str) -> DataFrame:
+        entries = root.select(*ROOT_KEYS, F.explode(array).alias("entry"))
+        copies = F.greatest(F.col("entry.copies"), F.lit(1).cast("bigint"))
+        repeated = entries.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+        return repeated.select(*ROOT_KEYS, F.col("entry").dropFields("copies").alias(event))
+
+    return event_rows(unfolded("delivery", "delivery"), unfolded("conversions", "conversion"))

@@ -228,10 +228,9 @@ def pixel_matches(tables: Tables, days: Period, sample_fraction: float = 1.0, se
 def nested_root(
     space: Workspace, tables: Tables, days: Period, household_day: Period, creative_characters: str
 ) -> DataFrame:
-    """Nested attribution root, from its two sides saved first: nesting reads them twice."""
-    delivered = space.save(delivery_side(tables, days, household_day, creative_characters), "delivery")
-    converted = space.save(conversion_side(tables, days), "conversions")
-    return event_root.build_event_root(delivered, converted)
+    """Nested attribution root, saved; its two sides are nested as they are built, each being read once."""
+    delivered = delivery_side(tables, days, household_day, creative_characters)
+    return space.save(event_root.build_event_root(delivered, conversion_side(tables, days)), "nested-root")
 
 
 def campaign_attribution(rows: DataFrame) -> DataFrame:

@@ -507,7 +507,7 @@ def _events(t: Checked) -> DataFrame:
 
 
 def _nested_root(t: Checked) -> DataFrame:
-    return t.space.share("nested-root", lambda: reports.nested_root(t.space, t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS))
+    return reports.nested_root(t.space, t, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS)
 
 
 @query

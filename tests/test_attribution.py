@@ -224,3 +224,17 @@ def test_nested_root_holds_the_same_events(spark, root_sides):
     assert rows_of(flat.select(same.columns)) == rows_of(same)
     # Three groups of one hour each, whatever the number of copies.
     assert root.count() == 3
+
+
+def test_a_side_of_the_nested_root_opens_its_own_array(spark, root_sides, tmp_path):
+    path = str(tmp_path / "root")
+    event_root.build_event_root(*root_sides).write.parquet(path)
+    flat = event_root.flatten_event_root(spark.read.parquet(path))
+    opened = {"delivery": "conversions", "conversion": "delivery"}
+    for event, other in opened.items():
+        side = flat.filter(F.col(event)["ts"].isNotNull()).select("date", f"{event}.ts")
+        leaves = side._jdf.queryExecution().optimizedPlan().collectLeaves()
+        assert leaves.size() == 1
+        read = side._jdf.queryExecution().executedPlan().toString()
+        assert f"{other}:array" not in read[read.index("ReadSchema") :]
+        assert side.count() == len(rows_of(flat.filter(F.col(event).isNotNull())))

@@ -93,3 +93,16 @@ def test_mapping_builds_each_side_of_the_root_once(spark, tables, name):
         # Of orders pages, wins and attention are derived; of events prefixes, tracker clicks and conversions.
         assert reads["sf0.001"] == 7
         assert result.count() > 0
+
+
+def test_nested_root_saves_nothing_but_itself(spark, tables):
+    saved = []
+
+    class Named(Watched):
+        def save(self, table, name):
+            saved.append(name)
+            return super().save(table, name)
+
+    with Named(spark, tables.folder) as space:
+        assert reports.nested_root(space, tables, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS).count() > 0
+    assert saved == ["nested-root"]
