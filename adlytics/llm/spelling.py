@@ -172,8 +172,13 @@ def near_words(space: Workspace, words: DataFrame) -> DataFrame:
     `best` is the id of the near word of largest n, the smallest id among equals. Words are distinct.
     """
     cuts = space.save(words.select("id", "word", "n").mapInArrow(_cuts, _CUTS), "cuts")
-    pairs = _numbered(space, _numbered(space, cuts, "head"), "tail")
-    shared = pairs.groupBy("head", "tail").agg(F.collect_list(F.struct("id", "n", "skips", "first")).alias("members"))
+    # Numbering reads its cuts three times, so the first side is saved before the second.
+    headed = space.save(_numbered(space, cuts, "head"), "headed-cuts")
+    pairs = _numbered(space, headed, "tail").select("head", "tail", "id", "n", "skips", "first")
+    # Hardly any pair comes twice within a task of the join, so lists are made behind the shuffle only:
+    # there a task holds the share of a shuffle partition, whatever the size of the stored files.
+    dealt = pairs.repartition("head", "tail")
+    shared = dealt.groupBy("head", "tail").agg(F.collect_list(F.struct("id", "n", "skips", "first")).alias("members"))
     # Members of a pair differ in the character they skip, so there are few of them whatever the data.
     shared = shared.filter(F.size("members") > 1)
     each = shared.select("members", F.explode("members").alias("own"))

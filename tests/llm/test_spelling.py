@@ -120,3 +120,21 @@ def test_root_nodes_are_not_joined(spark):
     cuts = rows.mapInArrow(spelling._cuts, spelling._CUTS)
     shallow = cuts.filter("head2 is null").select("head").distinct().count()
     assert shallow == 8 and cuts.filter("head2 is not null and head < 0").count() > 0
+
+
+def test_one_side_is_numbered_before_the_other_and_lists_are_made_behind_the_shuffle(spark, tmp_path):
+    saved = []
+
+    class Named(Workspace):
+        def save(self, table, name):
+            saved.append(name)
+            return super().save(table, name)
+
+    space = Named(spark, str(tmp_path))
+    words = spark.createDataFrame([(0, "something", 9), (1, "somethings", 1), (2, "somethinge", 1)], "id long, word string, n long")
+    near = spelling.near_words(space, words)
+    assert saved == ["cuts", "head-nodes", "headed-cuts", "tail-nodes"]
+    lines = near._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "partial_collect_list" in line)
+    assert "Exchange hashpartitioning(head" in lines[at + 1]
+    assert {r["id"]: r["n_near"] for r in near.collect()} == {0: 2, 1: 2, 2: 2}
