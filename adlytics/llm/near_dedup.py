@@ -39,6 +39,8 @@ PIVOT_GROWTH = 8
 BLOCK = 64
 PART = 2_000
 MEMBERS = 200
+#: Bytes of texts that are hashed together: their words and sets are held beside them, several times as large.
+PIECE = 1 << 20
 #: Share of minima below which a pair can't reach the similarity asked for.
 SIGNATURE_FLOOR = 0.6
 #: Bytes of a bucket's name.
@@ -112,7 +114,7 @@ def _digest(shingles: np.ndarray) -> bytes | None:
 
 def _profiles(k: int, rows: int, bands: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             sets = shingle_sets(Words(piece.column("text")), k)
             signature = minima(sets, rows * bands)
             yield pa.RecordBatch.from_arrays(
@@ -238,7 +240,7 @@ def _compare(k: int, similarity: int):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             keys = zip(*(piece.column(c).to_pylist() for c in ("bucket", "block", "part")))
             members, pivots = piece.column("member").to_pylist(), piece.column("pivots").to_pylist()
             sets = shingle_sets(Words(piece.column("text")), k)
@@ -406,7 +408,7 @@ def _own_text(k: int):
     """Of the texts found by a class's id, those of the class; an id may have other texts too."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             sets = shingle_sets(Words(piece.column("text")), k)
             same = [_digest(s) == d for s, d in zip(sets, piece.column("digest").to_pylist())]
             kept = piece.filter(pa.array(same, pa.bool_()))

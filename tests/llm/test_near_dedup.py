@@ -128,3 +128,15 @@ def test_minima_estimate_similarity():
     b = a[200:]
     found = near_dedup.minima([a, b], 512)
     assert abs((found[0] == found[1]).mean() - 0.8) < 0.07
+
+
+def test_few_texts_are_hashed_together():
+    """What a worker holds beside a batch follows the piece, not the batch."""
+    import pyarrow as pa
+
+    texts = [f"{i} " + "some words " * 1_000 for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["id", "text"])
+    found = list(near_dedup._profiles(2, 4, 32)(iter([batch])))
+    assert max(b.num_rows for b in found) * len(texts[0]) <= 2 << 20
+    whole = pa.Table.from_batches(found)
+    assert whole.column("id").to_pylist() == list(range(400)) and set(whole.column("n_shingles").to_pylist()) == {3}
