@@ -132,8 +132,6 @@ def test_minima_estimate_similarity():
 
 def test_few_texts_are_hashed_together():
     """What a worker holds beside a batch follows the piece, not the batch."""
-    import pyarrow as pa
-
     texts = [f"{i} " + "some words " * 1_000 for i in range(400)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["id", "text"])
     found = list(near_dedup._profiles(2, 4, 32)(iter([batch])))
