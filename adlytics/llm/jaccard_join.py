@@ -14,6 +14,9 @@
    few, else some; pivots meet members of other components. Rounds go on, with more pivots, until no
    bucket has an untested pair of different components. So no link is lost, and a bucket of near
    copies costs a few pairs per member.
+6. A bucket may hold many texts that don't link, as those with a common passage. So a set carries the
+   parities of how many of its shingles fall into each of a few hundred cells: where two sets differ
+   in d parities, they differ in d shingles or more. This bound leaves out most pairs before they are made.
 
 Keys that hold a large share of all rows are dealt over several tasks in every join (see
 ``operators.skew``).
@@ -22,6 +25,7 @@ Keys that hold a large share of all rows are dealt over several tasks in every j
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,8 @@ FRAGMENTS = 8
 #: Pivots of a bucket in the first round; each round has PIVOT_GROWTH times as many.
 PIVOTS = 2
 PIVOT_GROWTH = 8
+#: Cells of the parities of a set, as 64-bit integers. Sets of more than about 20 shingles a cell have no use of them.
+PARITY_WORDS = 4
 #: Bits of a shingle's hash in its place in the global order.
 _HASH_BITS = 57
 
@@ -64,6 +70,13 @@ def _profiles(k: int):
     return profile
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each cell: whether the number of shingles in it is odd."""
+    cells = 64 * PARITY_WORDS
+    odd = np.bincount((shingles % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _whole_sets(k: int):
     """Of the texts found by a class's id, the sets of those of the class; an id may have other texts too."""
 
@@ -72,9 +85,8 @@ def _whole_sets(k: int):
             sets = shingle_sets(Words(piece.column("text")), k)
             own = [k for k, (s, d) in enumerate(zip(sets, piece.column("digest").to_pylist())) if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == d]
             classes = piece.column("class").take(pa.array(own, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [classes, pa.array([sets[k].view(np.int64) for k in own], pa.list_(pa.int64()))], names=["class", "shingles"]
-            )
+            lists = [[sets[k].view(np.int64) for k in own], [_parity(sets[k]) for k in own]]
+            yield pa.RecordBatch.from_arrays([classes, *[pa.array(x, pa.list_(pa.int64())) for x in lists]], names=["class", "shingles", "parity"])
 
     return whole
 
@@ -98,7 +110,7 @@ def _may_link(profile: DataFrame, similarity: int) -> DataFrame:
 
 
 def _ordered_sets(space: Workspace, sets: DataFrame, similarity: int) -> DataFrame:
-    """Rows (class, n, shared): the shared shingles of every class that may link, in global order.
+    """Rows (class, n, parity, shared): the shared shingles of every class that may link, in global order.
 
     The order is by the power of two of the number of classes that have a shingle, then by its hash.
     """
@@ -108,8 +120,8 @@ def _ordered_sets(space: Workspace, sets: DataFrame, similarity: int) -> DataFra
     place = (rank + F.shiftrightunsigned("shingle", 64 - _HASH_BITS)).alias("place")
     placed = spread_join(postings, found_in, ["shingle"]).select("class", place)
     ordered = placed.groupBy("class").agg(F.array_sort(F.collect_list("place")).alias("shared"))
-    ordered = ordered.join(sets.select("class", "n"), "class")
-    return space.save(ordered.filter(F.size("shared") >= _needed(F.col("n"), similarity)).select("class", "n", "shared"), "ordered")
+    ordered = ordered.join(sets.select("class", "n", "parity"), "class")
+    return space.save(ordered.filter(F.size("shared") >= _needed(F.col("n"), similarity)).select("class", "n", "parity", "shared"), "ordered")
 
 
 def _between(low: int | None, high: int | None) -> Callable[[Column], Column]:
@@ -136,6 +148,12 @@ def _overlap_at_most(n: Column, m: Column, i: Column, j: Column) -> Column:
     return F.least(i, j) + 1 + F.least(n - i, m - j) - 1
 
 
+def _overlap_by_parity(n: Column, m: Column, own: str, other: str) -> Column:
+    """What sets of n and m with these parities can share at most."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(own)[k].bitwiseXOR(F.col(other)[k])) for k in range(PARITY_WORDS)])
+    return F.floor((n + m - differ) / 2)
+
+
 def _links_if(overlap: Column, n: Column, m: Column, similarity: int) -> Column:
     return 100 * overlap >= similarity * (n + m - overlap)
 
@@ -143,7 +161,7 @@ def _links_if(overlap: Column, n: Column, m: Column, similarity: int) -> Column:
 def _candidates(space: Workspace, buckets: DataFrame, pivots: int, similarity: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (pivot, member, n, m) to count, and the buckets that are not settled by them.
 
-    buckets: rows (place, class, n, at, component), `at` counting from 0 over the whole set. All
+    buckets: rows (place, class, n, parity, at, component), `at` counting from 0 over the whole set. All
     members outside the first component of a bucket are pivots if they are few, else about `pivots`,
     chosen by a hash of the class, so buckets of the same members choose the same ones.
     """
@@ -154,16 +172,20 @@ def _candidates(space: Workspace, buckets: DataFrame, pivots: int, similarity: i
     chance = F.pmod(F.xxhash64(F.col("class"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     serves = (F.col("component") != F.col("main")) & ((F.col("outside") <= pivots) | (chance * F.col("outside") < pivots))
     own = marked.filter(serves).select(
-        "place", *[F.col(c).alias(f"p_{c}") for c in ("class", "n", "at", "component")]
+        "place", *[F.col(c).alias(f"p_{c}") for c in ("class", "n", "parity", "at", "component")]
     )
     met = spread_join(marked.withColumn("serves", serves), own, ["place"])
+    at_most = F.least(
+        _overlap_at_most(F.col("p_n"), F.col("n"), F.col("p_at"), F.col("at")),
+        _overlap_by_parity(F.col("p_n"), F.col("n"), "p_parity", "parity"),
+    )
     met = met.filter(
         (F.col("component") != F.col("p_component"))
         & ~(F.col("serves") & (F.col("class") > F.col("p_class")))  # of two pivots one is the other's member
-        & _links_if(_overlap_at_most(F.col("p_n"), F.col("n"), F.col("p_at"), F.col("at")), F.col("p_n"), F.col("n"), similarity)
+        & _links_if(at_most, F.col("p_n"), F.col("n"), similarity)
     )
     pairs = met.select(F.col("p_class").alias("pivot"), F.col("class").alias("member"), F.col("p_n").alias("n"), F.col("n").alias("m"))
-    rest = marked.filter(F.col("outside") > pivots).select("place", "class", "n", "at", "component")
+    rest = marked.filter(F.col("outside") > pivots).select("place", "class", "n", "parity", "at", "component")
     return space.save(pairs.distinct(), "pairs"), rest
 
 
@@ -204,16 +226,16 @@ def similar_documents(
     wanted = space.save(wanted, "classes")
 
     texts = ids.join(wanted.select(F.col("least_id").alias("id"), "class", "digest"), "id")
-    sets = texts.mapInArrow(_whole_sets(shingle), "class long, shingles array<long>").dropDuplicates(["class"])
+    sets = texts.mapInArrow(_whole_sets(shingle), "class long, shingles array<long>, parity array<long>").dropDuplicates(["class"])
     sets = space.save(sets.withColumn("n", F.size("shingles").cast("long")), "sets")
     ordered = _ordered_sets(space, sets, similarity)
     segments = _segments(space, ordered, fragments)
 
     alone = F.col("n") - F.size("shared")  # shingles of one class come first in the order
     prefix = F.slice("shared", F.lit(1), (F.col("n") - _needed(F.col("n"), similarity) + 1 - alone).cast("int"))
-    buckets = ordered.select("class", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "place"))
+    buckets = ordered.select("class", "n", "parity", alone.alias("alone"), F.posexplode(prefix).alias("at", "place"))
     buckets = space.save(
-        buckets.select("place", "class", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("class").alias("component")), "buckets"
+        buckets.select("place", "class", "n", "parity", (F.col("alone") + F.col("at")).alias("at"), F.col("class").alias("component")), "buckets"
     )
 
     pivots, found = PIVOTS, None

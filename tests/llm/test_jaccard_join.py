@@ -3,7 +3,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adlytics.llm import jaccard_join, oracles, queries
 from adlytics.workspace import Workspace
@@ -97,3 +99,38 @@ def test_awkward_documents(spark):
     with Workspace(spark) as space:
         assert result(jaccard_join.similar_documents(space, docs, shingle=3, similarity=90)) == plain([(r[0], r[1]) for r in found], 3, 90)
         assert result(jaccard_join.similar_documents(space, documents(spark, []))) == []
+
+
+def test_a_passage_that_many_share_makes_few_pairs(spark, monkeypatch):
+    """Texts that share most of their words but don't link: parities leave out their pairs before they are made."""
+    base = sentence(800, 120).split()
+    docs = []
+    for i in range(120):  # two texts of each kind link; two kinds differ in six words, and so in 36 of some 220 shingles
+        text = list(base)
+        for at in random.Random(i).sample(range(5, 115, 5), 3):
+            text[at] = f"other{i}"
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, "end"]))]
+    made, save = [], Workspace.save
+
+    def counted(self, table, name):
+        saved = save(self, table, name)
+        if name == "pairs":
+            made.append(saved.count())
+        return saved
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    with Workspace(spark) as space:
+        found = result(jaccard_join.similar_documents(space, documents(spark, rows(*docs)), shingle=3, similarity=90))
+    assert found == plain(docs, 3, 90) and len({r[2] for r in found}) == 120
+    assert sum(made) < 2 * len(docs)
+
+
+def test_parities_bound_the_overlap(spark):
+    chosen = random.Random(5)
+    for n, own in [(5, 3), (100, 4), (100, 30), (2_000, 90)]:
+        both = np.array([chosen.getrandbits(64) for _ in range(n)], np.uint64)
+        a, b = (np.concatenate([both, np.array([chosen.getrandbits(64) for _ in range(k)], np.uint64)]) for k in (own, own + 2))
+        row = [[jaccard_join._parity(x).tolist(), len(x)] for x in (a, b)]
+        frame = spark.createDataFrame([(row[0][0], row[0][1], row[1][0], row[1][1])], "p array<long>, n long, q array<long>, m long")
+        most = frame.select(jaccard_join._overlap_by_parity(F.col("n"), F.col("m"), "p", "q")).first()[0]
+        assert n <= most and (n > 1_000 or most < n + 0.3 * own + 1)
