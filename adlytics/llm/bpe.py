@@ -21,10 +21,12 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from adlytics.llm.common import Words, pieces
+from adlytics.llm.common import Words, pieces, released
 
 #: Text that is encoded at a time, in bytes.
 PIECE_BYTES = 8 << 20
+#: The same where ids and texts are returned, which are held beside it several times as large.
+ENCODED_BYTES = 2 << 20
 #: Words that are split together.
 SPLIT_WORDS = 1 << 17
 #: Parts up to this many bytes are merged together, as they end before a token could be emitted.
@@ -378,13 +380,13 @@ def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _loaded(definition)
         decoder = TextDecoder(tokenizer) if decoded else None
-        for piece in pieces(batches, text, PIECE_BYTES):
+        for piece in pieces(batches, text, ENCODED_BYTES):
             columns = [_encoded(tokenizer, piece.column(text))]
             if decoder:
                 columns.append(_decoded(decoder, columns[0]))
             yield pa.RecordBatch.from_arrays([*piece.columns, *columns], names=names)
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added]))
+    return rows.mapInArrow(released(run), StructType([*rows.schema.fields, *added]))
 
 
 def digests(docs: DataFrame, definition: str, text: str = "text") -> DataFrame:
@@ -419,7 +421,7 @@ def digests(docs: DataFrame, definition: str, text: str = "text") -> DataFrame:
             sizes = pa.array(np.diff(offsets).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*columns, sizes, pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=names)
 
-    return rows.mapInArrow(run, StructType([*kept, *added]))
+    return rows.mapInArrow(released(run), StructType([*kept, *added]))
 
 
 def decode(docs: DataFrame, definition: str, ids: str = "ids", text: str = "decoded", spaced: bool = True) -> DataFrame:
@@ -434,4 +436,4 @@ def decode(docs: DataFrame, definition: str, ids: str = "ids", text: str = "deco
                 piece = batch.slice(start, 256)
                 yield pa.RecordBatch.from_arrays([*piece.columns, _decoded(decoder, piece.column(ids))], names=names)
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text, StringType())]))
+    return rows.mapInArrow(released(run), StructType([*rows.schema.fields, StructField(text, StringType())]))

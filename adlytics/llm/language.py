@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from adlytics.llm.common import Words, bounded_sample, pieces
+from adlytics.llm.common import Words, bounded_sample, pieces, released
 from adlytics.workspace import Workspace
 
 LONGEST = 5
@@ -159,7 +159,7 @@ def fit(
     if not languages:
         nothing = [[] for _ in range(LONGEST + 1)]
         return LanguageModel([], np.zeros(0), nothing, [np.zeros((0, 0))] * len(nothing))
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, length int, item string, n long")
+    counts = rows.select("text", "lang").mapInArrow(released(_count), "lang string, length int, item string, n long")
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
     by_item = counts.groupBy("length", "item").agg(F.sum("n").alias("n"), *each)
     sampled = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             columns = [*piece.columns, pa.array(best, pa.string()), pa.array(share, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(released(score), schema)
 
 
 def accepted(min_score: float = MIN_SCORE) -> Column:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlytics.llm.common import Words, lower_ascii, pieces, text_of
+from adlytics.llm.common import Words, lower_ascii, pieces, released, text_of
 from adlytics.workspace import Workspace
 
 ROWS = 4
@@ -316,7 +316,7 @@ def _candidates(buckets: DataFrame, sketches: DataFrame, pivots: int, rows: int,
     placed = placed.select("place.*", "bucket", "id", "component", "serves", "sketch")
     key = ["bucket", "block", "part"]
     placed = placed.repartition(*key).sortWithinPartitions(*key, F.desc("own"))
-    return placed.mapInArrow(_agree(rows, bands), _FOUND), marked.filter(F.col("outside") > pivots).select("bucket", "band", "id", "component")
+    return placed.mapInArrow(released(_agree(rows, bands)), _FOUND), marked.filter(F.col("outside") > pivots).select("bucket", "band", "id", "component")
 
 
 def _links(space: Workspace, found: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -337,7 +337,7 @@ def _links(space: Workspace, found: DataFrame, texts: DataFrame, k: int, similar
     own = own.join(texts.withColumnRenamed("id", "pivot"), "pivot")
     own = own.select(*key, F.lit(None).cast("long").alias("member"), F.array("pivot").alias("pivots"), "text")
     rows = members.unionByName(own).repartition(*key).sortWithinPartitions(*key, F.col("member").asc_nulls_first())
-    return rows.select(*key, "member", "pivots", "text").mapInArrow(_compare(k, similarity), "a long, b long")
+    return rows.select(*key, "member", "pivots", "text").mapInArrow(released(_compare(k, similarity)), "a long, b long")
 
 
 def near_duplicates(
@@ -360,19 +360,19 @@ def near_duplicates(
     own. Ids are integers. An empty table gives no rows.
     """
     ids = docs.select(F.col(id_column).cast("long").alias("id"), lower_ascii(text_of(text_column)).alias("text"))
-    profile = ids.mapInArrow(_profiles(shingle, rows, bands), "id long, n_shingles long, digest binary, signature binary")
+    profile = ids.mapInArrow(released(_profiles(shingle, rows, bands)), "id long, n_shingles long, digest binary, signature binary")
     profile = space.save(profile, "profiles")
     named = profile.filter("id is not null and digest is not null")
     classes = named.groupBy("digest").agg(F.min("id").alias("least_id"), F.min("signature").alias("signature"))
     classes = space.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.select("id", "signature").mapInArrow(_bands(rows, bands), "bucket long, band int, id long")
+    banded = classes.select("id", "signature").mapInArrow(released(_bands(rows, bands)), "bucket long, band int, id long")
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = space.save(banded.join(full.select("bucket"), "bucket").withColumn("component", F.col("id")), "buckets")
     wanted = classes.join(buckets.select("id").distinct(), "id")
-    sketches = space.save(wanted.select("id", "signature").mapInArrow(_sketches(rows, bands), "id long, sketch binary"), "sketches")
+    sketches = space.save(wanted.select("id", "signature").mapInArrow(released(_sketches(rows, bands)), "id long, sketch binary"), "sketches")
     wanted = wanted.select(F.col("id").alias("class"), F.col("least_id").alias("id"), "digest")
-    texts = space.save(ids.join(wanted, "id").mapInArrow(_own_text(shingle), "id long, text string"), "texts")
+    texts = space.save(ids.join(wanted, "id").mapInArrow(released(_own_text(shingle)), "id long, text string"), "texts")
 
     pivots, found = PIVOTS, None
     while True:
