@@ -105,12 +105,12 @@ STORED_BY = {
 
 
 def stored_by_day(tables: Derived, folder: str, names: tuple[str, ...] = tuple(STORED_BY)) -> ParquetTables:
-    """Tables written by day below a folder, and read from there."""
+    """Tables written by day below a folder, and read from there; a large day is written by several tasks."""
     for name in names:
         rows = getattr(tables, name)()
         if STORED_BY[name] == "day":
             rows = rows.withColumn("day", F.to_date("bid_time_utc" if name == "win_log" else "ts"))
-        save_table(rows.repartition(STORED_BY[name]), f"{folder}/{name}", [STORED_BY[name]])
+        save_table(rows.hint("rebalance", STORED_BY[name]), f"{folder}/{name}", [STORED_BY[name]])
     return ParquetTables(tables.spark, folder, partitions={n: STORED_BY[n] for n in names})
 
 

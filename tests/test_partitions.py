@@ -135,3 +135,23 @@ def test_sample_of_a_partitioned_table(spark, tables):
     """The partition column is not part of what a sample gives."""
     few = tables.sample("ip_prefix", 1.0)
     assert few.columns == ParquetTables(spark, tables.folder).read("ip_prefix").columns
+
+
+def test_a_large_day_is_stored_by_several_tasks(spark, tmp_path):
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        derived = Derived(spark, FOLDER)
+        stored = stored_by_day(derived, str(tmp_path), ("win_log",)).read("win_log")
+        assert rows_of(stored.drop("day")) == rows_of(derived.win_log())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    days = [day for day in (tmp_path / "win_log").iterdir() if day.name.startswith("day=")]
+    assert len(days) == 30 and any(len(list(day.glob("*.parquet"))) > 1 for day in days)
