@@ -142,9 +142,9 @@ def placed_seats(
     sample_fraction: float = 1.0,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Platform seats with what the lookups know about them, and the cached households."""
+    """Platform seats with what the lookups know about them, and the cached households, both saved."""
     seats = _person_seats(space, tables, when, country, False, sample_fraction, seed)
-    cached = identity.cached_households(tables.id_mapping(), lookup_days)
+    cached = space.save(identity.cached_households(tables.id_mapping(), lookup_days), "cached-households")
     homes = household.household_prefixes(tables.scan_days("ip_prefix_mapping", prefix_days), prefix_days)
     return space.save(identity.place_seats(seats, cached, homes), "placed-seats"), cached
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from adlytics.operators import identity
 from adlytics.plans import reports
 from adlytics.sources.derived import COUNTRY, CREATIVE_CHARACTERS, LOOKUP_DAY, MONTH, PIXELS, Derived
 from adlytics.sources.tables import ParquetTables, save_table
@@ -106,3 +107,13 @@ def test_nested_root_saves_nothing_but_itself(spark, tables):
     with Named(spark, tables.folder) as space:
         assert reports.nested_root(space, tables, MONTH, LOOKUP_DAY, CREATIVE_CHARACTERS).count() > 0
     assert saved == ["nested-root"]
+
+
+def test_reach_builds_the_cached_households_once(spark, tables):
+    """They are looked up for requests and again for the persons reached."""
+    with Watched(spark, tables.folder) as space:
+        placed, cached = reports.placed_seats(space, tables, MONTH, MONTH, LOOKUP_DAY, COUNTRY)
+        result = identity.reach_report(placed, cached)
+        reads = space.reads + scans(result, tables.folder)
+        assert reads["id_mapping"] == 5 and reads["bidstream"] == 1
+        assert result.count() > 0
